@@ -1,0 +1,132 @@
+"""Outage alerts as polls come in."""
+
+from __future__ import annotations
+
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from voltfleet.schema import OUTAGE_THRESHOLD
+
+# Send the functions below to the executors, which need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+_EVENTS = (
+    "device_id bigint, kind string, ts_us bigint, start_us bigint, end_us bigint, n bigint"
+)
+_STATE = "last_us bigint, last_seq bigint, n bigint, start_us bigint, end_us bigint"
+
+
+def number_failures(
+    ts: np.ndarray, ok: np.ndarray, n: int, start: int, end: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length, start and end of the open run before and after each poll, in time order.
+
+    Entry 0 is the run carried in; entry i + 1 the run once poll i is counted.
+    """
+    place = np.arange(1, len(ok) + 1)
+    last_ok = np.maximum.accumulate(np.where(ok, place, 0))
+    carried = last_ok == 0
+    length = np.where(carried, place + n, place - last_ok)
+    first = np.where(carried, 0, last_ok)
+    fresh = np.where(first < len(ts), ts[np.minimum(first, len(ts) - 1)], 0)
+    starts = np.where(carried & (n > 0), start, fresh)
+    return (
+        np.concatenate(([n], length)),
+        np.concatenate(([start], starts)),
+        np.concatenate(([end], np.where(length > 0, ts, 0))),
+    )
+
+
+def _tracker(threshold: int):
+    def track(
+        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        last, last_seq, n, start, end = state.get if state.exists else (-(2**63), -1, 0, 0, 0)
+        # Nothing sorts the chunks of a key, so its polls of this batch are gathered:
+        # 17 bytes each, and no more of them than the source admits to one batch.
+        parts = [(c["ts_us"].to_numpy(), c["seq"].to_numpy(), c["ok"].to_numpy()) for c in chunks]
+        ts, seq, ok = (np.concatenate(column) for column in zip(*parts))
+        order = np.lexsort((seq, ts))
+        ts, seq, ok = ts[order], seq[order], ok[order].astype(bool)
+        fresh = (ts > last) | ((ts == last) & (seq > last_seq))
+        late = int(len(ts) - fresh.sum())
+        ts, seq, ok = ts[fresh], seq[fresh], ok[fresh]
+
+        events = []
+        if late:
+            events.append(
+                pd.DataFrame(
+                    {"kind": "late", "ts_us": [last], "start_us": 0, "end_us": 0, "n": late}
+                )
+            )
+        if len(ts):
+            length, starts, ends = number_failures(ts, ok, n, start, end)
+            alert = length[1:] >= threshold
+            recovery = ok & (length[:-1] >= threshold)
+            for kind, hit, at in (("alert", alert, slice(1, None)), ("recovery", recovery, slice(-1))):
+                events.append(
+                    pd.DataFrame(
+                        {
+                            "kind": kind,
+                            "ts_us": ts[hit],
+                            "start_us": starts[at][hit],
+                            "end_us": ends[at][hit],
+                            "n": length[at][hit],
+                        }
+                    )
+                )
+            state.update(
+                (int(ts[-1]), int(seq[-1]), int(length[-1]), int(starts[-1]), int(ends[-1]))
+            )
+        for table in events:
+            table.insert(0, "device_id", key[0])
+            yield table
+
+    return track
+
+
+def stream_outage(attempts: DataFrame, threshold: int = OUTAGE_THRESHOLD) -> DataFrame:
+    """Events of each device: ``alert``, ``recovery`` and ``late``.
+
+    The count of failures in a row is kept per device. Every failure from the
+    threshold on is an alert, and the first success after one a recovery; both tell
+    the ``start``, ``end`` and length ``n`` of the run. A poll older than one already
+    counted is dropped, and a ``late`` event tells how many were.
+
+    The polls of one device in one micro-batch go to one task; limit a micro-batch
+    with the source's ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``. For a device
+    which is too busy even so, use :func:`voltfleet.streaming.outage_log.write_outages`.
+    """
+    events = (
+        attempts.where(F.col("ts").isNotNull())
+        .select(
+            "device_id",
+            F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"),
+            F.coalesce("seq", F.lit(0).cast("bigint")).alias("seq"),
+            "ok",
+        )
+        .groupBy("device_id")
+        .applyInPandasWithState(
+            _tracker(threshold), _EVENTS, _STATE, "append", GroupStateTimeout.NoTimeout
+        )
+    )
+
+    def as_time(name: str):
+        return F.timestamp_micros(F.col(f"{name}_us")).cast("timestamp_ntz")
+
+    known = F.col("kind") != "late"
+    return events.select(
+        "device_id",
+        "kind",
+        as_time("ts").alias("ts"),
+        F.when(known, as_time("start")).alias("start"),
+        F.when(known, as_time("end")).alias("end"),
+        "n",
+    )

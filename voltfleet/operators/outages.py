@@ -16,16 +16,11 @@ from pyspark.sql import functions as F
 from voltfleet.schema import OUTAGE_THRESHOLD
 
 
-def failure_runs(
-    attempts: DataFrame,
-    threshold: int = OUTAGE_THRESHOLD,
-    keys: Sequence[str] = ("device_id",),
-) -> DataFrame:
-    """Runs of at least ``threshold`` failed polls in a row: keys, ``start``, ``end``, ``n``.
+def _stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per slice, its successes in order, each with the failures which follow it.
 
-    ``alerts`` counts the failures from the threshold on, each of which raises one.
-    Needs ``ts``, ``seq`` (breaks ties) and ``ok``. A poll without a time has no place
-    in the order and is left out.
+    Stretch k holds the k-th success of the slice and the failures after it; stretch 0
+    holds the failures before the first success.
     """
     sliced = (
         attempts.where(F.col("ts").isNotNull())
@@ -33,35 +28,72 @@ def failure_runs(
         .repartitionByRange(*keys, "ts", "seq")
         .withColumn("slice", F.spark_partition_id())
     )
-
-    # Within a slice, stretch k holds the k-th success and the failures after it;
-    # stretch 0 holds the failures before the first success.
-    slice_rows = Window.partitionBy(*keys, "slice")
+    in_slice = Window.partitionBy(*keys, "slice")
     success = F.col("ok").cast("long")
     numbered = sliced.withColumn(
-        "stretch", F.sum(success).over(slice_rows.orderBy("ts", "seq"))
-    ).withColumn("last_stretch", F.sum(success).over(slice_rows))
+        "stretch", F.sum(success).over(in_slice.orderBy("ts", "seq"))
+    ).withColumn("last_stretch", F.sum(success).over(in_slice))
     failed_at = F.when(~F.col("ok"), F.col("ts"))
-    stretches = numbered.groupBy(*keys, "slice", "stretch").agg(
+    return numbered.groupBy(*keys, "slice", "stretch", "last_stretch").agg(
         F.count(failed_at).alias("n"),
         F.min(failed_at).alias("start"),
         F.max(failed_at).alias("end"),
-        F.first("last_stretch").alias("last_stretch"),
     )
 
+
+def runs_after(
+    attempts: DataFrame,
+    open_runs: DataFrame | None = None,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """Runs in ``attempts`` which follow the runs in ``open_runs``.
+
+    Gives every run of at least ``threshold`` failures and, marked ``is_open``, the
+    run which each key is in at the end, however short; its length is 0 when the last
+    poll was a success. ``open_runs`` has keys, ``start``, ``end`` and ``n``.
+    """
+    stretches = _stretches(attempts, keys)
     # A stretch with a success on either side is complete and keeps a place of its
     # own. The first and last of each slice share the place NULL, where a stretch
     # which holds a success opens a new run and stretch 0 carries on the one before.
     inner = (F.col("stretch") > 0) & (F.col("stretch") < F.col("last_stretch"))
-    placed = stretches.where(~inner | (F.col("n") >= threshold)).withColumn(
-        "place", F.when(inner, F.struct("slice", "stretch"))
+    placed = (
+        stretches.where(~inner | (F.col("n") >= threshold))
+        .withColumn("place", F.when(inner, F.struct("slice", "stretch")))
+        .drop("last_stretch")
     )
-    in_place = Window.partitionBy(*keys, "place").orderBy("slice", "stretch")
+    if open_runs is not None:
+        carried = open_runs.select(*keys, "start", "end", "n").withColumns(
+            {"slice": F.lit(-1), "stretch": F.lit(0).cast("bigint")}
+        )
+        placed = placed.unionByName(carried, allowMissingColumns=True)
+    in_place = Window.partitionBy(*keys, "place")
     opens = (F.col("stretch") > 0).cast("long")
     return (
-        placed.withColumn("run", F.sum(opens).over(in_place))
-        .groupBy(*keys, "place", "run")
+        placed.withColumn("run", F.sum(opens).over(in_place.orderBy("slice", "stretch")))
+        .withColumn("last_run", F.sum(opens).over(in_place))
+        .groupBy(*keys, "place", "run", "last_run")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+        .withColumn("is_open", F.col("place").isNull() & (F.col("run") == F.col("last_run")))
+        .where(F.col("is_open") | (F.col("n") >= threshold))
+        .select(*keys, "start", "end", "n", "is_open")
+    )
+
+
+def failure_runs(
+    attempts: DataFrame,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """Runs of at least ``threshold`` failed polls in a row: keys, ``start``, ``end``, ``n``.
+
+    ``alerts`` counts the failures from the threshold on, each of which raises one.
+    Needs ``ts``, ``seq`` (breaks ties) and ``ok``. A poll without a time has no place
+    in the order and is left out.
+    """
+    return (
+        runs_after(attempts, None, threshold, keys)
         .where(F.col("n") >= threshold)
         .select(*keys, "start", "end", "n", (F.col("n") - (threshold - 1)).alias("alerts"))
     )

@@ -6,9 +6,11 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from voltfleet.operators.periods import between, check_period, day_span, hour_span, month_span
-from voltfleet.sources.tables import read_logs
+from voltfleet.schema import READINGS
+from voltfleet.sources.tables import by_date
 
 
 def _span(period: str, key: str) -> tuple[date | datetime, date | datetime]:
@@ -27,18 +29,22 @@ def survivors(df: DataFrame, period: str, key: str) -> DataFrame:
 
 
 def delete_to_snapshot(
-    spark: SparkSession, path: str, snapshot: str, period: str, key: str
+    spark: SparkSession,
+    path: str,
+    snapshot: str,
+    period: str,
+    key: str,
+    schema: StructType = READINGS,
 ) -> int:
     """Write the survivors of the whole table to a new folder; the number removed.
 
     The old table is left alone, so a lost driver costs nothing. Use it for a table
     written by a stream, whose file list must not change behind its back.
     """
-    table = read_logs(spark, path)
-    removed = table.where(_doomed(period, key)).count()
+    table = spark.read.schema(schema).parquet(path)
+    removed = table.where(between(*_span(period, key))).count()
     (
-        survivors(table, period, key)
-        .hint("rebalance", "log_date")
+        by_date(survivors(table, period, key))
         .write.mode("errorifexists")
         .partitionBy("log_date")
         .parquet(snapshot)
@@ -46,12 +52,15 @@ def delete_to_snapshot(
     return removed
 
 
-def delete_period(spark: SparkSession, path: str, period: str, key: str) -> int:
+def delete_period(
+    spark: SparkSession, path: str, period: str, key: str, schema: StructType = READINGS
+) -> int:
     """Remove the readings of a period from the table in place; the number removed.
 
     Only the dates of the period are read: one, or those of a month. A date which
     keeps some rows is rewritten, a date which keeps none is dropped, since a dynamic
-    overwrite without rows would leave it as it was.
+    overwrite without rows would leave it as it was. With its own ``schema`` the
+    hourly table takes the same call.
     """
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
     root = hadoop_path(path)
@@ -61,7 +70,7 @@ def delete_period(spark: SparkSession, path: str, period: str, key: str) -> int:
 
     doomed = _doomed(period, key)
     dates = day_span(key[:10]) if period == "hour" else _span(period, key)
-    touched = read_logs(spark, path).where(between(*dates))
+    touched = spark.read.schema(schema).parquet(path).where(between(*dates))
     # At most one row per date of a month.
     counts = (
         touched.groupBy("log_date")
@@ -72,8 +81,7 @@ def delete_period(spark: SparkSession, path: str, period: str, key: str) -> int:
     rewritten = [row["log_date"] for row in hit if row["kept"]]
     if rewritten:
         (
-            touched.where(F.col("log_date").isin(rewritten) & ~doomed)
-            .hint("rebalance", "log_date")
+            by_date(touched.where(F.col("log_date").isin(rewritten) & ~doomed))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("log_date")

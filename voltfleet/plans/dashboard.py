@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from voltfleet.functions.display import chart_series
 from voltfleet.operators.keylists import available_dates, available_months, available_weeks
@@ -38,12 +37,16 @@ def dashboard(
     date: str | None = None,
     as_of: Moment | None = None,
     hourly: DataFrame | None = None,
-) -> dict[str, DataFrame]:
-    """The parts of a view, each a lazy DataFrame.
+    current: DataFrame | None = None,
+) -> dict[str, str | DataFrame]:
+    """The title of a view and its parts, each a lazy DataFrame.
 
-    Given the hourly table, the table and the summary are read from it. The parts
-    share no cached frame: each scans only the partitions and columns it needs.
+    Given the hourly table, the table, the summary and the key lists are read from it;
+    given ``current``, a table of newest readings such as a stream keeps, the latest
+    reading is. Only the series then touches the readings. The parts share no cached
+    frame: each scans only the partitions and columns it needs.
     """
+    dated = df if hourly is None else hourly
     if hourly is None:
         table = rollup(df, period, date, as_of)
         totals = summary(df, period, date, as_of)
@@ -52,12 +55,12 @@ def dashboard(
         totals = summary_from_hourly(hourly, period, date, as_of)
     series = chart_series(ordered_series(df, period, date, as_of), period)
     return {
-        "title": totals.select(F.lit(view_title(period, date)).alias("title")),
+        "title": view_title(period, date),
         "table": label_order(table),
         "summary": totals,
         "series": series.select("label", "chart_watts_out", "chart_temp", "chart_watts_in"),
-        "latest": latest_reading(df),
-        "dates": available_dates(df),
-        "weeks": available_weeks(df),
-        "months": available_months(df),
+        "latest": latest_reading(df if current is None else current),
+        "dates": available_dates(dated),
+        "weeks": available_weeks(dated),
+        "months": available_months(dated),
     }

@@ -20,6 +20,7 @@ from voltfleet.operators.rollups import (
     grain_of,
     summary_of_buckets,
 )
+from voltfleet.sources.tables import by_date
 
 # Name used in the hourly table and the measure it comes from.
 _AVERAGED = {
@@ -82,10 +83,15 @@ def hourly_table(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def write_hourly(hourly: DataFrame, path: str) -> None:
-    """Append to the hourly table, one directory per date."""
+    """Replace the dates which ``hourly`` covers, each with a directory of its own.
+
+    Give whole dates. Writing them again, after late readings or a failed run, changes
+    nothing else.
+    """
     (
-        hourly.hint("rebalance", "log_date")
-        .write.mode("append")
+        by_date(hourly)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("log_date")
         .parquet(path)
     )

@@ -14,6 +14,10 @@ _DEFAULTS = {
     # Readings carry local wall-clock times; streams need TIMESTAMP, and in UTC the
     # two types name the same instant.
     "spark.sql.session.timeZone": "UTC",
+    # State of a large fleet belongs on disk, not on the heap.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

@@ -26,15 +26,21 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(READINGS).parquet(path)
 
 
+def by_date(df: DataFrame) -> DataFrame:
+    """Lay rows out for a write which is partitioned by ``log_date``."""
+    order = [c for c in ("log_date", "device_id", "ts") if c in df.columns]
+    return df.hint("rebalance", "log_date").sortWithinPartitions(*order)
+
+
 def append_readings(df: DataFrame, path: str) -> None:
     """Append readings, columns matched by name.
 
     The rebalance hint gathers each date into few files and splits a date which
-    holds too much for one task.
+    holds too much for one task. Within a file rows go by device and time, so that a
+    view of one device skips most pages.
     """
     (
-        df.select(*READINGS.names)
-        .hint("rebalance", "log_date")
+        by_date(df.select(*READINGS.names))
         .write.mode("append")
         .partitionBy("log_date")
         .parquet(path)

@@ -1,7 +1,8 @@
 """Every operator as a query over the given tables.
 
 Averages are rounded to 6 places and sums to 4, since the order in which doubles are
-added differs from engine to engine; times are shown as text.
+added differs from engine to engine. They are rounded to 9 places first, or a last
+digit which differs would tip an exact half either way. Times are shown as text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from voltfleet.plans.dashboard import dashboard
 from voltfleet.schema import MEASURES
 from voltfleet.session import working_dir
 from voltfleet.sources import documents, tables
-from voltfleet.streaming import ingest, outage, windows
+from voltfleet.streaming import ingest, outage, outage_log, windows
 from voltfleet.streaming import latest as live
 from workload import views as v
 
@@ -38,7 +39,8 @@ def _shown(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         kind = field.dataType.typeName()
         if kind == "double":
-            out[field.name] = F.round(field.name, 4 if field.name.startswith("sum_") else 6)
+            places = 4 if field.name.startswith("sum_") else 6
+            out[field.name] = F.round(F.round(field.name, 9), places)
         elif kind == "timestamp_ntz":
             out[field.name] = F.date_format(field.name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     return df.withColumns(out) if out else df
@@ -472,14 +474,10 @@ def _view(spark, d):
     return dashboard(v.readings(spark, d), "day", v.WEEK)
 
 
-@job
-def dashboard_title(spark, d):
-    return _view(spark, d)["title"]
-
-
 @job
 def dashboard_table(spark, d):
-    return _shown(_view(spark, d)["table"])
+    parts = _view(spark, d)
+    return _shown(parts["table"].withColumn("title", F.lit(parts["title"])))
 
 
 @job
@@ -589,3 +587,11 @@ def stream_latest(spark, d):
 def stream_outage(spark, d):
     polls = documents.poll_success(v.attempts_of(_event_stream(spark, d)))
     return _shown(_run(spark, outage.stream_outage(polls), "outage"))
+
+
+@job
+def stream_outage_runs(spark, d):
+    path, checkpoint = working_dir(spark, "outages"), working_dir(spark, "outages-checkpoint")
+    polls = documents.poll_success(v.attempts_of(_event_stream(spark, d)))
+    outage_log.write_outages(polls, path, checkpoint, trigger=_ONCE).awaitTermination()
+    return _shown(outage_log.read_outages(spark, path).drop("is_open"))

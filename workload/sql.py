@@ -59,7 +59,7 @@ changes AS (
 
 TS = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 SHOWN_MEASURES = ", ".join(
-    f'round("{m}", 6) AS "{m}"'
+    f'round(round("{m}", 9), 6) AS "{m}"'
     for m in (
         "whOut",
         "whStored",
@@ -72,16 +72,18 @@ SHOWN_MEASURES = ", ".join(
         "timeToEmptyFull",
     )
 )
-AVERAGES = """round(avg("wattsOut"), 6) AS avg_watts_out, round(avg(temperature), 6) AS avg_temp,
-  round(avg("wattsIn"), 6) AS avg_watts_in"""
+AVERAGES = """round(round(avg("wattsOut"), 9), 6) AS avg_watts_out,
+  round(round(avg(temperature), 9), 6) AS avg_temp,
+  round(round(avg("wattsIn"), 9), 6) AS avg_watts_in"""
 EXTREMES = """min("wattsIn") AS min_watts_in, max("wattsIn") AS max_watts_in,
   min("wattsOut") AS min_watts_out, max("wattsOut") AS max_watts_out"""
-STATS = """round(avg("wattsOut"), 6) AS avg_watts_out, round(max("wattsOut"), 6) AS max_watts_out,
-  round(min("wattsOut"), 6) AS min_watts_out, round(avg("socPercent"), 6) AS avg_soc,
+STATS = """round(round(avg("wattsOut"), 9), 6) AS avg_watts_out,
+  max("wattsOut") AS max_watts_out, min("wattsOut") AS min_watts_out,
+  round(round(avg("socPercent"), 9), 6) AS avg_soc,
   round(sum(abs("whOut")), 4) AS sum_abs_wh_out, count(*) AS n"""
 LATEST = """{ts} AS ts, "socPercent" AS soc, "wattsOut" AS watts_out, "wattsIn" AS watts_in,
-  round(temperature, 6) AS temp, "whStored" AS wh_stored, "timeToEmptyFull" AS time_to_empty_full,
-  {left} AS time_left"""
+  round(round(temperature, 9), 6) AS temp, "whStored" AS wh_stored,
+  "timeToEmptyFull" AS time_to_empty_full, {left} AS time_left"""
 
 
 def _time_left(minutes: str, unknown: str = "false") -> str:
@@ -114,7 +116,7 @@ def _summary(source: str, name: str, label: str, where: str, key: str = "") -> s
       max("wattsIn") AS xi, avg("wattsOut") AS ao, min("wattsOut") AS no, max("wattsOut") AS xo
       FROM {name} WHERE {where} GROUP BY {key}{label}'''
     parts = ", ".join(
-        f"round(coalesce({fold}({col}), 0), 6) AS {alias}"
+        f"round(round(coalesce({fold}({col}), 0), 9), 6) AS {alias}"
         for fold, col, alias in (
             ("avg", "ai", "avg_watts_in"),
             ("min", "ni", "min_watts_in"),
@@ -231,9 +233,9 @@ days AS (
   FROM hours, generate_series(1, 24) AS g(k))
 SELECT {TS.format('window_end - INTERVAL 24 HOUR')} AS window_start,
        {TS.format('window_end')} AS window_end,
-       round(sum(sum_watts_out) / sum(count_watts_out), 6) AS avg_watts_out,
+       round(round(sum(sum_watts_out) / sum(count_watts_out), 9), 6) AS avg_watts_out,
        max(max_watts_out) AS max_watts_out, min(min_watts_out) AS min_watts_out,
-       round(sum(sum_soc) / sum(count_soc), 6) AS avg_soc,
+       round(round(sum(sum_soc) / sum(count_soc), 9), 6) AS avg_soc,
        round(sum(sum_abs_wh_out), 4) AS sum_abs_wh_out, CAST(sum(n) AS BIGINT) AS n
 FROM days WHERE window_end <= {CLOSED} GROUP BY days.window_end"""
 
@@ -342,9 +344,9 @@ SQL: dict[str, str] = {
     "null_to_zero": _on(
         READINGS,
         f"""SELECT device_id, {DATE_HOUR} AS periode,
-        round(coalesce(avg("wattsOut"), 0), 6) AS avg_watts_out,
-        round(coalesce(avg(temperature), 0), 6) AS avg_temp,
-        round(coalesce(avg("wattsIn"), 0), 6) AS avg_watts_in
+        round(round(coalesce(avg("wattsOut"), 0), 9), 6) AS avg_watts_out,
+        round(round(coalesce(avg(temperature), 0), 9), 6) AS avg_temp,
+        round(round(coalesce(avg("wattsIn"), 0), 9), 6) AS avg_watts_in
         FROM readings GROUP BY device_id, {DATE_HOUR}""",
     ),
     "display_round": _on(
@@ -376,11 +378,12 @@ SQL: dict[str, str] = {
     ),
     "rated_utilisation": _on(
         MONTHLY,
-        """SELECT seq, round((seq % 130) / 100.0, 6) AS "socPercent_share",
-        round(CASE WHEN "wattsOut" > 2000 THEN 1 ELSE "wattsOut" / 2000 END, 6)
+        """SELECT seq, round(round((seq % 130) / 100.0, 9), 6) AS "socPercent_share",
+        round(round(CASE WHEN "wattsOut" > 2000 THEN 1 ELSE "wattsOut" / 2000 END, 9), 6)
           AS "wattsOut_share",
-        round(CASE WHEN "wattsIn" > 1500 THEN 1 ELSE "wattsIn" / 1500 END, 6) AS "wattsIn_share",
-        round(CASE WHEN temperature > 60 THEN 1 ELSE temperature / 60 END, 6)
+        round(round(CASE WHEN "wattsIn" > 1500 THEN 1 ELSE "wattsIn" / 1500 END, 9), 6)
+          AS "wattsIn_share",
+        round(round(CASE WHEN temperature > 60 THEN 1 ELSE temperature / 60 END, 9), 6)
           AS temperature_share FROM monthly""",
     ),
     "poll_success": """SELECT event_id AS seq, event_type <> 'error' AS ok_dashboard,
@@ -410,15 +413,15 @@ SQL: dict[str, str] = {
     "minmax_daily": _on(MONTHLY, f"SELECT {EXTREMES} FROM monthly WHERE {LAST_MONTHS}"),
     "mean_of_buckets": _on(
         READINGS,
-        f"""SELECT round(coalesce(avg(i), 0), 6) AS avg_watts_in,
-        round(coalesce(avg(o), 0), 6) AS avg_watts_out
+        f"""SELECT round(round(coalesce(avg(i), 0), 9), 6) AS avg_watts_in,
+        round(round(coalesce(avg(o), 0), 9), 6) AS avg_watts_out
         FROM (SELECT avg("wattsIn") AS i, avg("wattsOut") AS o FROM readings
               WHERE {DAY} GROUP BY {HOUR_LABEL})""",
     ),
     "mean_of_buckets_device": _on(
         READINGS,
-        """SELECT device_id, round(coalesce(avg(i), 0), 6) AS avg_watts_in,
-        round(coalesce(avg(o), 0), 6) AS avg_watts_out
+        """SELECT device_id, round(round(coalesce(avg(i), 0), 9), 6) AS avg_watts_in,
+        round(round(coalesce(avg(o), 0), 9), 6) AS avg_watts_out
         FROM (SELECT device_id, avg("wattsIn") AS i, avg("wattsOut") AS o FROM readings
               GROUP BY device_id, log_date) GROUP BY device_id""",
     ),
@@ -442,7 +445,7 @@ SQL: dict[str, str] = {
     "ordered_series": _on(
         READINGS,
         f"""SELECT device_id, seq, date_heure, {TS.format('ts')} AS ts, "wattsOut",
-        round(temperature, 6) AS temperature, "wattsIn" FROM readings
+        round(round(temperature, 9), 6) AS temperature, "wattsIn" FROM readings
         WHERE {WEEK} ORDER BY readings.ts, device_id, seq""",
     ),
     "label_order": _rollup(MONTHLY, "monthly", MONTH_LABEL, MONTHS) + " ORDER BY periode",
@@ -463,8 +466,9 @@ SQL: dict[str, str] = {
     "summary_day": _summary(READINGS, "readings", DAY_LABEL, LAST_WEEK),
     "summary_month": _summary(MONTHLY, "monthly", MONTH_LABEL, LAST_MONTHS),
     "summary_device": _summary(READINGS, "readings", DAY_LABEL, WEEK, "device_id, "),
-    "dashboard_title": "SELECT 'Par jour - Semaine 03/2024' AS title",
-    "dashboard_table": _rollup(READINGS, "readings", DAY_LABEL, WEEK),
+    "dashboard_table": "SELECT *, 'Par jour - Semaine 03/2024' AS title FROM ("
+    + _rollup(READINGS, "readings", DAY_LABEL, WEEK)
+    + ")",
     "dashboard_summary": _summary(READINGS, "readings", DAY_LABEL, WEEK),
     "dashboard_series": _on(
         READINGS,
@@ -498,4 +502,5 @@ SQL: dict[str, str] = {
     "stream_stats_24h": STREAM_STATS,
     "stream_latest": _latest(True),
     "stream_outage": OUTAGE_EVENTS,
+    "stream_outage_runs": f'SELECT device_id, "start", "end", n FROM ({FAILURE_RUNS})',
 }

@@ -50,6 +50,12 @@ def test_hot_device_is_cut_into_slices(polls):
     assert found(failure_runs(polls(rows))) == brute_force(rows)
 
 
+def test_a_new_setup_ends_a_run(polls):
+    rows = [(1, s, False) for s in range(6)]
+    setup = polls([(1, 3, True)]).drop("ok")
+    assert found(failure_runs(polls(rows), resets=setup)) == [(1, 0, 2, 3), (1, 3, 5, 3)]
+
+
 def test_run_over_many_slices(spark, polls):
     # One device, no success at all: a single run through every slice.
     rows = [(1, s, False) for s in range(500)] + [(2, s, True) for s in range(500)]

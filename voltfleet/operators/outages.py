@@ -85,13 +85,18 @@ def failure_runs(
     attempts: DataFrame,
     threshold: int = OUTAGE_THRESHOLD,
     keys: Sequence[str] = ("device_id",),
+    resets: DataFrame | None = None,
 ) -> DataFrame:
     """Runs of at least ``threshold`` failed polls in a row: keys, ``start``, ``end``, ``n``.
 
     ``alerts`` counts the failures from the threshold on, each of which raises one.
     Needs ``ts``, ``seq`` (breaks ties) and ``ok``. A poll without a time has no place
-    in the order and is left out.
+    in the order and is left out. ``resets`` (keys, ``ts``, ``seq``) are times at which
+    the connection was set up anew, which ends a run as a success does.
     """
+    if resets is not None:
+        anew = resets.select(*keys, "ts", "seq", F.lit(True).alias("ok"))
+        attempts = attempts.select(*keys, "ts", "seq", "ok").unionByName(anew)
     return (
         runs_after(attempts, None, threshold, keys)
         .where(F.col("n") >= threshold)

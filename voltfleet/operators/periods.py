@@ -91,6 +91,11 @@ def _moment(value: date | datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def on_dates(start: date, end: date) -> Column:
+    """``start <= log_date < end``: reads no data column of a partitioned table."""
+    return (F.col("log_date") >= F.lit(start)) & (F.col("log_date") < F.lit(end))
+
+
 def between(start: date | datetime, end: date | datetime | None = None) -> Column:
     """``start <= ts < end`` together with the dates this spans."""
 

@@ -8,9 +8,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from voltfleet.operators.periods import between, check_period, day_span, hour_span, month_span
+from voltfleet.operators.periods import (
+    between,
+    check_period,
+    day_span,
+    hour_span,
+    month_span,
+    on_dates,
+)
 from voltfleet.schema import READINGS
-from voltfleet.sources.tables import by_date
+from voltfleet.sources.tables import by_date, refuse_stream_table
 
 
 def _span(period: str, key: str) -> tuple[date | datetime, date | datetime]:
@@ -59,18 +66,17 @@ def delete_period(
 
     Only the dates of the period are read: one, or those of a month. A date which
     keeps some rows is rewritten, a date which keeps none is dropped, since a dynamic
-    overwrite without rows would leave it as it was. With its own ``schema`` the
+    overwrite without rows would leave it as it was. A table written by a stream is
+    refused; use :func:`delete_to_snapshot`. With its own ``schema`` the
     hourly table takes the same call.
     """
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    root = hadoop_path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop_path(f"{path}/_spark_metadata")):
-        raise ValueError(f"{path} is written by a stream; use delete_to_snapshot")
-
-    doomed = _doomed(period, key)
-    dates = day_span(key[:10]) if period == "hour" else _span(period, key)
-    touched = spark.read.schema(schema).parquet(path).where(between(*dates))
+    refuse_stream_table(spark, path)
+    if period == "hour":
+        dates, doomed = day_span(key[:10]), _doomed(period, key)
+    else:
+        # Whole dates go, so that only their row counts are read.
+        dates, doomed = _span(period, key), F.lit(True)
+    touched = spark.read.schema(schema).parquet(path).where(on_dates(*dates))
     # At most one row per date of a month.
     counts = (
         touched.groupBy("log_date")
@@ -87,6 +93,8 @@ def delete_period(
             .partitionBy("log_date")
             .parquet(path)
         )
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for row in hit:
         if not row["kept"]:
             fs.delete(hadoop_path(f"{path}/log_date={row['log_date']}"), True)

@@ -20,7 +20,7 @@ from voltfleet.operators.rollups import (
     grain_of,
     summary_of_buckets,
 )
-from voltfleet.sources.tables import by_date
+from voltfleet.sources.tables import by_date, refuse_stream_table
 
 # Name used in the hourly table and the measure it comes from.
 _AVERAGED = {
@@ -88,6 +88,7 @@ def write_hourly(hourly: DataFrame, path: str) -> None:
     Give whole dates. Writing them again, after late readings or a failed run, changes
     nothing else.
     """
+    refuse_stream_table(hourly.sparkSession, path)
     (
         by_date(hourly)
         .write.mode("overwrite")

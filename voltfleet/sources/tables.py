@@ -26,6 +26,13 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(READINGS).parquet(path)
 
 
+def refuse_stream_table(spark: SparkSession, path: str) -> None:
+    """Raise for a folder which a stream writes: its file list must not change unseen."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_spark_metadata")
+    if mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        raise ValueError(f"{path} is written by a stream; write to another folder")
+
+
 def by_date(df: DataFrame) -> DataFrame:
     """Lay rows out for a write which is partitioned by ``log_date``."""
     order = [c for c in ("log_date", "device_id", "ts") if c in df.columns]
@@ -39,6 +46,7 @@ def append_readings(df: DataFrame, path: str) -> None:
     holds too much for one task. Within a file rows go by device and time, so that a
     view of one device skips most pages.
     """
+    refuse_stream_table(df.sparkSession, path)
     (
         by_date(df.select(*READINGS.names))
         .write.mode("append")

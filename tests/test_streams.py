@@ -10,7 +10,7 @@ from voltfleet.plans import hourly
 from voltfleet.schema import MEASURES
 from voltfleet.sources.documents import read_state
 from voltfleet.sources.tables import read_logs
-from voltfleet.streaming import ingest, latest, outage, outage_log, windows
+from voltfleet.streaming import folders, ingest, latest, outage, outage_log, windows
 
 FILES = 5
 ONCE = {"availableNow": True}
@@ -30,21 +30,28 @@ def events(spark):
     return df.select("device_id", "seq", ts.alias("ts"), "ok", payload.alias("payload"))
 
 
+def land(events, path, files):
+    for k in files:
+        part = events.where((F.col("seq") >= k * 300) & (F.col("seq") < k * 300 + 300))
+        part.coalesce(1).write.mode("append").parquet(path)
+
+
+def follow(events, path):
+    reader = events.sparkSession.readStream.schema(events.schema)
+    return reader.option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @pytest.fixture(scope="module")
 def landing(events, tmp_path_factory):
     """The same in several files, in order of time, so that state spans batches."""
     path = str(tmp_path_factory.mktemp("landing"))
-    for k in range(FILES):
-        part = events.where((F.col("seq") >= k * 300) & (F.col("seq") < k * 300 + 300))
-        part.coalesce(1).write.mode("append").parquet(path)
+    land(events, path, range(FILES))
     return path
 
 
 @pytest.fixture
-def stream(spark, events, landing):
-    return (
-        spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    )
+def stream(events, landing):
+    return follow(events, landing)
 
 
 def run(spark, df, tmp_path, mode="append"):
@@ -75,14 +82,12 @@ def closed(df, column, hours=0):
     return df.where(end <= last)
 
 
-def test_ingest_and_restart(spark, events, stream, tmp_path):
-    raw = stream.select("device_id", "seq", "ts", "payload")
-    path, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
-    first = ingest.stream_ingest(raw, path, checkpoint, {"once": True})
-    first.awaitTermination()
-    some = read_logs(spark, path).count()
-    assert some == 300
-    ingest.stream_ingest(raw, path, checkpoint, ONCE).awaitTermination()
+def test_ingest_and_restart(spark, events, tmp_path):
+    landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "t", "c"))
+    for files in (range(2), range(2, FILES)):
+        land(events, landing, files)
+        ingest.stream_ingest(follow(events, landing), path, checkpoint, ONCE).awaitTermination()
+        assert read_logs(spark, path).count() == 300 * (files[-1] + 1)
     assert rows_of(read_logs(spark, path)) == rows_of(read_state(events.drop("ok")))
 
 
@@ -127,6 +132,8 @@ def test_latest(spark, events, stream, tmp_path):
     path = str(tmp_path / "latest")
     rows = latest.stream_latest(read_state(stream))
     latest.write_latest(rows, path, str(tmp_path / "c"), ONCE).awaitTermination()
+    # Of five batches the newest three folders are kept.
+    assert folders.batches(spark, path) == [2, 3, 4]
     want = batch_latest.latest_reading(read_state(events), ["device_id"])
     assert rows_of(latest.read_latest(spark, path)) == rows_of(want)
 
@@ -156,10 +163,12 @@ def test_outage_late_polls(spark, polls, tmp_path):
     assert sorted((r["kind"], r["n"]) for r in got.collect()) == [("alert", 3), ("late", 1)]
 
 
-def test_outage_runs_over_batches(spark, events, stream, tmp_path):
-    path, checkpoint = str(tmp_path / "o"), str(tmp_path / "c")
-    outage_log.write_outages(stream, path, checkpoint, trigger={"once": True}).awaitTermination()
-    outage_log.write_outages(stream, path, checkpoint, trigger=ONCE).awaitTermination()
+def test_outage_runs_over_batches_and_a_restart(spark, events, tmp_path):
+    landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "o", "c"))
+    for files in (range(2), range(2, FILES)):
+        land(events, landing, files)
+        polls = follow(events, landing)
+        outage_log.write_outages(polls, path, checkpoint, trigger=ONCE).awaitTermination()
     got = outage_log.read_outages(spark, path)
     want = failure_runs(events).select("device_id", "start", "end", "n")
     assert rows_of(got.drop("is_open")) == rows_of(want)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voltfleet.operators.latest import SHOWN, latest_reading, newest
+from voltfleet.streaming.folders import batch_folder, batches, drop_before
 
 
 def stream_latest(stream: DataFrame, keys: Sequence[str] = ("device_id",)) -> DataFrame:
-    """The newest reading per key so far; write it in update mode.
+    """The newest reading per key so far, for update or complete mode.
 
     The state is one row per device.
     """
@@ -21,19 +22,20 @@ def stream_latest(stream: DataFrame, keys: Sequence[str] = ("device_id",)) -> Da
 
 
 def write_latest(
-    latest: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    latest: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keep: int = 3
 ) -> StreamingQuery:
-    """Write each batch of changed devices to a folder of its own.
+    """Write the current row of every device, each batch to a folder of its own.
 
-    A batch which is run again after a failure overwrites its folder, so every change
-    is there once.
+    A batch which is run again after a failure overwrites its folder. The ``keep``
+    newest folders stay, for readers which are still at an older one.
     """
 
-    def save(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    def save(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(batch_folder(path, batch))
+        drop_before(rows.sparkSession, path, batch - keep + 1)
 
     return (
-        latest.writeStream.outputMode("update")
+        latest.writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .foreachBatch(save)
         .trigger(**(trigger or {"processingTime": "60 seconds"}))
@@ -44,5 +46,6 @@ def write_latest(
 def read_latest(
     spark: SparkSession, path: str, keys: Sequence[str] = ("device_id",)
 ) -> DataFrame:
-    """The current row of each device from the folders of :func:`write_latest`."""
-    return latest_reading(spark.read.parquet(path), keys)
+    """The newest reading of each key from the newest folder of :func:`write_latest`."""
+    newest_folder = batch_folder(path, batches(spark, path)[-1])
+    return latest_reading(spark.read.parquet(newest_folder), keys)

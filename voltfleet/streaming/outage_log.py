@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from voltfleet.operators.outages import runs_after
 from voltfleet.schema import OUTAGE_THRESHOLD
+from voltfleet.streaming.folders import batch_folder, batches
 
 _RUNS = "device_id bigint, start timestamp_ntz, end timestamp_ntz, n bigint, is_open boolean"
 
@@ -34,11 +35,11 @@ def write_outages(
         spark = polls.sparkSession
         carried = None
         if batch > 0:
-            before = spark.read.schema(_RUNS).parquet(f"{path}/batch={batch - 1}")
+            before = spark.read.schema(_RUNS).parquet(batch_folder(path, batch - 1))
             carried = before.where(F.col("is_open") & (F.col("n") > 0))
         runs = runs_after(polls, carried, threshold)
         runs.where(~F.col("is_open") | (F.col("n") > 0)).write.mode("overwrite").parquet(
-            f"{path}/batch={batch}"
+            batch_folder(path, batch)
         )
 
     return (
@@ -53,10 +54,7 @@ def read_outages(
     spark: SparkSession, path: str, threshold: int = OUTAGE_THRESHOLD
 ) -> DataFrame:
     """All outages so far: the finished ones, and those which the last batch left open."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in fs.listStatus(folder)]
-    last = max(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+    last = batches(spark, path)[-1]
     runs = spark.read.schema(f"{_RUNS}, batch int").parquet(path)
     return runs.where(
         (F.col("n") >= threshold) & (~F.col("is_open") | (F.col("batch") == last))

@@ -43,7 +43,7 @@ HEADLINE = (
     "active_config",
     "fold_config",
     "hourly_table",
-    "dashboard_table",
+    "dashboard",
     "dashboard_series",
     "delete_day",
     "stream_stats_24h",

@@ -1,3 +1,5 @@
+import random
+
 from voltfleet.functions import display
 
 
@@ -56,10 +58,21 @@ def test_chart(readings):
         assert got[0]["chart_watts_out"] == 3.0 and got[1]["chart_watts_out"] == 0.0
 
 
+def test_rounding_is_that_of_python(spark):
+    rng = random.Random(2)
+    values = [0.15, 0.25, 2.675, 1.005, -0.04, -0.25, 1e-9, 1e15 + 0.3]
+    values += [k / 32 for k in range(2000)] + [k / 800 for k in range(2000)]
+    values += [round(rng.uniform(-1000, 1000), 3) for _ in range(5000)]
+    df = spark.createDataFrame([(v, v, v) for v in values], "a double, b double, c double")
+    got = display.display_round(df, {"a": 0, "b": 1, "c": 2}).collect()
+    assert [tuple(r) for r in got] == [(round(v), round(v, 1), round(v, 2)) for v in values]
+
+
 def test_rounding(spark):
-    df = spark.createDataFrame([(2.5, 0.25, 0.125), (-2.5, 0.35, 0.375)], "w double, a double, b double")
+    rows = [(2.5, 0.25, 0.125), (-2.5, 0.35, 0.375), (None, None, None)]
+    df = spark.createDataFrame(rows, "w double, a double, b double")
     got = [tuple(r) for r in display.display_round(df, {"w": "watts", "a": 1, "b": 2}).collect()]
-    assert got == [(3.0, 0.2, 0.12), (-2.0, 0.4, 0.38)]
+    assert got == [(3.0, 0.2, 0.12), (-2.0, 0.3, 0.38), (None, None, None)]
 
 
 def test_utilisation(readings):

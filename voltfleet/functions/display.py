@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from voltfleet.functions.timekeys import day_label
 from voltfleet.schema import CHARGE_PRESETS, RATINGS, UNKNOWN_LABEL, UNKNOWN_TIME_LEFT
 
+# The decimals shown in the table, the summary and for the newest reading.
+TABLE_ROUNDING = {"avg_watts_in": 1, "avg_watts_out": 1, "avg_temp": 1}
+SUMMARY_ROUNDING = {
+    "avg_watts_in": 2,
+    "min_watts_in": 2,
+    "max_watts_in": 2,
+    "avg_watts_out": 2,
+    "min_watts_out": 2,
+    "max_watts_out": 2,
+}
+LATEST_ROUNDING = {"soc": 0, "watts_out": "watts", "watts_in": "watts", "temp": 1}
+
 
 def classify_profile(df: DataFrame, out: str = "profile") -> DataFrame:
     """Name the charge profile in ``min``, ``max``, ``re``.
@@ -106,17 +118,26 @@ def null_to_zero(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     return df.withColumns({name: F.coalesce(F.col(name), F.lit(0.0)) for name in cols})
 
 
+def round_exact(value: Column, decimals: int) -> Column:
+    """Round the exact binary value, halves to even, as Python does: 0.15 gives 0.1.
+
+    ``bround`` works on the shortest decimal form and gives 0.2 there.
+    """
+    pattern = "0." + "0" * decimals if decimals else "0"
+    return F.call_function("format_number", value, F.lit(pattern)).try_cast("double")
+
+
 def display_round(df: DataFrame, spec: Mapping[str, int | str]) -> DataFrame:
     """Round columns for display.
 
-    ``spec`` maps a column to a number of decimals (half-even on the shortest decimal
-    form, so 0.15 gives 0.2) or to ``"watts"`` for whole numbers with halves up.
+    ``spec`` maps a column to a number of decimals, or to ``"watts"`` for whole numbers
+    with halves up. :data:`TABLE_ROUNDING` and the two below it are those of a view.
     """
     return df.withColumns(
         {
             name: F.floor(F.col(name) + 0.5).cast("double")
             if how == "watts"
-            else F.bround(F.col(name), how)
+            else round_exact(F.col(name), how)
             for name, how in spec.items()
         }
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voltfleet.functions import display, timekeys
 from voltfleet.operators import config_log, keylists, latest, outages, periods, retention, rollups
 from voltfleet.plans import hourly as hours
-from voltfleet.plans.dashboard import dashboard
+from voltfleet.plans.dashboard import dashboard as plan_dashboard
 from voltfleet.schema import MEASURES
 from voltfleet.session import working_dir
 from voltfleet.sources import documents, tables
@@ -471,15 +471,23 @@ def summary_device(spark, d):
 
 
 def _view(spark, d):
-    return dashboard(v.readings(spark, d), "day", v.WEEK)
+    return plan_dashboard(v.readings(spark, d), "day", v.WEEK)
 
 
 @job
-def dashboard_table(spark, d):
+def dashboard(spark, d):
     parts = _view(spark, d)
     return _shown(parts["table"].withColumn("title", F.lit(parts["title"])))
 
 
+@job
+def dashboard_table(spark, d):
+    # As it is shown: 0 for a bucket without a value, one decimal.
+    parts = plan_dashboard(v.readings(spark, d), "hour", as_of=v.AS_OF)
+    table = display.null_to_zero(parts["table"], display.TABLE_ROUNDING)
+    return display.display_round(_shown(table), display.TABLE_ROUNDING)
+
+
 @job
 def dashboard_summary(spark, d):
     return _shown(_view(spark, d)["summary"])
@@ -495,6 +503,16 @@ def dashboard_latest(spark, d):
     return _shown(_view(spark, d)["latest"])
 
 
+@job
+def dashboard_dates(spark, d):
+    return _view(spark, d)["dates"]
+
+
+@job
+def dashboard_months(spark, d):
+    return _view(spark, d)["months"]
+
+
 @job
 def dashboard_weeks(spark, d):
     return _view(spark, d)["weeks"]

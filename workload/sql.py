@@ -351,8 +351,8 @@ SQL: dict[str, str] = {
     ),
     "display_round": _on(
         READINGS,
-        """SELECT seq, round_even("wattsOut", 1) AS "wattsOut",
-        round_even("whOut", 2) AS "whOut", floor("ampsOut" + 0.5) AS "ampsOut"
+        """SELECT seq, CAST(printf('%.1f', "wattsOut") AS DOUBLE) AS "wattsOut",
+        CAST(printf('%.2f', "whOut") AS DOUBLE) AS "whOut", floor("ampsOut" + 0.5) AS "ampsOut"
         FROM readings""",
     ),
     "time_keys": _on(
@@ -466,9 +466,18 @@ SQL: dict[str, str] = {
     "summary_day": _summary(READINGS, "readings", DAY_LABEL, LAST_WEEK),
     "summary_month": _summary(MONTHLY, "monthly", MONTH_LABEL, LAST_MONTHS),
     "summary_device": _summary(READINGS, "readings", DAY_LABEL, WEEK, "device_id, "),
-    "dashboard_table": "SELECT *, 'Par jour - Semaine 03/2024' AS title FROM ("
+    "dashboard": "SELECT *, 'Par jour - Semaine 03/2024' AS title FROM ("
     + _rollup(READINGS, "readings", DAY_LABEL, WEEK)
     + ")",
+    "dashboard_table": "SELECT periode, "
+    + ", ".join(
+        f"CAST(printf('%.1f', coalesce({c}, 0)) AS DOUBLE) AS {c}"
+        for c in ("avg_watts_out", "avg_temp", "avg_watts_in")
+    )
+    + f" FROM ({_rollup(READINGS, 'readings', DATE_HOUR, LAST_DAY)})",
+    "dashboard_dates": f"SELECT DISTINCT {DAY_LABEL} AS date FROM events",
+    "dashboard_months": "SELECT DISTINCT strftime(ts, '%Y-%m') AS month FROM events "
+    "ORDER BY month DESC LIMIT 6",
     "dashboard_summary": _summary(READINGS, "readings", DAY_LABEL, WEEK),
     "dashboard_series": _on(
         READINGS,

@@ -214,6 +214,11 @@ def test_dashboard(sample):
     assert parts["title"] == "Par jour - Semaine 06/2024"
     in_week = periods.in_week(df, "2024-W06").count()
     assert parts["series"].count() == in_week
+    fleet = dashboard(df, "day", "2024-W06", keys=["device_id"])
+    assert fleet["latest"].count() == 3 and fleet["summary"].count() == 3
+    assert fleet["series"].where("device_id = 2").count() == df.where(
+        "device_id = 2 AND log_date BETWEEN '2024-02-05' AND '2024-02-11'"
+    ).count()
     quick = dashboard(df, "day", "2024-W06", hourly=hourly.hourly_table(df))
     near(rows_of(quick["table"]), rows_of(parts["table"]))
     near(rows_of(quick["summary"]), rows_of(parts["summary"]))

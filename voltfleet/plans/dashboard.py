@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 from voltfleet.functions.display import chart_series
@@ -36,6 +38,7 @@ def dashboard(
     period: str = "hour",
     date: str | None = None,
     as_of: Moment | None = None,
+    keys: Sequence[str] = (),
     hourly: DataFrame | None = None,
     current: DataFrame | None = None,
 ) -> dict[str, str | DataFrame]:
@@ -48,18 +51,18 @@ def dashboard(
     """
     dated = df if hourly is None else hourly
     if hourly is None:
-        table = rollup(df, period, date, as_of)
-        totals = summary(df, period, date, as_of)
+        table = rollup(df, period, date, as_of, keys)
+        totals = summary(df, period, date, as_of, keys)
     else:
-        table = rollup_from_hourly(hourly, period, date, as_of)
-        totals = summary_from_hourly(hourly, period, date, as_of)
+        table = rollup_from_hourly(hourly, period, date, as_of, keys)
+        totals = summary_from_hourly(hourly, period, date, as_of, keys)
     series = chart_series(ordered_series(df, period, date, as_of), period)
     return {
         "title": view_title(period, date),
         "table": label_order(table),
         "summary": totals,
-        "series": series.select("label", "chart_watts_out", "chart_temp", "chart_watts_in"),
-        "latest": latest_reading(df if current is None else current),
+        "series": series.select(*keys, "label", "chart_watts_out", "chart_temp", "chart_watts_in"),
+        "latest": latest_reading(df if current is None else current, keys),
         "dates": available_dates(dated),
         "weeks": available_weeks(dated),
         "months": available_months(dated),

@@ -552,10 +552,10 @@ def hourly_stats(spark, d):
 _ONCE = {"availableNow": True}
 
 
-def _event_stream(spark, d):
+def _event_stream(spark, d, **options):
     schema = v.events(spark, d).schema
     # A pattern, for a stream takes a folder or a pattern but not a single file.
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
+    return spark.readStream.schema(schema).options(**options).parquet(f"{d}/events.parque[t]")
 
 
 def _run(spark, stream, label):
@@ -603,7 +603,9 @@ def stream_latest(spark, d):
 
 @job
 def stream_outage(spark, d):
-    polls = documents.poll_success(v.attempts_of(_event_stream(spark, d)))
+    # The polls of a device in one micro-batch meet in one task, so batches are limited.
+    source = _event_stream(spark, d, maxBytesPerTrigger=2**30)
+    polls = documents.poll_success(v.attempts_of(source))
     return _shown(_run(spark, outage.stream_outage(polls), "outage"))
 
 

@@ -92,34 +92,41 @@ def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _member(name: str, value: Column, absent: Column | None = None) -> Column:
-    text = F.concat(F.lit(f'"{name}":'), F.coalesce(value.cast("string"), F.lit("null")))
-    return text if absent is None else F.when(~absent, text)
-
-
 def _payload() -> Column:
     """A device-state document: some fields absent, some null, some texts broken."""
     event = F.col("event_id")
     left_out, nulled = event % 13 == 0, event % 17 == 0
     given = measures()
     given["wattsOut"] = F.when(~nulled, given["wattsOut"])
-    members = [
-        _member(name, value, left_out if name in ("temperature", "whOut") else None)
-        for name, value in given.items()
-    ]
-    members += [
-        _member("acPortStatus", event % 2),
-        _member("usbPortStatus", F.when(~nulled, event % 3)),
-        _member("v12PortStatus", event % 2, left_out),
-    ]
+    given["usbPortStatus"] = F.when(~nulled, event % 3)
+    optional = {
+        "acPortStatus": event % 2,
+        "v12PortStatus": F.when(~left_out, event % 2),
+        "whOut": F.when(~left_out, given.pop("whOut")),
+        "temperature": F.when(~left_out, given.pop("temperature")),
+    }
+
+    def profile(low: int, high: int | None, resume: int) -> Column:
+        members = {"min": low, "max": high, "re": resume}
+        return F.struct(*[F.lit(v).cast("int").alias(k) for k, v in members.items()])
+
     kind = event % 5
-    members.append(
-        F.when(kind == 0, F.lit('"chargeProfile":{"min":20,"max":85,"re":25}'))
-        .when(kind == 1, F.lit('"chargeProfile":{"min":0,"max":100,"re":95}'))
-        .when(kind == 2, F.lit('"chargeProfile":{"min":10,"max":90,"re":30}'))
-        .when(kind == 4, F.lit('"chargeProfile":{"min":20,"max":null,"re":25}'))
+    optional["chargeProfile"] = (
+        F.when(kind == 0, profile(20, 85, 25))
+        .when(kind == 1, profile(0, 100, 95))
+        .when(kind == 2, profile(10, 90, 30))
+        .when(kind == 4, profile(20, None, 25))
+    )
+
+    def document(fields: dict[str, Column], ignore_nulls: str) -> Column:
+        members = F.struct(*[value.alias(name) for name, value in fields.items()])
+        return F.to_json(members, {"ignoreNullFields": ignore_nulls})
+
+    whole = F.concat(
+        F.rtrim(document(given, "false"), F.lit("}")),
+        F.lit(","),
+        F.ltrim(document(optional, "true"), F.lit("{")),
     )
-    whole = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
     return F.when(event % 97 == 0, F.lit("bad")).otherwise(whole)
 
 

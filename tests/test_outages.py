@@ -46,7 +46,10 @@ def test_named_case(polls):
 
 def test_hot_device_is_cut_into_slices(polls):
     rng = random.Random(3)
-    rows = [(1 if rng.random() < 0.9 else rng.randint(2, 5), s, rng.random() < 0.3) for s in range(4000)]
+    rows = [
+        (1 if rng.random() < 0.9 else rng.randint(2, 5), s, rng.random() < 0.3)
+        for s in range(4000)
+    ]
     assert found(failure_runs(polls(rows))) == brute_force(rows)
 
 
@@ -68,8 +71,15 @@ def test_equal_times_go_by_seq(polls):
     assert found(failure_runs(polls(rows), threshold=2)) == [(1, 5, 5, 2)]
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 40), st.booleans()), min_size=1, max_size=60))
+POLL = st.tuples(st.integers(1, 3), st.integers(0, 40), st.booleans())
+
+
+@settings(
+    max_examples=12,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture],
+)
+@given(st.lists(POLL, min_size=1, max_size=60))
 def test_any_order(polls, rows):
     assert found(failure_runs(polls(rows))) == brute_force(rows)
 

@@ -98,7 +98,8 @@ def test_summary_agrees_with_its_parts(sample, view):
     assert rollups.minmax_hourly(rows).first() == raw
     assert rollups.minmax_daily(rows).first() == raw
     table = hourly.hourly_table(df)
-    assert hourly.minmax_from_hourly(periods.select_period(table, period, date, as_of)).first() == raw
+    hours = periods.select_period(table, period, date, as_of)
+    assert hourly.minmax_from_hourly(hours).first() == raw
     near(
         [tuple(hourly.summary_from_hourly(table, period, date, as_of).first())], [tuple(got)]
     )

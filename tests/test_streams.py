@@ -22,7 +22,8 @@ def events(spark):
     rng = random.Random(5)
     rows = []
     for i in range(1500):
-        rows.append((rng.choice([1, 1, 1, 2, 3]), i, i * 120, round(rng.uniform(0, 90), 2), rng.random() > 0.5))
+        device, watts = rng.choice([1, 1, 1, 2, 3]), round(rng.uniform(0, 90), 2)
+        rows.append((device, i, i * 120, watts, rng.random() > 0.5))
     df = spark.createDataFrame(rows, "device_id long, seq long, s long, w double, ok boolean")
     ts = F.timestamp_seconds(F.col("s") + 1_704_067_200).cast("timestamp_ntz")
     members = [f"'\"{m}\":', w + {k}" for k, m in enumerate(MEASURES)]
@@ -92,7 +93,8 @@ def test_ingest_and_restart(spark, events, tmp_path):
 
 
 def test_corrupt_payloads_are_set_aside(spark, stream, tmp_path):
-    raw = stream.withColumn("payload", F.when(F.col("seq") % 10 == 0, "bad").otherwise(F.col("payload")))
+    broken = F.when(F.col("seq") % 10 == 0, "bad").otherwise(F.col("payload"))
+    raw = stream.withColumn("payload", broken)
     path = str(tmp_path / "t")
     ingest.stream_corrupt(raw, path, str(tmp_path / "c"), ONCE).awaitTermination()
     assert spark.read.parquet(path).count() == 150
@@ -157,9 +159,9 @@ def test_outage_late_polls(spark, polls, tmp_path):
     landing = str(tmp_path / "in")
     marks = polls([(1, 10, False), (1, 20, False), (1, 15, True), (1, 30, False)])
     for low, high in ((0, 2), (2, 4)):
-        marks.where(f"seq >= {low} AND seq < {high}").coalesce(1).write.mode("append").parquet(landing)
-    source = spark.readStream.schema(marks.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    got = run(spark, outage.stream_outage(source), tmp_path)
+        part = marks.where(f"seq >= {low} AND seq < {high}")
+        part.coalesce(1).write.mode("append").parquet(landing)
+    got = run(spark, outage.stream_outage(follow(marks, landing)), tmp_path)
     assert sorted((r["kind"], r["n"]) for r in got.collect()) == [("alert", 3), ("late", 1)]
 
 

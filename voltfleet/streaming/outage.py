@@ -70,7 +70,9 @@ def _tracker(threshold: int):
             length, starts, ends = number_failures(ts, ok, n, start, end)
             alert = length[1:] >= threshold
             recovery = ok & (length[:-1] >= threshold)
-            for kind, hit, at in (("alert", alert, slice(1, None)), ("recovery", recovery, slice(-1))):
+            # An alert tells the run with its poll, a recovery the run before its poll.
+            kinds = (("alert", alert, slice(1, None)), ("recovery", recovery, slice(-1)))
+            for kind, hit, at in kinds:
                 events.append(
                     pd.DataFrame(
                         {

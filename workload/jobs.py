@@ -203,7 +203,8 @@ def period_key_hour(spark, d):
 
 @job
 def rated_utilisation(spark, d):
-    rows = display.rated_utilisation(v.monthly(spark, d).withColumn("socPercent", F.col("seq") % 130))
+    charged = v.monthly(spark, d).withColumn("socPercent", F.col("seq") % 130)
+    rows = display.rated_utilisation(charged)
     names = [c for c in rows.columns if c.endswith("_share")]
     return _shown(rows.select("seq", *names))
 

@@ -35,7 +35,11 @@ def _as_matrix(digests) -> np.ndarray:
 
 
 def _place(h1: np.ndarray, h2: np.ndarray, level: int, size: int) -> np.ndarray:
-    return ((h1 + np.uint64(level) * h2) % np.uint64(size)).astype(np.int64)
+    """A place for each key, for every level another one."""
+    x = h1 + np.uint64(level) * h2
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ x >> np.uint64(31)) % np.uint64(size)).astype(np.int64)
 
 
 def perfect_hash(digests: np.ndarray) -> tuple[list[int], np.ndarray]:

@@ -23,9 +23,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -115,7 +113,11 @@ class Automaton:
         The state after a prefix does not depend on what follows, so the states of the
         prefix shared with the word before are used again.
         """
-        shared = len(commonprefix((symbols, self._read)))
+        shared = 0
+        for a, b in zip(symbols, self._read):
+            if a != b:
+                break
+            shared += 1
         states, arcs = self._states, self._path
         del states[shared + 1 :], arcs[shared + 1 :]
         label_of, known, longest = self._label.get, self._arcs.get, self._longest
@@ -161,12 +163,12 @@ class Tokenizer:
         names = base + [left + right for left, right in merges]
         number = {s: i for i, s in enumerate(names)}
         self.automaton = Automaton(len(base), [(number[a], number[b]) for a, b in merges])
-        self._ids = [vocab[s] for s in names]
+        self._ids = [vocab[s].to_bytes(4, "little") for s in names]
         self._labels = [s.encode() for s in names]
         end = spec["model"]["end_of_word_suffix"]
         symbols = byte_symbols()
-        self._inner = [chr(0x100 + number[s]) for s in symbols]
-        self._last = [chr(0x100 + number[s + end]) for s in symbols]
+        self._inner = {b: 0x100 + number[s] for b, s in enumerate(symbols)}
+        self._last = {b: 0x100 + number[s + end] for b, s in enumerate(symbols)}
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._split = regex.compile(pattern)
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -178,15 +180,14 @@ class Tokenizer:
     def _learn(self, pieces: set[str]) -> None:
         words = {}
         for piece in pieces:
-            raw = piece.encode()
-            word = [self._inner[b] for b in raw]
-            word[-1] = self._last[raw[-1]]
-            words["".join(word)] = piece
+            raw = piece.encode().decode("latin-1")  # a character per byte
+            words[raw[:-1].translate(self._inner) + raw[-1].translate(self._last)] = piece
+        ids, labels, encode = self._ids, self._labels, self.automaton.encode
         for word in sorted(words):
-            path = self.automaton.encode(word)
+            path = encode(word)
             self._pieces[words[word]] = (
-                np.array([self._ids[x] for x in path], "<u4").tobytes(),
-                b" ".join([self._labels[x] for x in path]),
+                b"".join([ids[x] for x in path]),
+                b" ".join([labels[x] for x in path]),
             )
 
     def _split_plain(self, text: str) -> list[str]:

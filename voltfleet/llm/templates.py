@@ -190,6 +190,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
         .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
         .where("first <> last")
     )
+    # Written, so that both sides of the join are plain shuffles: a template with a large
+    # share of all lines can then be split.
+    recurring = staged(recurring, "recurring")
     return known.join(recurring, "template").where("doc <> first").select("doc", "seal")
 
 

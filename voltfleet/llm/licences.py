@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, raw_texts
+from .common import map_batches, raw_texts, staged
 
 UNKNOWN, NONE = "unknown", "none"
 SAMPLE = 2000  # paragraphs of the corpus to learn from, at most, with and without a notice each
@@ -236,33 +236,42 @@ def _examples(carrying: list[str], others: list[str]) -> list[tuple[list[str], i
 
 def train(docs: DataFrame) -> Model:
     """A classifier from the notices and a bounded sample of the corpus' paragraphs:
-    the ``SAMPLE`` with the least hash of those with licence wording, and as many of the others. All
-    paragraphs take part in the choice."""
+    the ``SAMPLE`` different ones with the least hash of those with licence wording, and as
+    many of the others. All paragraphs take part in the choice.
+    """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        kept: dict[bool, dict[int, str]] = {True: {}, False: {}}
+        kept: dict[bool, dict[int, bytes]] = {True: {}, False: {}}
         for text in raw_texts(batch.column(0)):
             for line in (text or b"").split(b"\n"):
                 if line.strip():
                     hint = _HINT.search(line.lower().decode("utf-8", "replace")) is not None
                     kept[hint][zlib.crc32(line)] = line
         rows = [
-            (hint, mark, lines[mark][:4000])
+            (hint, mark, lines[mark].decode("utf-8", "replace"))
             for hint, lines in kept.items()
             for mark in sorted(lines)[:SAMPLE]
         ]
         columns = list(zip(*rows)) or [()] * 3
-        texts = [t.decode("utf-8", "replace") for t in columns[2]]
+        kinds = (pa.bool_(), pa.int64(), pa.string())
         return pa.record_batch(
-            [pa.array(columns[0], pa.bool_()), pa.array(columns[1], pa.int64()), pa.array(texts, pa.string())],
-            names=["hint", "mark", "line"],
+            [pa.array(c, k) for c, k in zip(columns, kinds)], names=["hint", "mark", "line"]
         )
 
     found = map_batches(docs.select("text"), each, "hint boolean, mark long, line string")
+    found = staged(found.distinct(), "paragraphs")
+    # The bits of the hash tell which rows can be among the least: 33 counts for each kind.
+    bits = F.length(F.bin("mark"))
+    counts = found.groupBy("hint", bits.alias("bits")).count().collect()
     lines = {}
     for hint in (True, False):
-        best = found.where(F.col("hint") == hint).orderBy("mark", "line").limit(SAMPLE)
-        lines[hint] = [r["line"] for r in best.collect()]
+        so_far, most = 0, 0
+        for row in sorted((r for r in counts if r["hint"] == hint), key=lambda r: r["bits"]):
+            if so_far < SAMPLE:
+                so_far, most = so_far + row["count"], row["bits"]
+        least = found.where((F.col("hint") == hint) & (bits <= most))
+        rows = least.orderBy("mark", "line").limit(SAMPLE).collect()
+        lines[hint] = [r["line"] for r in rows]
     return Model(_examples(lines[True], lines[False]))
 
 

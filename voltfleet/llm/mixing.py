@@ -121,7 +121,7 @@ def allocate(rows: DataFrame, seed: int = 0) -> DataFrame:
     slices = slices.join(known, slices["of"].eqNullSafe(known["of"])).select(
         slices["of"], "part", "before", "source_size", "rank", "target"
     )
-    within = Window.partitionBy("source", "slice").orderBy("place", "size")
+    within = Window.partitionBy("source", "slice").orderBy("place", "size", "row_key")
     return (
         rows.withColumn("in_slice", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .join(slices, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("part")))
@@ -134,26 +134,31 @@ def _words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """Tells rows by their id, source and text."""
+    text = F.md5(F.col("text").cast("binary"))
+    return F.md5(F.to_json(F.struct("doc_id", "source", text.alias("text"))).cast("binary"))
+
+
 def mix(
-    docs: DataFrame, shards: int = 16, block_words: int = BLOCK_WORDS, seed: int = 0, carry: bool = True
+    docs: DataFrame, shards: int = 16, block_words: int = BLOCK_WORDS, seed: int = 0
 ) -> DataFrame:
     """One row for each time that the mix takes a document, or one if it never does:
-    ``row, doc_id, source, size, source_size, target, start, pass, words, shard, place``.
+    ``row_key, doc_id, source, size, source_size, target, start, pass, words, shard, place``.
 
     ``words`` is how many words are taken: all, but for the one document per source at which
     its quota ends, of which the mix takes the first words; 0 if the document is not taken
-    (``pass`` and ``shard`` are null then). ``row`` is the document with all its columns, or
-    null if not ``carry``. Order by ``shard, place`` gives the shuffled shards.
+    (``pass`` and ``shard`` are null then). Order by ``shard, place`` gives the shuffled
+    shards.
 
     The size of a document is the words of its text, null counting as empty; a document
     without words is taken in no pass. Null sources are one source, the last. Equal rows are
     documents of their own; the order of rows with one ``doc_id`` is that of their sizes. An
     empty table gives no rows. The same rows and seed give the same mix.
     """
-    row = F.struct("*") if carry else F.lit(None).cast("boolean")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(
-        row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source",
+        _row_key(docs).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "source",
         _words(F.col("text")).alias("size"), key.alias("key"),
     )
     rows = allocate(staged(rows, "sizes"), seed)
@@ -183,7 +188,7 @@ def mix(
     moved = (F.col("block") * F.col("step") + F.col("shift")) % F.col("blocks")
     shard = F.size(F.filter("ends", lambda end: end <= moved))
     return copies.join(dealt, "rank").select(
-        "row", "doc_id", "source", "size", "source_size", "target", "start", "pass", "words",
+        "row_key", "doc_id", "source", "size", "source_size", "target", "start", "pass", "words",
         F.when(F.col("block").isNotNull(), shard).alias("shard"),
         F.md5(F.concat_ws(":", F.lit(seed), "pass", "place").cast("binary")).alias("place"),
     )
@@ -194,13 +199,19 @@ def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFra
     shards and shuffled within each.
 
     All columns are as they came, but for the document at the end of a source's quota,
-    which is cut after the words taken (``text``, and ``n_chars`` with it).
+    which is cut after the words taken (``text``, and ``n_chars`` with it). Rows with the
+    same id, source and text count as copies of one of them. The mix is settled without
+    the texts, which then move once to their place in it and once to their shard.
     """
     taken = mix(docs, shards, seed=seed).where("words > 0")
+    taken = taken.select("row_key", "size", "words", "shard", "place")
+    given = docs.select(_row_key(docs).alias("row_key"), F.struct("*").alias("row"))
+    given = given.dropDuplicates(["row_key"])
     head = F.concat(
         F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), F.col("words").cast("string"), F.lit("}+")
     )
     text = F.col("row.text")
     text = F.when(F.col("words") < F.col("size"), F.regexp_substr(text, head)).otherwise(text)
-    dealt = taken.withColumn("text", text).repartition("shard").sortWithinPartitions("shard", "place")
+    dealt = given.join(taken, "row_key").withColumn("text", text)
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "place")
     return dealt.select(*with_text(docs, F.col("text")))

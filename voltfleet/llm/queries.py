@@ -64,7 +64,7 @@ def digested(encoded: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), carry=False)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
     # Rows of one document have one place in the stream; only such without words share it.
     own = ["doc_id", "source", "size", "source_size", "target", "start"]
     each = mixed.groupBy(*own).agg(

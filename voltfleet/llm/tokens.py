@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import raw_texts, small_batches
 
-WORD_CACHE = 400_000  # pieces that a Python worker remembers; then it starts anew
-ARC_TABLE = 1_000_000  # arcs that it remembers
+WORD_CACHE = 250_000  # pieces that a Python worker remembers; then it starts anew
+ARC_TABLE = 300_000  # arcs that it remembers
 _DEAD = -2
 
 

@@ -23,6 +23,7 @@ from .lines import with_text
 CAP = 3
 WEIGHTS = (1, 2, 3)
 BLOCK_WORDS = 65_536
+SHARD_BLOCKS = 64  # blocks of a shard, if the number of shards is not given
 _DIGITS = 3  # hexadecimal digits that tell the slice of a source: 4096 slices
 
 
@@ -141,7 +142,7 @@ def _row_key(docs: DataFrame) -> Column:
 
 
 def mix(
-    docs: DataFrame, shards: int = 16, block_words: int = BLOCK_WORDS, seed: int = 0
+    docs: DataFrame, shards: int | None = None, block_words: int = BLOCK_WORDS, seed: int = 0
 ) -> DataFrame:
     """One row for each time that the mix takes a document, or one if it never does:
     ``row_key, doc_id, source, size, source_size, target, start, pass, words, shard, place``.
@@ -154,14 +155,19 @@ def mix(
     The size of a document is the words of its text, null counting as empty; a document
     without words is taken in no pass. Null sources are one source, the last. Equal rows are
     documents of their own; the order of rows with one ``doc_id`` is that of their sizes. An
-    empty table gives no rows. The same rows and seed give the same mix.
+    empty table gives no rows. The same rows and seed give the same mix. Without a number of
+    ``shards`` there is one for each ``SHARD_BLOCKS`` blocks.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select(
         _row_key(docs).alias("row_key"), F.col("doc_id").cast("long").alias("doc_id"), "source",
         _words(F.col("text")).alias("size"), key.alias("key"),
     )
-    rows = allocate(staged(rows, "sizes"), seed)
+    rows = staged(rows, "sizes")
+    if shards is None:
+        words = rows.agg(F.sum("size")).first()[0] or 0
+        shards = max(1, math.ceil(words / (SHARD_BLOCKS * block_words)))
+    rows = allocate(rows, seed)
     quota = F.round("target").cast("long")
     passes = F.when(
         F.col("source_size") > 0,
@@ -194,7 +200,7 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
+def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
     """The mix itself: one row of ``docs`` for each time a document is taken, dealt to
     shards and shuffled within each.
 

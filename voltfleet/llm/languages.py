@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +90,8 @@ class Profiler:
             total += counts @ self._vectors[rows].astype(np.int64)
 
 
-def prototypes(docs: DataFrame) -> pd.DataFrame:
-    """``lang, vector`` (exact sums) of all rows with a language and a text with letters.
+def prototypes(docs: DataFrame) -> dict[str, list[int]]:
+    """The vector (exact sums) of each language, by its name, from all rows with a language and a text with letters.
 
     Tasks add up their own rows; what they send is one vector per language and task, added
     by language and dimension. The result has one row per language, not per document.
@@ -116,10 +115,11 @@ def prototypes(docs: DataFrame) -> pd.DataFrame:
     by_place = sums.select("lang", F.posexplode("vector").alias("place", "x")).groupBy("lang", "place")
     whole = by_place.agg(F.sum("x").alias("x")).groupBy("lang")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"])
-    return whole.agg(ordered.alias("vector")).orderBy("lang").toPandas()
+    rows = whole.agg(ordered.alias("vector")).collect()
+    return dict(sorted((row["lang"], row["vector"]) for row in rows))
 
 
-def identify(docs: DataFrame, learned: pd.DataFrame) -> DataFrame:
+def identify(docs: DataFrame, learned: dict[str, list[int]]) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row.
 
     ``score`` is the cosine with the language told, from 0 (or below) to 1. A text that is
@@ -127,8 +127,8 @@ def identify(docs: DataFrame, learned: pd.DataFrame) -> DataFrame:
     with equal cosine the first by code point is told. Equal rows are returned each; an
     empty table gives none; other columns are ignored.
     """
-    langs = learned["lang"].tolist()
-    matrix = np.array(learned["vector"].tolist(), np.float64).reshape(len(langs), DIMENSIONS)
+    langs = list(learned)
+    matrix = np.array(list(learned.values()), np.float64).reshape(len(langs), DIMENSIONS)
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
     profilers: list[Profiler] = []  # one per task
 

@@ -1,6 +1,7 @@
 import json
 
 from tests.conftest import rows_of
+from voltfleet.functions.display import classify_profile
 from voltfleet.schema import MEASURES
 from voltfleet.sources import documents, tables
 
@@ -56,6 +57,27 @@ def test_charge_profile(spark):
     assert got == [(20, 85, 25), (20, None, None), (None, None, None), (None, None, None)]
 
 
+def test_profile_members_are_compared_as_numbers(spark):
+    members = [("20.0", "85", "25"), ("20.5", "85", "25"), ("0", "1e2", "95.0")]
+    texts = [f'{{"chargeProfile":{{"min":{a},"max":{b},"re":{c}}}}}' for a, b, c in members]
+    df = classify_profile(documents.charge_profile(raw(spark, texts))).orderBy("seq")
+    assert [r["profile"] for r in df.collect()] == ["eco", "custom", "standard"]
+
+
+def test_a_second_document_makes_a_payload_corrupt(spark):
+    texts = ['{"wattsOut":1} {"wattsOut":2}', '{"wattsOut":1},{"wattsOut":2}', '{"wattsOut":1}']
+    df = raw(spark, texts)
+    assert documents.count_states(df).first().asDict() == {"n_readable": 1, "n_corrupt": 2}
+    assert [r["ok"] for r in documents.poll_success(df, "logger").orderBy("seq").collect()] == [
+        False, False, True
+    ]
+
+
+def test_the_last_of_a_field_given_twice_counts(spark):
+    row = documents.read_state(raw(spark, ['{"wattsOut":1,"whOut":5,"wattsOut":2}'])).first()
+    assert row["wattsOut"] == 2.0 and row["whOut"] == 5.0 and row["wattsIn"] == 0.0
+
+
 def test_poll_rules(spark):
     df = spark.createDataFrame(
         [(200, "bad"), (503, "{}"), (200, "{}"), (None, None)], "status_code int, payload string"

@@ -69,9 +69,19 @@ def test_aggregates_fold_before_the_shuffle(table):
         assert "partial_" in plan
 
 
-def test_runs_slice_the_polls_by_range(polls):
+def test_runs_slice_the_polls_by_day(polls):
+    """One shuffle of the polls, on device and day, and one of what is left of the days."""
     plan = plan_of(outages.failure_runs(polls([(1, s, False) for s in range(10)])))
-    assert "rangepartitioning(device_id" in plan
+    assert "rangepartitioning" not in plan
+    assert re.search(r"hashpartitioning\(device_id#\d+L?, slice#\d+", plan)
+    initial = plan.split("== Initial Plan ==")[-1] if "== Initial Plan ==" in plan else plan
+    assert len(re.findall(r"Arguments: hashpartitioning", initial)) <= 3
+
+
+def test_extremes_take_one_shuffle(table):
+    for extremes in (rollups.minmax_hourly, rollups.minmax_daily):
+        plan = plan_of(extremes(table, ["device_id"]))
+        assert len(re.findall(r"Arguments: hashpartitioning", plan)) == 1
 
 
 def test_summary_is_one_scan(table):

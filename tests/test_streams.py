@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
 from voltfleet.operators import latest as batch_latest
-from voltfleet.operators.outages import failure_runs
+from voltfleet.operators.outages import failure_runs, outage_events
 from voltfleet.plans import hourly
 from voltfleet.schema import MEASURES
 from voltfleet.sources.documents import read_state
 from voltfleet.sources.tables import read_logs
-from voltfleet.streaming import folders, ingest, latest, outage, outage_log, windows
+from voltfleet.streaming import folders, ingest, latest, outage_log, windows
 
 FILES = 5
 ONCE = {"availableNow": True}
@@ -33,7 +33,7 @@ def events(spark):
 
 def land(events, path, files):
     for k in files:
-        part = events.where((F.col("seq") >= k * 300) & (F.col("seq") < k * 300 + 300))
+        part = events.where(F.col("seq") % FILES == k)
         part.coalesce(1).write.mode("append").parquet(path)
 
 
@@ -44,7 +44,7 @@ def follow(events, path):
 
 @pytest.fixture(scope="module")
 def landing(events, tmp_path_factory):
-    """The same in several files, in order of time, so that state spans batches."""
+    """The same in several files, each over the whole time: later batches hold late rows."""
     path = str(tmp_path_factory.mktemp("landing"))
     land(events, path, range(FILES))
     return path
@@ -55,32 +55,19 @@ def stream(events, landing):
     return follow(events, landing)
 
 
-def run(spark, df, tmp_path, mode="append"):
-    path = str(tmp_path / "out")
-    query = (
-        df.writeStream.format("parquet")
-        .outputMode(mode)
-        .option("path", path)
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(**ONCE)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def close(a, b):
     assert len(a) == len(b)
     for x, y in zip(a, b):
         assert list(x) == [pytest.approx(v) if isinstance(v, float) else v for v in y]
 
 
-def closed(df, column, hours=0):
-    end = F.col(column) + F.expr(f"INTERVAL {hours} HOURS")
-    last = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.expr(
-        f"INTERVAL {1499 * 120 - 900} SECONDS"
-    )
-    return df.where(end <= last)
+def in_two_runs(events, tmp_path, start):
+    """Run a stream, stop it after two batches, and go on from its checkpoint."""
+    landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "o", "c"))
+    for files in (range(2), range(2, FILES)):
+        land(events, landing, files)
+        start(follow(events, landing), path, checkpoint).awaitTermination()
+    return path
 
 
 def test_ingest_and_restart(spark, events, tmp_path):
@@ -88,7 +75,7 @@ def test_ingest_and_restart(spark, events, tmp_path):
     for files in (range(2), range(2, FILES)):
         land(events, landing, files)
         ingest.stream_ingest(follow(events, landing), path, checkpoint, ONCE).awaitTermination()
-        assert read_logs(spark, path).count() == 300 * (files[-1] + 1)
+        assert read_logs(spark, path).count() == 1500 * (files[-1] + 1) // FILES
     assert rows_of(read_logs(spark, path)) == rows_of(read_state(events.drop("ok")))
 
 
@@ -100,15 +87,22 @@ def test_corrupt_payloads_are_set_aside(spark, stream, tmp_path):
     assert spark.read.parquet(path).count() == 150
 
 
-def test_hours(spark, events, stream, tmp_path):
-    got = run(spark, windows.stream_rollup_hour(read_state(stream), keys=["device_id"]), tmp_path)
-    want = closed(hourly.hourly_table(read_state(events), ["device_id"]), "ts", 1)
+@pytest.mark.parametrize("keys", [[], ["device_id"]])
+def test_hours_with_late_readings(spark, events, tmp_path, keys):
+    def start(raw, path, checkpoint):
+        return windows.write_hours(read_state(raw), path, checkpoint, ONCE, keys)
+
+    got = windows.read_hours(spark, in_two_runs(events, tmp_path, start), keys)
+    want = hourly.hourly_table(read_state(events), keys)
     close(rows_of(got), rows_of(want.select(*got.columns)))
+    assert got.groupBy().sum("n").first()[0] == events.count()
 
 
 def test_stats_of_each_full_hour(spark, events, stream, tmp_path):
-    got = run(spark, windows.stream_stats_24h(read_state(stream)), tmp_path)
-    day = F.window(F.col("ts").cast("timestamp"), "24 hours", "1 hour")
+    path = str(tmp_path / "hours")
+    windows.write_hours(read_state(stream), path, str(tmp_path / "c"), ONCE).awaitTermination()
+    got = windows.stats_of_hours(windows.read_hours(spark, path))
+    day = F.window(F.date_trunc("hour", F.col("ts").cast("timestamp")), "24 hours", "1 hour")
     want = (
         read_state(events)
         .groupBy(day.alias("w"))
@@ -127,50 +121,98 @@ def test_stats_of_each_full_hour(spark, events, stream, tmp_path):
         )
         .drop("w")
     )
-    close(rows_of(got), rows_of(closed(want, "window_end")))
+    close(rows_of(got), rows_of(want))
 
 
-def test_latest(spark, events, stream, tmp_path):
-    path = str(tmp_path / "latest")
-    rows = latest.stream_latest(read_state(stream))
-    latest.write_latest(rows, path, str(tmp_path / "c"), ONCE).awaitTermination()
-    # Of five batches the newest three folders are kept.
-    assert folders.batches(spark, path) == [2, 3, 4]
+def test_latest(spark, events, tmp_path):
+    def start(raw, path, checkpoint):
+        return latest.write_latest(read_state(raw), path, checkpoint, ONCE)
+
+    path = in_two_runs(events, tmp_path, start)
+    assert folders.batches(spark, path) == list(range(FILES))
     want = batch_latest.latest_reading(read_state(events), ["device_id"])
     assert rows_of(latest.read_latest(spark, path)) == rows_of(want)
 
 
-def test_outage_events(spark, events, stream, tmp_path):
-    got = run(spark, outage.stream_outage(stream), tmp_path)
-    runs = failure_runs(events)
-    assert got.where("kind = 'late'").count() == 0
-    # Each failure from the third on is an alert, over all batches.
-    assert got.where("kind = 'alert'").count() == runs.groupBy().sum("alerts").first()[0]
-    finished = rows_of(got.where("kind = 'recovery'").select("device_id", "start", "end", "n"))
-    all_runs = rows_of(runs.select("device_id", "start", "end", "n"))
-    assert set(finished) <= set(all_runs) and len(all_runs) - len(finished) <= 3
-    longest = got.where("kind = 'alert'").groupBy("device_id", "start").agg(
-        F.max("end").alias("end"), F.max("n").alias("n")
-    )
-    assert rows_of(longest) == all_runs
+def test_latest_writes_changed_devices_only(spark, events, tmp_path):
+    landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "o", "c"))
+    for part in ("seq < 1000", "device_id = 2 AND seq >= 1000"):
+        events.where(part).coalesce(1).write.mode("append").parquet(landing)
+        rows = read_state(follow(events, landing))
+        latest.write_latest(rows, path, checkpoint, ONCE).awaitTermination()
+    assert spark.read.parquet(folders.batch_folder(path, 1)).count() == 1
+    assert latest.read_latest(spark, path).count() == 3
+
+
+def start_polls(raw, path, checkpoint):
+    return outage_log.write_polls(raw, path, checkpoint, ONCE)
 
 
-def test_outage_late_polls(spark, polls, tmp_path):
-    landing = str(tmp_path / "in")
-    marks = polls([(1, 10, False), (1, 20, False), (1, 15, True), (1, 30, False)])
-    for low, high in ((0, 2), (2, 4)):
+def test_outages_with_late_polls_and_a_restart(spark, events, tmp_path):
+    path = in_two_runs(events, tmp_path, start_polls)
+    want = failure_runs(events).select("device_id", "start", "end", "n")
+    assert rows_of(outage_log.read_outages(spark, path).drop("is_open")) == rows_of(want)
+    got = outage_log.read_outage_events(spark, path)
+    assert rows_of(got) == rows_of(outage_events(events))
+
+
+def events_by_hand(rows, threshold=3):
+    """Alerts and recoveries, poll by poll."""
+    out, runs = [], {}
+    for device, ts, _, ok in sorted(rows):
+        n, start, end = runs.get(device, (0, None, None))
+        if ok:
+            if n >= threshold:
+                out.append((device, "recovery", ts, start, end, n))
+            runs[device] = (0, None, None)
+        else:
+            runs[device] = (n + 1, start or ts, ts)
+            if n + 1 >= threshold:
+                out.append((device, "alert", ts, start or ts, ts, n + 1))
+    return sorted(out, key=str)
+
+
+def test_outage_events_are_those_of_the_polls_in_order(events):
+    rows = [tuple(r) for r in events.select("device_id", "ts", "seq", "ok").collect()]
+    assert rows_of(outage_events(events)) == events_by_hand(rows)
+
+
+def test_outage_events_over_days_without_a_success(polls):
+    day = 86_400
+    marks = [(1, k * day // 2, False) for k in range(9)] + [(1, 5 * day, True), (2, 7, True)]
+    rows = [tuple(r) for r in polls(marks).select("device_id", "ts", "seq", "ok").collect()]
+    assert rows_of(outage_events(polls(marks))) == events_by_hand(rows)
+
+
+def test_a_late_success_splits_a_run(spark, polls, tmp_path):
+    landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "o", "c"))
+    marks = polls([(1, 10, False), (1, 20, False), (1, 30, False), (1, 15, True)])
+    for low, high, alerts in ((0, 3, 1), (3, 4, 0)):
         part = marks.where(f"seq >= {low} AND seq < {high}")
         part.coalesce(1).write.mode("append").parquet(landing)
-    got = run(spark, outage.stream_outage(follow(marks, landing)), tmp_path)
-    assert sorted((r["kind"], r["n"]) for r in got.collect()) == [("alert", 3), ("late", 1)]
+        start_polls(follow(marks, landing), path, checkpoint).awaitTermination()
+        got = outage_log.read_outage_events(spark, path)
+        assert got.where("kind = 'alert'").count() == alerts
 
 
-def test_outage_runs_over_batches_and_a_restart(spark, events, tmp_path):
+def test_merged_parts_read_the_same(spark, events, tmp_path):
     landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "o", "c"))
-    for files in (range(2), range(2, FILES)):
-        land(events, landing, files)
-        polls = follow(events, landing)
-        outage_log.write_outages(polls, path, checkpoint, trigger=ONCE).awaitTermination()
-    got = outage_log.read_outages(spark, path)
-    want = failure_runs(events).select("device_id", "start", "end", "n")
-    assert rows_of(got.drop("is_open")) == rows_of(want)
+    land(events, landing, range(FILES))
+    folders.write_parts(
+        follow(events, landing), path, checkpoint, "device_id bigint, n bigint",
+        lambda rows: rows.groupBy("device_id").agg(F.count("*").alias("n")),
+        lambda parts: parts.groupBy("device_id").agg(F.sum("n").alias("n")),
+        ONCE, merge_every=2,
+    ).awaitTermination()
+    assert folders.batches(spark, path) == [FILES - 1]
+    parts = folders.read_parts(spark, path, "device_id bigint, n bigint")
+    got = parts.groupBy("device_id").agg(F.sum("n"))
+    assert rows_of(got) == rows_of(events.groupBy("device_id").agg(F.count("*")))
+
+
+def test_readers_before_the_first_batch(spark, tmp_path):
+    path = str(tmp_path / "none")
+    assert latest.read_latest(spark, path).count() == 0
+    assert windows.read_hours(spark, path).count() == 0
+    assert outage_log.read_outages(spark, path).count() == 0
+    assert outage_log.read_outage_events(spark, path).count() == 0

@@ -1,9 +1,8 @@
 """Runs of failed polls.
 
 Numbering the polls of a device in order of time would put all of them into one
-task. Instead the polls are range-partitioned by device and time, which cuts a busy
-device into slices; runs are found within each slice, and only the two open ends of
-a slice are joined up across slices.
+task. Instead a device is cut into days, by one shuffle on device and date; runs are found
+within each day, and only the two open ends of a day are joined up across days.
 """
 
 from __future__ import annotations
@@ -16,8 +15,12 @@ from pyspark.sql import functions as F
 from voltfleet.schema import OUTAGE_THRESHOLD
 
 
-def _stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per slice, its successes in order, each with the failures which follow it.
+_BEFORE_ALL = -(2**31)  # the slice of runs which are carried in
+
+
+def _numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The polls by day (``slice``), with the number of successes so far in the day
+    (``stretch``) and in the whole day (``last_stretch``).
 
     Stretch k holds the k-th success of the slice and the failures after it; stretch 0
     holds the failures before the first success.
@@ -25,15 +28,19 @@ def _stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     sliced = (
         attempts.where(F.col("ts").isNotNull())
         .select(*keys, "ts", "seq", "ok")
-        .repartitionByRange(*keys, "ts", "seq")
-        .withColumn("slice", F.spark_partition_id())
+        .withColumn("slice", F.unix_date(F.to_date("ts")))
     )
     in_slice = Window.partitionBy(*keys, "slice")
     success = F.col("ok").cast("long")
-    numbered = sliced.withColumn(
+    return sliced.withColumn(
         "stretch", F.sum(success).over(in_slice.orderBy("ts", "seq"))
     ).withColumn("last_stretch", F.sum(success).over(in_slice))
+
+
+def _stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The failures of each stretch: their number, and the first and last of them."""
     failed_at = F.when(~F.col("ok"), F.col("ts"))
+    numbered = _numbered(attempts, keys)
     return numbered.groupBy(*keys, "slice", "stretch", "last_stretch").agg(
         F.count(failed_at).alias("n"),
         F.min(failed_at).alias("start"),
@@ -65,7 +72,7 @@ def runs_after(
     )
     if open_runs is not None:
         carried = open_runs.select(*keys, "start", "end", "n").withColumns(
-            {"slice": F.lit(-1), "stretch": F.lit(0).cast("bigint")}
+            {"slice": F.lit(_BEFORE_ALL), "stretch": F.lit(0).cast("bigint")}
         )
         placed = placed.unionByName(carried, allowMissingColumns=True)
     in_place = Window.partitionBy(*keys, "place")
@@ -102,3 +109,72 @@ def failure_runs(
         .where(F.col("n") >= threshold)
         .select(*keys, "start", "end", "n", (F.col("n") - (threshold - 1)).alias("alerts"))
     )
+
+
+def _carried(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per day the failures in a row just before it: ``carried`` and ``carried_start``.
+
+    A day's last stretch goes on into the next days up to one with a success.
+    """
+    ends = _stretches(attempts, keys).where(F.col("stretch") == F.col("last_stretch"))
+    days = Window.partitionBy(*keys).orderBy("slice")
+    broken = F.sum((F.col("last_stretch") > 0).cast("long")).over(days)
+    in_row = Window.partitionBy(*keys, "broken").orderBy("slice")
+    ends = ends.withColumn("broken", broken).withColumns(
+        {"open_n": F.sum("n").over(in_row), "open_start": F.min("start").over(in_row),
+         "open_end": F.max("end").over(in_row)}
+    )
+    return ends.select(
+        *keys,
+        "slice",
+        F.coalesce(F.lag("open_n").over(days), F.lit(0)).alias("carried"),
+        F.lag("open_start").over(days).alias("carried_start"),
+        F.lag("open_end").over(days).alias("carried_end"),
+    )
+
+
+def outage_events(
+    attempts: DataFrame,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """``alert`` and ``recovery`` events: keys, ``kind``, ``ts``, ``start``, ``end``, ``n``.
+
+    Every failure from the threshold on is an alert, and the first success after one a
+    recovery; both tell the start, end and length of the run up to then.
+    """
+    polls = _numbered(attempts, keys).join(_carried(attempts, keys), [*keys, "slice"])
+    in_stretch = Window.partitionBy(*keys, "slice", "stretch").orderBy("ts", "seq")
+    failed_at = F.when(~F.col("ok"), F.col("ts"))
+    goes_on = (F.col("stretch") == 0) & (F.col("carried") > 0)
+    first = F.min(failed_at).over(in_stretch)
+    states = polls.withColumns(
+        {
+            "run_n": F.count(failed_at).over(in_stretch)
+            + F.when(goes_on, F.col("carried")).otherwise(0),
+            "run_start": F.when(goes_on, F.col("carried_start")).otherwise(first),
+        }
+    )
+    in_day = Window.partitionBy(*keys, "slice").orderBy("ts", "seq")
+    is_first = F.row_number().over(in_day) == 1
+
+    def before(name: str, carried: str):
+        return F.when(is_first, F.col(carried)).otherwise(F.lag(name).over(in_day))
+
+    told = states.withColumns(
+        {
+            "was_n": before("run_n", "carried"),
+            "was_start": before("run_start", "carried_start"),
+            "was_end": before("ts", "carried_end"),
+        }
+    )
+    alert = ~F.col("ok") & (F.col("run_n") >= threshold)
+    recovery = F.col("ok") & (F.col("was_n") >= threshold)
+    return told.where(alert | recovery).select(
+        *keys,
+        F.when(alert, "alert").otherwise("recovery").alias("kind"),
+        "ts",
+        F.when(alert, F.col("run_start")).otherwise(F.col("was_start")).alias("start"),
+        F.when(alert, F.col("ts")).otherwise(F.col("was_end")).alias("end"),
+        F.when(alert, F.col("run_n")).otherwise(F.col("was_n")).alias("n"),
+    )

@@ -115,22 +115,14 @@ def minmax_raw(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(*_extremes())
 
 
-def _minmax_of_buckets(df: DataFrame, grain: str, keys: Sequence[str]) -> DataFrame:
-    buckets = grouped(df, grain, keys, *_extremes())
-    over = [
-        (F.min if name.startswith("min") else F.max)(name).alias(name) for name in EXTREMES
-    ]
-    return buckets.groupBy(*keys).agg(*over)
-
-
 def minmax_hourly(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Extremes over the extremes of each hour; equal to :func:`minmax_raw`."""
-    return _minmax_of_buckets(df, "date_hour", keys)
+    """Extremes over the extremes of each hour, which are those of the rows."""
+    return minmax_raw(df, keys)
 
 
 def minmax_daily(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Extremes over the extremes of each day; equal to :func:`minmax_raw`."""
-    return _minmax_of_buckets(df, "day", keys)
+    """Extremes over the extremes of each day, which are those of the rows."""
+    return minmax_raw(df, keys)
 
 
 def mean_of_buckets(rolled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -45,7 +45,8 @@ MONTH_LIST_SIZE = 6
 UNKNOWN_LABEL = "???"
 UNKNOWN_TIME_LEFT = "--:--"
 
-CHARGE_PROFILE = "min INT, max INT, re INT"
+# Compared as numbers: 20.0 is the preset's 20, and 20.5 is no preset.
+CHARGE_PROFILE = "min DOUBLE, max DOUBLE, re DOUBLE"
 
 # One row per successful poll. `seq` is the insert order and breaks ties between
 # equal times; `log_date` is the partition column.

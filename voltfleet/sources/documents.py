@@ -1,8 +1,8 @@
 """Device-state documents: JSON text in, typed columns out.
 
-A payload is parsed once, into a map from field name to the field's text. The map
-tells an absent field from an explicit null, which a struct cannot, and takes a
-number written as text.
+A payload is read twice in one projection: as a struct with the known fields as texts,
+where the last of a field given twice counts, and as a list of maps, which tells whether
+it is exactly one document and which fields it has, absent ones from explicit nulls.
 """
 
 from __future__ import annotations
@@ -17,19 +17,28 @@ from voltfleet.schema import CHARGE_PROFILE, MEASURES, PORTS
 _FIELDS = "_fields"
 
 
-def state_fields(payload: Column) -> Column:
-    """The document as a map of texts; NULL where the payload is no JSON object."""
+_KNOWN = ", ".join(f"{name} string" for name in (*MEASURES, *PORTS, "chargeProfile"))
+
+
+def state_keys(payload: Column) -> Column:
+    """The names of a document's fields; NULL where the payload is not one JSON object."""
     is_object = payload.rlike(r"(?s)^\s*\{.*\}\s*$")
-    return F.when(is_object, F.from_json(payload, "map<string,string>"))
+    whole = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<map<string,string>>")
+    one = F.filter(F.array(whole), lambda found: F.size(found) == 1)
+    return F.when(is_object, F.map_keys(F.get(F.get(one, F.lit(0)), F.lit(0))))
 
 
 def parsed_states(raw: DataFrame, json_col: str = "payload") -> DataFrame:
-    """The rows with a readable payload, and its field map.
+    """The rows with a readable payload, and its fields: their texts and names.
 
-    Exploding an array without its NULL drops the corrupt rows and keeps the parsed
-    map in one step; a filter would be pushed down and parse each payload again.
+    Exploding a list without what is no document drops the corrupt rows and keeps the
+    parsed fields in one step; a filter would be pushed down and parse each payload again.
     """
-    parsed = F.array_compact(F.array(state_fields(F.col(json_col))))
+    payload = F.col(json_col)
+    fields = F.struct(
+        F.from_json(payload, _KNOWN).alias("texts"), state_keys(payload).alias("names")
+    )
+    parsed = F.filter(F.array(fields), lambda found: found["names"].isNotNull())
     return raw.select("*", F.explode(parsed).alias(_FIELDS))
 
 
@@ -42,13 +51,13 @@ def _number(text: Column) -> Column:
 def fields_or_zero(df: DataFrame, names: Iterable[str], fields: str = _FIELDS) -> DataFrame:
     """Add numeric fields: 0 when absent, NULL when null or not a number.
 
-    The texts are looked up in a projection of their own, once each.
+    The texts are taken in a projection of their own.
     """
-    texts = df.withColumns({n: F.try_element_at(F.col(fields), F.lit(n)) for n in names})
+    texts = df.withColumns({n: F.col(f"{fields}.texts.{n}") for n in names})
     return texts.withColumns(
         {
             n: F.when(F.col(n).isNotNull(), _number(F.col(n))).when(
-                ~F.map_contains_key(F.col(fields), n), 0.0
+                ~F.array_contains(F.col(f"{fields}.names"), n), 0.0
             )
             for n in names
         }
@@ -56,18 +65,18 @@ def fields_or_zero(df: DataFrame, names: Iterable[str], fields: str = _FIELDS) -
 
 
 def default_missing(df: DataFrame, fields: str = _FIELDS) -> DataFrame:
-    """Turn the field map of a readable document into the nine measures."""
+    """Turn the fields of a readable document into the nine measures."""
     return fields_or_zero(df, MEASURES, fields)
 
 
 def corrupt_states(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     """The rows which :func:`read_state` leaves out, for a quarantine table."""
-    return raw.where(state_fields(F.col(json_col)).isNull())
+    return raw.where(state_keys(F.col(json_col)).isNull())
 
 
 def count_states(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     """How many payloads are readable and how many are corrupt."""
-    readable = state_fields(F.col(json_col)).isNotNull()
+    readable = state_keys(F.col(json_col)).isNotNull()
     return raw.select(readable.alias("readable")).agg(
         F.count_if("readable").alias("n_readable"),
         F.count_if(~F.col("readable")).alias("n_corrupt"),
@@ -105,7 +114,7 @@ def port_states(raw: DataFrame, json_col: str = "payload") -> DataFrame:
 
 def charge_profile(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     """The members of the nested charge profile; a missing one is NULL."""
-    text = F.try_element_at(F.col(_FIELDS), F.lit("chargeProfile"))
+    text = F.col(f"{_FIELDS}.texts.chargeProfile")
     return (
         parsed_states(raw, json_col)
         .withColumn("_profile", F.from_json(text, CHARGE_PROFILE))
@@ -122,7 +131,7 @@ def poll_success(attempts: DataFrame, rule: str = "dashboard", out: str = "ok")
     if rule == "dashboard":
         flag = F.col("status_code") == 200
     elif rule == "logger":
-        flag = state_fields(F.col("payload")).isNotNull()
+        flag = state_keys(F.col("payload")).isNotNull()
     else:
         raise ValueError(f"unknown rule {rule!r}")
     return attempts.withColumn(out, F.coalesce(flag, F.lit(False)))

@@ -9,43 +9,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from voltfleet.operators.latest import SHOWN, latest_reading, newest
-from voltfleet.streaming.folders import batch_folder, batches, drop_before
+from voltfleet.schema import READINGS
+from voltfleet.streaming.folders import key_schema, read_parts, write_parts
 
+_SHOWN = "ts timestamp_ntz, seq bigint, " + ", ".join(f"{m} double" for m in SHOWN.values())
 
-def stream_latest(stream: DataFrame, keys: Sequence[str] = ("device_id",)) -> DataFrame:
-    """The newest reading per key so far, for update or complete mode.
 
-    The state is one row per device.
-    """
-    picked = stream.where(F.col("ts").isNotNull()).groupBy(*keys).agg(newest().alias("r"))
+def newest_rows(rows: DataFrame, keys: Sequence[str] = ("device_id",)) -> DataFrame:
+    """The newest reading per key, as a row that can be compared again."""
+    picked = rows.where(F.col("ts").isNotNull()).groupBy(*keys).agg(newest().alias("r"))
     return picked.select(*keys, "r.ts", "r.seq", *[f"r.{name}" for name in SHOWN.values()])
 
 
 def write_latest(
-    latest: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, keep: int = 3
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    keys: Sequence[str] = ("device_id",),
 ) -> StreamingQuery:
-    """Write the current row of every device, each batch to a folder of its own.
+    """Write the newest reading of each key which a batch has; other devices write nothing.
 
-    A batch which is run again after a failure overwrites its folder. The ``keep``
-    newest folders stay, for readers which are still at an older one.
+    An older reading in a later batch changes nothing, as the newest of all counts.
     """
 
-    def save(rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(batch_folder(path, batch))
-        drop_before(rows.sparkSession, path, batch - keep + 1)
+    def pick(rows: DataFrame) -> DataFrame:
+        return newest_rows(rows, keys)
 
-    return (
-        latest.writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(save)
-        .trigger(**(trigger or {"processingTime": "60 seconds"}))
-        .start()
-    )
+    schema = key_schema(keys, READINGS) + _SHOWN
+    every = trigger or {"processingTime": "60 seconds"}
+    return write_parts(stream, path, checkpoint, schema, pick, pick, every)
 
 
 def read_latest(
     spark: SparkSession, path: str, keys: Sequence[str] = ("device_id",)
 ) -> DataFrame:
-    """The newest reading of each key from the newest folder of :func:`write_latest`."""
-    newest_folder = batch_folder(path, batches(spark, path)[-1])
-    return latest_reading(spark.read.parquet(newest_folder), keys)
+    """The newest reading of each key so far; no rows before the first batch."""
+    return latest_reading(read_parts(spark, path, key_schema(keys, READINGS) + _SHOWN), keys)

@@ -1,8 +1,9 @@
-"""Outages as polls come in, for fleets with very busy devices.
+"""Outages as polls come in.
 
-Each micro-batch is handled by the batch operator, which cuts a device into slices,
-and takes over the runs which the batch before it left open. Order within a batch is
-by time; a poll which comes late counts in the batch in which it arrives.
+A run of failures depends on the order of a device's polls, so a late one can split a run
+or join two. The stream therefore keeps the outcome of every poll, some 25 bytes each,
+by date; runs, alerts and recoveries are worked out by the batch operators, which cut
+devices into days. Any order of arrival gives the answer which the polls in order give.
 """
 
 from __future__ import annotations
@@ -11,51 +12,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from voltfleet.operators.outages import runs_after
+from voltfleet.operators.outages import outage_events, runs_after
 from voltfleet.schema import OUTAGE_THRESHOLD
-from voltfleet.streaming.folders import batch_folder, batches
+from voltfleet.sources.tables import by_date
+from voltfleet.streaming.folders import read_parts, write_parts
 
-_RUNS = "device_id bigint, start timestamp_ntz, end timestamp_ntz, n bigint, is_open boolean"
+_POLLS = "device_id bigint, ts timestamp_ntz, seq bigint, ok boolean, log_date date"
 
 
-def write_outages(
-    attempts: DataFrame,
-    path: str,
-    checkpoint: str,
-    threshold: int = OUTAGE_THRESHOLD,
-    trigger: dict | None = None,
+def write_polls(
+    attempts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Write each batch's finished and open runs to a folder of its own.
-
-    A batch depends only on its polls and on the folder before it, and a batch which
-    is run again overwrites its folder, so a restart neither loses nor doubles a run.
-    """
-
-    def save(polls: DataFrame, batch: int) -> None:
-        spark = polls.sparkSession
-        carried = None
-        if batch > 0:
-            before = spark.read.schema(_RUNS).parquet(batch_folder(path, batch - 1))
-            carried = before.where(F.col("is_open") & (F.col("n") > 0))
-        runs = runs_after(polls, carried, threshold)
-        runs.where(~F.col("is_open") | (F.col("n") > 0)).write.mode("overwrite").parquet(
-            batch_folder(path, batch)
+    """Keep the outcome of each poll with a time (``device_id, ts, seq, ok``)."""
+
+    def outcomes(rows: DataFrame) -> DataFrame:
+        polls = rows.where(F.col("ts").isNotNull())
+        return by_date(
+            polls.select("device_id", "ts", "seq", "ok", F.to_date("ts").alias("log_date"))
         )
 
-    return (
-        attempts.writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(save)
-        .trigger(**(trigger or {"processingTime": "300 seconds"}))
-        .start()
-    )
+    every = trigger or {"processingTime": "300 seconds"}
+    return write_parts(attempts, path, checkpoint, _POLLS, outcomes, by_date, every, "log_date")
+
+
+def read_polls(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The polls so far, or those from a date on, which prunes the days before."""
+    polls = read_parts(spark, path, _POLLS)
+    return polls if since is None else polls.where(F.col("log_date") >= F.to_date(F.lit(since)))
 
 
 def read_outages(
-    spark: SparkSession, path: str, threshold: int = OUTAGE_THRESHOLD
+    spark: SparkSession, path: str, threshold: int = OUTAGE_THRESHOLD, since: str | None = None
+) -> DataFrame:
+    """All outages so far, and whether they go on; no rows before the first batch."""
+    runs = runs_after(read_polls(spark, path, since), None, threshold)
+    return runs.where(F.col("n") >= threshold)
+
+
+def read_outage_events(
+    spark: SparkSession, path: str, threshold: int = OUTAGE_THRESHOLD, since: str | None = None
 ) -> DataFrame:
-    """All outages so far: the finished ones, and those which the last batch left open."""
-    last = batches(spark, path)[-1]
-    runs = spark.read.schema(f"{_RUNS}, batch int").parquet(path)
-    return runs.where(
-        (F.col("n") >= threshold) & (~F.col("is_open") | (F.col("batch") == last))
-    ).select("device_id", "start", "end", "n", "is_open")
+    """The alerts and recoveries so far."""
+    return outage_events(read_polls(spark, path, since), threshold)

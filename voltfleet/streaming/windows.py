@@ -1,66 +1,77 @@
-"""Event-time windows over the readings.
+"""Hours and last-day statistics as readings come in.
 
-Late rows are accepted for the length of the watermark, by default three polls.
+Each micro-batch writes the partial aggregates of its hours, and reading the table puts
+them together. There is no watermark: a reading counts in its hour however late it comes,
+and a device whose clock is ahead cuts nobody off.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from voltfleet.plans.hourly import (
     PARTIALS,
-    hour_partials,
+    hourly_table,
     merged_partials,
     stats_of_partials,
 )
+from voltfleet.schema import READINGS
+from voltfleet.streaming.folders import key_schema, read_parts, write_parts
 
-WATERMARK = "15 minutes"
+_COUNTS = ("n", "count_")
 
 
-def event_time(stream: DataFrame) -> DataFrame:
-    """``ts`` as TIMESTAMP, the only type which takes a watermark."""
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def _schema(keys: Sequence[str]) -> str:
+    parts = (f"{p} {'bigint' if p.startswith(_COUNTS) else 'double'}" for p in PARTIALS)
+    return key_schema(keys, READINGS) + ", ".join(["ts timestamp_ntz", *parts, "log_date date"])
 
 
-def _hours(stream: DataFrame, watermark: str, keys: Sequence[str]) -> DataFrame:
-    return (
-        event_time(stream)
-        .withWatermark("ts", watermark)
-        .groupBy(*keys, F.window("ts", "1 hour").alias("hour"))
-        .agg(*hour_partials())
-    )
+def merged_hours(parts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per key and hour from parts of hours."""
+    whole = parts.groupBy(*keys, "ts", "log_date").agg(*merged_partials())
+    return whole.select(*keys, "ts", *PARTIALS, "log_date")
 
 
-def stream_rollup_hour(
-    stream: DataFrame, watermark: str = WATERMARK, keys: Sequence[str] = ()
-) -> DataFrame:
-    """Closed hours as rows of the hourly table; write them in append mode."""
-    start = F.col("hour.start").cast("timestamp_ntz")
-    return _hours(stream, watermark, keys).select(
-        *keys, start.alias("ts"), *PARTIALS, F.to_date(start).alias("log_date")
-    )
+def write_hours(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
+    keys: Sequence[str] = (),
+) -> StreamingQuery:
+    """Write readings as parts of the hourly table."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return hourly_table(rows, keys)
+
+    def merge(parts: DataFrame) -> DataFrame:
+        return merged_hours(parts, keys)
+
+    every = trigger or {"processingTime": "300 seconds"}
+    return write_parts(stream, path, checkpoint, _schema(keys), fold, merge, every)
+
+
+def read_hours(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The hourly table so far, the current hour included; no rows before the first batch."""
+    return merged_hours(read_parts(spark, path, _schema(keys)), keys)
 
 
-def stream_stats_24h(
-    stream: DataFrame, watermark: str = WATERMARK, keys: Sequence[str] = ()
-) -> DataFrame:
-    """The last-day statistics for each full hour, once the hour is closed.
+def stats_of_hours(hours: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The last-day statistics at each full hour that has readings in the 24 hours before.
 
-    Readings are folded into hours first and the 24-hour window slides over those, so
-    a reading is not copied into 24 windows. Windows end on the clock hour.
+    Hours are copied into their 24 windows, not readings.
     """
+    later = F.explode(F.sequence(F.lit(1), F.lit(24))).alias("k")
     days = (
-        _hours(stream, watermark, keys)
-        .groupBy(*keys, F.window(F.window_time("hour"), "24 hours", "1 hour").alias("day"))
+        hours.where(F.col("ts").isNotNull())
+        .select("*", later)
+        .withColumn("window_end", F.col("ts") + F.expr("make_dt_interval(0, k)"))
+        .groupBy(*keys, "window_end")
         .agg(*merged_partials())
-        .withColumns(
-            {
-                "window_start": F.col("day.start").cast("timestamp_ntz"),
-                "window_end": F.col("day.end").cast("timestamp_ntz"),
-            }
-        )
+        .withColumn("window_start", F.col("window_end") - F.expr("INTERVAL 24 HOURS"))
     )
     return stats_of_partials(days, *keys, "window_start", "window_end")

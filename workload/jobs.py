@@ -19,7 +19,7 @@ from voltfleet.plans.dashboard import dashboard as plan_dashboard
 from voltfleet.schema import MEASURES
 from voltfleet.session import working_dir
 from voltfleet.sources import documents, tables
-from voltfleet.streaming import ingest, outage, outage_log, windows
+from voltfleet.streaming import ingest, outage_log, windows
 from voltfleet.streaming import latest as live
 from workload import views as v
 
@@ -553,66 +553,77 @@ def hourly_stats(spark, d):
 _ONCE = {"availableNow": True}
 
 
-def _event_stream(spark, d, **options):
-    schema = v.events(spark, d).schema
-    # A pattern, for a stream takes a folder or a pattern but not a single file.
-    return spark.readStream.schema(schema).options(**options).parquet(f"{d}/events.parque[t]")
+_FILES = 4
 
 
-def _run(spark, stream, label):
-    """Run a stream over what is there, into files; read them back."""
-    path, checkpoint = working_dir(spark, label), working_dir(spark, f"{label}-checkpoint")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**_ONCE)
-        .start()
+def _followed(spark, d, label, start):
+    """Run a stream over ``events`` in four files, each with events of the whole month.
+
+    Files are read one per micro-batch, so polls and readings come out of order. The
+    stream is stopped after two of them and started again from its checkpoint. ``start``
+    takes the stream, the folder to write and the checkpoint; gives the folder.
+    """
+    events = v.events(spark, d)
+    landing, path, checkpoint = (
+        working_dir(spark, f"{label}{part}") for part in ("-landing", "", "-checkpoint")
     )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    for files in ((0, 1), (2, 3)):
+        for k in files:
+            part = events.where(F.col("event_id") % _FILES == k)
+            part.coalesce(1).write.mode("append").parquet(landing)
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+        start(source.parquet(landing), path, checkpoint).awaitTermination()
+    return path
 
 
 @job
 def stream_ingest(spark, d):
-    path, checkpoint = working_dir(spark, "ingest"), working_dir(spark, "ingest-checkpoint")
-    documents_in = v.state_raw_of(_event_stream(spark, d))
-    ingest.stream_ingest(documents_in, path, checkpoint, _ONCE).awaitTermination()
+    def start(events, path, checkpoint):
+        return ingest.stream_ingest(v.state_raw_of(events), path, checkpoint, _ONCE)
+
+    path = _followed(spark, d, "ingest", start)
     return _shown(tables.read_logs(spark, path).select("device_id", "seq", *MEASURES, "log_date"))
 
 
+def _hours_followed(spark, d, label):
+    def start(events, path, checkpoint):
+        return windows.write_hours(v.readings_of(events), path, checkpoint, _ONCE)
+
+    return windows.read_hours(spark, _followed(spark, d, label, start))
+
+
 @job
 def stream_rollup_hour(spark, d):
-    rows = windows.stream_rollup_hour(v.readings_of(_event_stream(spark, d)))
-    return _shown(_run(spark, rows, "rollup"))
+    return _shown(_hours_followed(spark, d, "rollup"))
 
 
 @job
 def stream_stats_24h(spark, d):
-    rows = windows.stream_stats_24h(v.readings_of(_event_stream(spark, d)))
-    return _shown(_run(spark, rows, "stats"))
+    return _shown(windows.stats_of_hours(_hours_followed(spark, d, "stats")))
 
 
 @job
 def stream_latest(spark, d):
-    path, checkpoint = working_dir(spark, "latest"), working_dir(spark, "latest-checkpoint")
-    rows = live.stream_latest(v.readings_of(_event_stream(spark, d)))
-    live.write_latest(rows, path, checkpoint, _ONCE).awaitTermination()
-    return _shown(live.read_latest(spark, path))
+    def start(events, path, checkpoint):
+        return live.write_latest(v.readings_of(events), path, checkpoint, _ONCE)
+
+    return _shown(live.read_latest(spark, _followed(spark, d, "latest", start)))
+
+
+def _polls_followed(spark, d, label):
+    def start(events, path, checkpoint):
+        polls = documents.poll_success(v.attempts_of(events))
+        return outage_log.write_polls(polls, path, checkpoint, _ONCE)
+
+    return _followed(spark, d, label, start)
 
 
 @job
 def stream_outage(spark, d):
-    # The polls of a device in one micro-batch meet in one task, so batches are limited.
-    source = _event_stream(spark, d, maxBytesPerTrigger=2**30)
-    polls = documents.poll_success(v.attempts_of(source))
-    return _shown(_run(spark, outage.stream_outage(polls), "outage"))
+    return _shown(outage_log.read_outage_events(spark, _polls_followed(spark, d, "outage")))
 
 
 @job
 def stream_outage_runs(spark, d):
-    path, checkpoint = working_dir(spark, "outages"), working_dir(spark, "outages-checkpoint")
-    polls = documents.poll_success(v.attempts_of(_event_stream(spark, d)))
-    outage_log.write_outages(polls, path, checkpoint, trigger=_ONCE).awaitTermination()
-    return _shown(outage_log.read_outages(spark, path).drop("is_open"))
+    runs = outage_log.read_outages(spark, _polls_followed(spark, d, "outages"))
+    return _shown(runs.drop("is_open"))

@@ -222,9 +222,6 @@ HOURLY_SHOWN = f"""{TS.format('ts')} AS ts, n,
   min_watts_in, max_watts_in, min_watts_out, max_watts_out,
   round(sum_abs_wh_out, 4) AS sum_abs_wh_out, CAST(ts AS DATE) AS log_date"""
 
-# What a stream has closed: windows which end before the newest time less 15 minutes.
-CLOSED = "(SELECT max(ts) - INTERVAL 15 MINUTE FROM readings)"
-
 STREAM_STATS = f"""
 WITH {READINGS},
 hours AS (SELECT date_trunc('hour', ts) AS h, {HOURLY_COLUMNS} FROM readings GROUP BY 1),
@@ -237,7 +234,7 @@ SELECT {TS.format('window_end - INTERVAL 24 HOUR')} AS window_start,
        max(max_watts_out) AS max_watts_out, min(min_watts_out) AS min_watts_out,
        round(round(sum(sum_soc) / sum(count_soc), 9), 6) AS avg_soc,
        round(sum(sum_abs_wh_out), 4) AS sum_abs_wh_out, CAST(sum(n) AS BIGINT) AS n
-FROM days WHERE window_end <= {CLOSED} GROUP BY days.window_end"""
+FROM days GROUP BY days.window_end"""
 
 
 def _config(columns: str, fixed_hotspot: bool = True, tail: str = "") -> str:
@@ -317,7 +314,8 @@ SQL: dict[str, str] = {
         FROM states""",
     ),
     "charge_profile": _on(
-        STATES, 'SELECT seq, p_min AS "min", p_max AS "max", p_re AS re FROM states'
+        STATES, 'SELECT seq, CAST(p_min AS DOUBLE) AS "min", CAST(p_max AS DOUBLE) AS "max", '
+        "CAST(p_re AS DOUBLE) AS re FROM states",
     ),
     "classify_profile": _on(
         STATES,
@@ -506,7 +504,7 @@ SQL: dict[str, str] = {
         READINGS,
         f"""SELECT {HOURLY_SHOWN} FROM (
         SELECT date_trunc('hour', ts) AS ts, {HOURLY_COLUMNS} FROM readings
-        GROUP BY date_trunc('hour', ts)) WHERE ts + INTERVAL 1 HOUR <= {CLOSED}""",
+        GROUP BY date_trunc('hour', ts))""",
     ),
     "stream_stats_24h": STREAM_STATS,
     "stream_latest": _latest(True),

@@ -279,12 +279,12 @@ def _score(span: Column | None, kind: Column, weights: dict[str, float]) -> Colu
 def train_classifier(patterns: DataFrame) -> dict[str, float]:
     """Weights of a logistic regression on votes and edges, one offset per kind, fitted to
     what the labelers' reliabilities say of each pattern."""
-    prior, right = reliabilities(patterns)
-    told = staged(patterns.withColumn("p", _posterior(prior, right)), "span-labels")
     weights = dict.fromkeys((*KINDS, *_FEATURES), 0.0)
-    total = told.agg(F.sum("n")).first()[0]
+    total = patterns.agg(F.sum("n")).first()[0]
     if not total:
         return weights
+    prior, right = reliabilities(patterns)
+    told = staged(patterns.withColumn("p", _posterior(prior, right)), "span-labels")
     for _ in range(STEPS):
         miss = F.col("n") * (F.col("p") - _sigmoid(_score(None, F.col("kind"), weights)))
         sums = [F.sum(F.when(F.col("kind") == k, miss).otherwise(0.0)).alias(k) for k in KINDS]

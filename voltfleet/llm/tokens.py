@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import raw_texts, small_batches
 
-WORD_CACHE = 250_000  # pieces that a Python worker remembers; then it starts anew
+WORD_CACHE = 150_000  # pieces of a generation; a Python worker remembers two
 ARC_TABLE = 300_000  # arcs that it remembers
 _DEAD = -2
 
@@ -174,8 +174,10 @@ class Tokenizer:
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = sorted(map(regex.escape, self._special), key=len, reverse=True)
         self._told = regex.compile("(" + "|".join(names) + ")") if names else None
-        # Ids (little-endian) and labels (with blanks between) of pieces.
+        # Ids (little-endian) and labels (with blanks between) of pieces. What is used
+        # moves on to the young generation; the old one is forgotten as a whole.
         self._pieces: dict[str, tuple[bytes, bytes]] = {}
+        self._old: dict[str, tuple[bytes, bytes]] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         words = {}
@@ -213,10 +215,12 @@ class Tokenizer:
         pieces = {p for text in split for found, _ in text for p in found}
         missing = pieces - self._pieces.keys()
         if len(self._pieces) + len(missing) > WORD_CACHE:
-            self._pieces.clear()
+            self._old, self._pieces = self._pieces, {}
             missing = pieces
-        self._learn(missing)
-        known = self._pieces
+        known, old = self._pieces, self._old
+        for piece in missing & old.keys():
+            known[piece] = old[piece]
+        self._learn(missing - known.keys())
         out = []
         for text in split:
             ids, labels = [], []
@@ -260,7 +264,7 @@ def encode_documents(docs: DataFrame, description: str) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(description).encode
-        for batch in small_batches(batches):
+        for batch in small_batches(batches, 1 << 20):
             found = encode([text or b"" for text in raw_texts(batch.column(1))])
             ids = [x[0] for x in found]
             yield pa.record_batch(

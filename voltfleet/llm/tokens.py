@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import raw_texts, small_batches
 
-WORD_CACHE = 150_000  # pieces of a generation; a Python worker remembers two
+WORD_CACHE = 220_000  # pieces of a generation; a Python worker remembers two
 ARC_TABLE = 300_000  # arcs that it remembers
 _DEAD = -2
 
@@ -59,7 +59,11 @@ class Automaton:
         self._label = {s: i for i, s in enumerate(self.spelled)}
         if len(self._label) < len(self.spelled):
             raise ValueError("two merges make one token")
-        self._longest = max(map(len, self.spelled), default=0)
+        # The length of the longest label with these last three symbols.
+        self._reach: dict[str, int] = {}
+        for s in self.spelled:
+            if len(s) > self._reach.get(s[-3:], 2):
+                self._reach[s[-3:]] = len(s)
         self._read, self._states, self._path = "", [0], [0]  # of the last word
 
     def _add_gadget(self, u: int, v: int) -> None:
@@ -120,9 +124,10 @@ class Automaton:
             shared += 1
         states, arcs = self._states, self._path
         del states[shared + 1 :], arcs[shared + 1 :]
-        label_of, known, longest = self._label.get, self._arcs.get, self._longest
+        label_of, known, reach = self._label.get, self._arcs.get, self._reach.get
         for i in range(shared + 1, len(symbols) + 1):
-            for j in range(max(0, i - longest), i):
+            longest = reach(symbols[i - 3 : i], 2) if i > 2 else i
+            for j in range(i - longest if longest < i else 0, i):
                 label = label_of(symbols[j:i])
                 if label is not None:
                     state = states[j]

@@ -17,6 +17,7 @@ from voltfleet.llm.queries import word_bpe
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 A_TO_Z = {i: i + 32 for i in range(65, 91)}
+DIGITS = str.maketrans("0123456789", "ghijklmnop")
 
 
 def got(df):
@@ -463,6 +464,22 @@ def test_a_large_leaf_is_dealt_to_salts(spark, monkeypatch):
     assert [r["doc_id"] for r in left] == [0]
 
 
+def test_a_leaf_of_many_templates_stays_dealt(spark, monkeypatch):
+    monkeypatch.setattr(templates, "LEAF_ROWS", 5)
+    merge, sizes = templates._merge, []
+
+    def counted(rows):
+        sizes.extend(r["count"] for r in rows.groupBy("leaf", "salt").count().collect())
+        return merge(rows)
+
+    monkeypatch.setattr(templates, "_merge", counted)
+    rows = [(i, f"one two three four {i:b} {i:o} {i:x}".translate(DIGITS)) for i in range(200)]
+    df = spark.createDataFrame(rows + [(k + 1000, t) for k, t in rows], "doc_id long, text string")
+    left = templates.drop_recurring_lines(df).where("text <> ''").collect()
+    assert {r["doc_id"] for r in left} <= set(range(200)) and len(left) > 100
+    assert len(sizes) > 40 and max(sizes) < 20
+
+
 # WARC
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import count, groupby
 from operator import eq
 
 import pyarrow as pa
@@ -153,8 +153,9 @@ def line_templates(docs: DataFrame, seals: DataFrame) -> DataFrame:
     """``seal, template`` (both binary keys) of lines that may share a template with
     another line: those in leaves with several lines and several documents.
 
-    A large leaf is dealt to as many salts as it has ``LEAF_ROWS`` lines; the templates
-    found there, which are far fewer, are then merged with each other.
+    A leaf is dealt to as many salts as it has ``LEAF_ROWS`` lines. The templates found
+    are merged with each other in the same way, dealt anew in each turn, until those of
+    every leaf fit in one salt or a turn leaves over nine tenths of them.
     """
     leaves = (
         seals.groupBy("leaf")
@@ -167,13 +168,38 @@ def line_templates(docs: DataFrame, seals: DataFrame) -> DataFrame:
     )
     lines = _line_texts(docs).join(leaves, "leaf").dropDuplicates(["leaf", "seal"])
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("seal"), F.col("salts")))
-    first = staged(_merge(salted).select("leaf", "seal", "template"), "templates")
-    of_leaf = first.select("leaf", F.col("template").alias("line")).distinct()
-    again = of_leaf.withColumn("seal", F.unhex(F.md5("line"))).withColumn("salt", F.lit(0).cast("long"))
-    second = _merge(again).select("leaf", F.col("line").alias("was"), F.col("template").alias("final"))
-    same = (F.col("f.leaf") == F.col("s.leaf")) & (F.col("template") == F.col("was"))
-    final = F.unhex(F.md5(F.concat(F.col("f.leaf").cast("string").cast("binary"), F.col("final"))))
-    return first.alias("f").join(second.alias("s"), same).select("seal", final.alias("template"))
+    found = staged(_merge(salted).select("leaf", "seal", "template"), "templates")
+    before = math.inf
+    for turn in count(1):
+        left = found.select("leaf", F.col("template").alias("line")).distinct()
+        sizes = left.groupBy("leaf").agg(F.count("*").alias("n"))
+        total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+        whole = (largest or 0) <= LEAF_ROWS
+        merged = _next_turn(found, left, None if whole else sizes, turn)
+        if whole or total > before * 0.9:
+            break
+        found, before = staged(merged, "templates"), total
+    name = F.concat(F.col("leaf").cast("string").cast("binary"), F.col("template"))
+    return merged.select("seal", F.unhex(F.md5(name)).alias("template"))
+
+
+def _next_turn(found: DataFrame, left: DataFrame, sizes: DataFrame | None, turn: int) -> DataFrame:
+    """``found`` with its templates, ``left``, merged with each other. Leaves are dealt by
+    ``sizes``; without it each is taken as a whole."""
+    again = left.withColumn("seal", F.unhex(F.md5("line")))
+    salt = F.lit(0).cast("long")
+    if sizes is not None:
+        large = staged(sizes.where(F.col("n") > LEAF_ROWS), "large-leaves")
+        again = again.join(large, "leaf", "left")
+        salts = F.ceil(F.coalesce("n", F.lit(1)) / LEAF_ROWS)
+        salt = F.pmod(F.xxhash64("seal", F.lit(turn)), salts)
+    second = _merge(again.withColumn("salt", salt)).select(
+        "leaf", F.col("line").alias("was"), F.col("template").alias("final")
+    )
+    same = (F.col("f.leaf") == F.col("s.leaf")) & (F.col("f.template") == F.col("was"))
+    return found.alias("f").join(second.alias("s"), same).select(
+        "f.leaf", "seal", F.col("final").alias("template")
+    )
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

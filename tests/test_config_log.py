@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from voltfleet.operators import config_log
 from voltfleet.schema import SEED_ADDRESS
@@ -55,3 +56,19 @@ def test_fallback_for_devices_without_a_change(spark, changes):
         9: ("hotspot", "10.1.1.1"),
     }
     assert config_log.active_config(changes).count() == 3
+
+
+def test_polls_mark_a_mode_as_failing_and_working(polls):
+    asked = polls(
+        [(1, s, s == 5) for s in range(6)]
+        + [(2, s, False) for s in range(4)]
+        + [(3, 0, False), (3, 1, False), (3, 2, True)]
+    ).withColumn("mode", F.when(F.col("device_id") == 2, "hotspot").otherwise("home"))
+    changes = config_log.config_from_polls(asked)
+    told = [(r["device_id"], r["seq"], r["success"]) for r in changes.collect()]
+    assert sorted(told) == [(1, 2, False), (1, 3, False), (1, 4, False), (1, 5, True), (2, 8, False), (2, 9, False)]
+    state = config_log.fold_config(changes).where("is_active").collect()
+    assert {r["device_id"]: (r["mode"], r["ip"], r["last_tested_success"]) for r in state} == {
+        1: ("reseau", SEED_ADDRESS["reseau"], True),
+        2: ("hotspot", SEED_ADDRESS["hotspot"], False),
+    }

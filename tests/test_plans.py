@@ -57,6 +57,13 @@ def test_month_list_needs_no_full_sort(table):
     assert "TakeOrderedAndProject" in plan_of(keylists.available_months(table))
 
 
+def test_the_newest_reading_needs_one_folder(table):
+    found = latest.latest_reading(latest.newest_day(table))
+    plan = plan_of(found)
+    assert re.search(r"PartitionFilters: \[[^\]]*log_date#\d+ = [^\]]*[Ss]ubquery", plan)
+    assert str(found.first()["ts"]) == "2024-01-28 10:00:00"
+
+
 def test_aggregates_fold_before_the_shuffle(table):
     keys = ["device_id"]
     for df in (

@@ -199,6 +199,28 @@ def test_series_in_order(readings):
     assert [r["seq"] for r in got] == [1, 2, 3, 0]
 
 
+def test_current_stats_of_silent_and_failing_devices(readings, polls):
+    read = readings(
+        [
+            {"device_id": d, "t": "2023-11-14T22:00:00", "wattsIn": 5, "wattsOut": 3, "timeToEmptyFull": 90}
+            for d in (1, 2, 3)
+        ]
+    )
+    asked = polls([(1, 1, False), (1, 2, True), (2, 1, True), (2, 2, False), (4, 1, True), (5, 1, False)])
+    found = latest.current_stats(read, asked, ["device_id"]).collect()
+    assert {r["device_id"]: (r["connected"], r["time_left"], r["direction"], r["watts_in"]) for r in found} == {
+        1: (True, "01:30", "charging", 5.0),
+        2: (False, "--:--", "neutral", 5.0),
+        3: (False, "--:--", "neutral", 5.0),
+        4: (True, "--:--", "neutral", 0.0),
+        5: (False, "--:--", "neutral", 0.0),
+    }
+    one = latest.current_stats(read, asked.where("seq < 0")).first()
+    assert (one["connected"], one["watts_in"]) == (False, 5.0)
+    none = latest.current_stats(read.where("seq < 0"), asked.where("seq < 0")).first()
+    assert (none["connected"], none["ts"], none["soc"]) == (False, None, 0.0)
+
+
 def test_dashboard(sample):
     _, df = sample
     parts = dashboard(df, "day", "2024-W06")

@@ -11,7 +11,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltfleet.schema import HOTSPOT, NETWORK, SEED_ADDRESS
+from voltfleet.operators.outages import polls_that_tell
+from voltfleet.schema import HOTSPOT, NETWORK, OUTAGE_THRESHOLD, SEED_ADDRESS
 
 
 def _known_mode() -> Column:
@@ -104,3 +105,24 @@ def active_config(
             F.coalesce("ip", F.lit(seeds[HOTSPOT])).alias("ip"),
         )
     )
+
+
+def config_from_polls(attempts: DataFrame, threshold: int = OUTAGE_THRESHOLD) -> DataFrame:
+    """The changes of settings that polls make, ready for :func:`fold_config`.
+
+    ``attempts`` has ``device_id``, ``ts``, ``seq``, ``ok`` and the ``mode`` the poll
+    went by; the polls of each mode count for themselves. Every failure from the
+    ``threshold`` on marks its mode as failing, and the first success after one as
+    working. The address is NULL, which keeps the one before.
+    """
+    told = polls_that_tell(
+        attempts.withColumn("mode", _known_mode()), threshold, ("device_id", "mode")
+    )
+    return told.select(
+        "device_id",
+        F.col("ts").alias("at"),
+        "seq",
+        "mode",
+        F.lit(None).cast("string").alias("ip"),
+        (F.col("kind") == "recovery").alias("success"),
+    )

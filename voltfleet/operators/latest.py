@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltfleet.functions.display import time_left
+from voltfleet.functions.display import charge_direction, time_left
 from voltfleet.operators.periods import Moment, select_period
 
 # Output name and measure of each value shown for the newest reading.
@@ -37,18 +37,54 @@ def latest_reading(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     the time left is unknown; a NULL in the newest reading stays NULL.
     """
     picked = df.where(F.col("ts").isNotNull()).groupBy(*keys).agg(newest().alias("r"))
+    return picked.select(
+        *keys, *_values(), time_left(F.col("r.timeToEmptyFull")).alias("time_left")
+    )
+
+
+def _values() -> list[Column]:
+    """The time and values shown of a newest reading ``r``."""
     values = {
         out: F.when(F.col("r").isNull(), F.lit(None if name == "timeToEmptyFull" else 0.0))
         .otherwise(F.col(f"r.{name}"))
         .cast("double")
         for out, name in SHOWN.items()
     }
-    return picked.select(
+    return [F.col("r.ts").alias("ts"), *[value.alias(out) for out, value in values.items()]]
+
+
+def newest_day(df: DataFrame) -> DataFrame:
+    """The rows of the newest ``log_date``, which hold the newest reading of all.
+
+    On the reading table the newest date comes from the names of its folders, and the
+    scan then reads that one folder, however long the history is.
+    """
+    dates = df.where(F.col("log_date").isNotNull())
+    return dates.where(F.col("log_date") == dates.select(F.max("log_date")).scalar())
+
+
+def current_stats(df: DataFrame, polls: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The newest reading with ``connected``, the outcome ``ok`` of the newest poll.
+
+    Without a connection the time left is unknown and the direction neutral. A key with
+    polls only has the values of no reading; one with readings only is not connected.
+    Readings and polls fold in one aggregation, without a join.
+    """
+    reading = F.struct("ts", "seq", *SHOWN.values())
+    read = df.where(F.col("ts").isNotNull()).select(*keys, reading.alias("r"))
+    asked = polls.where(F.col("ts").isNotNull()).select(
+        *keys, F.struct("ts", "seq", "ok").alias("p")
+    )
+    both = read.unionByName(asked, allowMissingColumns=True)
+    picked = both.groupBy(*keys).agg(F.max("r").alias("r"), F.max("p").alias("p"))
+    connected = F.coalesce(F.col("p.ok"), F.lit(False))
+    shown = picked.select(
         *keys,
-        F.col("r.ts").alias("ts"),
-        *[value.alias(out) for out, value in values.items()],
-        time_left(F.col("r.timeToEmptyFull")).alias("time_left"),
+        *_values(),
+        connected.alias("connected"),
+        time_left(F.col("r.timeToEmptyFull"), connected).alias("time_left"),
     )
+    return charge_direction(shown, "watts_in", "watts_out", "connected")
 
 
 def ordered_series(

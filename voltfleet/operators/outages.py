@@ -138,7 +138,16 @@ def outage_events(
     threshold: int = OUTAGE_THRESHOLD,
     keys: Sequence[str] = ("device_id",),
 ) -> DataFrame:
-    """``alert`` and ``recovery`` events: keys, ``kind``, ``ts``, ``start``, ``end``, ``n``.
+    """``alert`` and ``recovery`` events: keys, ``kind``, ``ts``, ``start``, ``end``, ``n``."""
+    return polls_that_tell(attempts, threshold, keys).drop("seq")
+
+
+def polls_that_tell(
+    attempts: DataFrame,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """The events with the ``seq`` of their poll.
 
     Every failure from the threshold on is an alert, and the first success after one a
     recovery; both tell the start, end and length of the run up to then.
@@ -174,6 +183,7 @@ def outage_events(
         *keys,
         F.when(alert, "alert").otherwise("recovery").alias("kind"),
         "ts",
+        "seq",
         F.when(alert, F.col("run_start")).otherwise(F.col("was_start")).alias("start"),
         F.when(alert, F.col("ts")).otherwise(F.col("was_end")).alias("end"),
         F.when(alert, F.col("run_n")).otherwise(F.col("was_n")).alias("n"),

@@ -386,6 +386,20 @@ def latest_reading_device(spark, d):
     return _shown(latest.latest_reading(v.readings(spark, d), ["device_id"]))
 
 
+@job
+def latest_of_newest_day(spark, d):
+    path = working_dir(spark, "readings")
+    tables.append_readings(v.readings(spark, d), path)
+    return _shown(latest.latest_reading(latest.newest_day(tables.read_logs(spark, path))))
+
+
+@job
+def current_stats(spark, d):
+    # A failed poll leaves no reading.
+    readings = v.readings_of(v.events(spark, d).where("event_type <> 'error'"))
+    return _shown(latest.current_stats(readings, _polls(spark, d), ["device_id"]))
+
+
 @job
 def ordered_series(spark, d):
     return _shown(latest.ordered_series(v.readings(spark, d), "day", v.WEEK))
@@ -402,6 +416,12 @@ def active_config(spark, d):
     return config_log.active_config(v.config_changes(spark, d), v.readings(spark, d))
 
 
+@job
+def config_from_polls(spark, d):
+    polls = _polls(spark, d).withColumn("mode", v.mode_of(F.col("device_id")))
+    return _shown(config_log.config_from_polls(polls))
+
+
 # Table changes
 
 

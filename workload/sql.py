@@ -139,6 +139,25 @@ def _latest(per_device: bool) -> str:
     )
 
 
+def _current() -> str:
+    shown = LATEST.format(
+        ts=TS.format("ts"), left=_time_left('"timeToEmptyFull"', "NOT connected")
+    )
+    return _on(
+        READINGS,
+        f"""SELECT device_id, {shown}, connected,
+        CASE WHEN NOT connected THEN 'neutral'
+        WHEN coalesce("wattsIn", 0) > coalesce("wattsOut", 0) THEN 'charging'
+        WHEN coalesce("wattsOut", 0) > 0 THEN 'discharging' ELSE 'neutral' END AS direction
+        FROM (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY ts DESC, seq DESC) AS rn
+          FROM readings
+          WHERE seq IN (SELECT event_id FROM events WHERE event_type <> 'error'))
+        JOIN (SELECT user_id AS device_id, event_type <> 'error' AS connected,
+          row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS pn
+          FROM events) USING (device_id) WHERE rn = 1 AND pn = 1""",
+    )
+
+
 def _chart(label: str) -> str:
     return _on(
         READINGS,
@@ -440,6 +459,13 @@ SQL: dict[str, str] = {
     ),
     "latest_reading": _latest(False),
     "latest_reading_device": _latest(True),
+    "latest_of_newest_day": _latest(False),
+    "current_stats": _current(),
+    "config_from_polls": f"""SELECT device_id, ts AS at, seq, NULL::VARCHAR AS ip,
+        CASE WHEN device_id % 3 = 0 THEN 'hotspot' ELSE 'reseau' END AS mode,
+        kind = 'recovery' AS success
+        FROM ({OUTAGE_EVENTS}) JOIN (SELECT event_id AS seq, user_id AS device_id,
+          {TS.format('ts')} AS ts FROM events) USING (device_id, ts)""",
     "ordered_series": _on(
         READINGS,
         f"""SELECT device_id, seq, date_heure, {TS.format('ts')} AS ts, "wattsOut",

@@ -178,3 +178,8 @@ def config_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
             (event % 3 != 0).alias("success"),
         )
     )
+
+
+def mode_of(device: Column) -> Column:
+    """The connection mode by which a device is polled."""
+    return F.when(device % 3 == 0, "hotspot").otherwise("reseau")

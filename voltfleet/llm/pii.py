@@ -46,9 +46,12 @@ LOOSE = {
         r"(?![0-9A-Za-z:.])"
     ),
     "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9A-Za-z])",
+    # (212) 555-1234 ends there, whatever number comes next; then any few groups.
     "phone": (
-        r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])"
-        r"(?:[0-9]{2,4}[\x20.-]){1,3}+[0-9]{3,4}(?![0-9A-Za-z])"
+        r"(?<![0-9A-Za-z+.-])(?:"
+        r"(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![.-]?[0-9A-Za-z])"
+        r"|(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])"
+        r"(?:[0-9]{2,4}[\x20.-]){1,3}[0-9]{3,4}(?![0-9A-Za-z]))"
     ),
 }
 # What a text must have for a pattern to be worth trying.

@@ -32,3 +32,28 @@ def test_every_phone_of_the_fixture_is_a_candidate(spark):
     taken = pii.candidates(rows).select("doc_id", (F.size("phone") + F.size("loose_phone")).alias("found"))
     both = rows.join(taken, "doc_id").select("n", "found").collect()
     assert both and all(r["found"] >= r["n"] for r in both)
+
+
+def test_loose_addresses(spark):
+    forms = (
+        "fe80::1", "fe80::1ff:fe23:4567:890a", "::1", "2001:db8::1", "fe80::", "::ffff:a00:1",
+        "2001:db8:0:1:1:1:1:1", "2001:DB8:1::7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8",
+    )
+    edges = ("", " x", ".", ". Then", ", then", ")", ": up", "/64", "%eth0")
+    texts = [f"host {f}{e}" for f in forms for e in edges]
+    assert loose(spark, "ip", texts) == [[f] for f in forms for _ in edges]
+    assert loose(spark, "ip", ["at 12:34", "std::vector", "a :: b", "x.fe80::1z", "note: add"]) == [[]] * 5
+
+
+def test_loose_phones_in_pairs_and_without_a_break(spark):
+    forms = ("01 23 45 67 89", "01-23-45-67-89", "30-12-34-56", "5551234567", "07911123456", "61234567")
+    edges = ("", " now", ". Then", ", then")
+    texts = [f"call {f}{e}" for f in forms for e in edges]
+    assert loose(spark, "phone", texts) == [[f] for f in forms for _ in edges]
+    others = ["0.5551234567", "5551234567.25", "a5551234567", "1234567", "2024-01-12", "12 34 56"]
+    assert loose(spark, "phone", others) == [[]] * 6
+
+
+def test_a_date_without_a_break_speaks_against_a_phone(spark):
+    df = spark.createDataFrame([(1, "on 20240112 and 20249912")], "doc_id long, text string")
+    assert [v["v6"] for v in pii.candidates(df).first()["loose_phone"]] == [-1, 0]

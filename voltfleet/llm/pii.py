@@ -33,6 +33,7 @@ STRICT = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+_GROUP = "[0-9A-Fa-f]{1,4}"
 LOOSE = {
     # Written out: name (at) example (dot) com, name at example dot com.
     "email": (
@@ -41,22 +42,28 @@ LOOSE = {
         r"(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63}+){1,4}+"
         r"|\x20at\x20[A-Za-z0-9-]{1,63}+(?:\x20dot\x20[A-Za-z0-9-]{1,63}+){1,4}+)"
     ),
+    # Groups with :: at any place, or three and more without; a sentence may end after them.
     "ip": (
-        r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}+(?::?[0-9A-Fa-f]{1,4}){1,6}+"
-        r"(?![0-9A-Za-z:.])"
+        r"(?<![0-9A-Za-z:.])(?:"
+        rf"(?:{_GROUP}:){{1,7}}:(?:{_GROUP}(?::{_GROUP}){{0,6}})?"
+        rf"|::{_GROUP}(?::{_GROUP}){{0,6}}|(?:{_GROUP}:){{2,7}}{_GROUP})"
+        r"(?![.:]?[0-9A-Za-z]|::)"
     ),
     "card": r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20.-]?[0-9]){12,18}+(?![0-9A-Za-z])",
-    # (212) 555-1234 ends there, whatever number comes next; then any few groups.
+    # (212) 555-1234 ends there, whatever number comes next; then any few groups, pairs
+    # of digits, and digits without a break.
     "phone": (
         r"(?<![0-9A-Za-z+.-])(?:"
         r"(?:\([0-9]{3}\)[\x20.-]?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![.-]?[0-9A-Za-z])"
         r"|(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])"
-        r"(?:[0-9]{2,4}[\x20.-]){1,3}[0-9]{3,4}(?![0-9A-Za-z]))"
+        r"(?:[0-9]{2,4}[\x20.-]){1,3}[0-9]{3,4}(?![0-9A-Za-z])"
+        r"|[0-9]{2}(?:[\x20.-][0-9]{2}){3,6}(?![0-9A-Za-z])"
+        r"|[0-9]{8,15}(?![0-9A-Za-z]|[.,][0-9]))"
     ),
 }
 # What a text must have for a pattern to be worth trying.
 _NEEDS = {"email": "@", "ip": "[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
-_NEEDS_LOOSE = {"email": r"(?i)[ (\[{]at[ )\]}]", "ip": "[0-9A-Fa-f]:", "card": "[0-9]", "phone": "[0-9]"}
+_NEEDS_LOOSE = {"email": r"(?i)[ (\[{]at[ )\]}]", "ip": "[0-9A-Fa-f]:|:[0-9A-Fa-f]", "card": "[0-9]", "phone": "[0-9]"}
 
 # Gazetteers and cue words of the labelers: fixed values.
 _TLD = "com|org|net|edu|gov|info|biz|io|de|fr|es|uk|eu|it|nl|ch|at|be|pt|pl|se|us|ca|au|in|jp|cn|br|mx"
@@ -154,7 +161,10 @@ def labelled(text: Column, kind: str, span: Column, strict: bool) -> Column:
     start = F.greatest(span["start"] - _WIDTH, F.lit(0))
     before = F.lower(F.substr(text, (start + 1).cast("int"), (span["start"] - start).cast("int")))
     after = F.substr(text, (span["end"] + 1).cast("int"), F.lit(1))
-    date = value.rlike(r"^(?:(?:19|20)[0-9]{2}[-. ][0-9]{2}[-. ][0-9]{2}|[0-9]{2}[-. ][0-9]{2}[-. ](?:19|20)[0-9]{2})")
+    date = value.rlike(
+        r"^(?:(?:19|20)[0-9]{2}[-. ][0-9]{2}[-. ][0-9]{2}|[0-9]{2}[-. ][0-9]{2}[-. ](?:19|20)[0-9]{2}"
+        r"|(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[0-9]{6})?$)"
+    )
     clock = value.rlike(r"^[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?$")
     shape = {
         "email": _vote(value.rlike(r"[.)\]} ][a-z]{2,6}$"), value.rlike(r"[0-9]$")),

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import raw_texts, small_batches, staged
+from .common import map_batches, raw_texts, small_batches, staged
 from .lines import with_text
 
 DEPTH = 4  # leading tokens
@@ -101,13 +101,18 @@ def _line_texts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(each, "leaf long, seal binary, line binary")
 
 
+def _need(n: int) -> int:
+    """How many of ``n`` tokens alike lines have in common, at least."""
+    return math.ceil(SIMILARITY * n - 1e-9)
+
+
 def merge_lines(lines: list[list[bytes]]) -> list[list[bytes]]:
     """The template of each line of a leaf, taken in the order given; a template
     keeps the tokens that all its lines share."""
     templates: list[list[bytes]] = []
     chosen = []
     for tokens in lines:
-        need = math.ceil(SIMILARITY * len(tokens) - 1e-9)
+        need = _need(len(tokens))
         for k, template in enumerate(templates):
             if sum(map(eq, tokens, template)) >= need:
                 templates[k] = [a if a == b else FIELD for a, b in zip(template, tokens)]
@@ -154,8 +159,8 @@ def line_templates(docs: DataFrame, seals: DataFrame) -> DataFrame:
     another line: those in leaves with several lines and several documents.
 
     A leaf is dealt to as many salts as it has ``LEAF_ROWS`` lines. The templates found
-    are merged with each other in the same way, dealt anew in each turn, until those of
-    every leaf fit in one salt or a turn leaves over nine tenths of them.
+    are merged with each other in the same way, those of a leaf as a whole if they fit in
+    one salt, otherwise by ``_merge_large``.
     """
     leaves = (
         seals.groupBy("leaf")
@@ -169,37 +174,102 @@ def line_templates(docs: DataFrame, seals: DataFrame) -> DataFrame:
     lines = _line_texts(docs).join(leaves, "leaf").dropDuplicates(["leaf", "seal"])
     salted = lines.withColumn("salt", F.pmod(F.xxhash64("seal"), F.col("salts")))
     found = staged(_merge(salted).select("leaf", "seal", "template"), "templates")
-    before = math.inf
-    for turn in count(1):
-        left = found.select("leaf", F.col("template").alias("line")).distinct()
-        sizes = left.groupBy("leaf").agg(F.count("*").alias("n"))
-        total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
-        whole = (largest or 0) <= LEAF_ROWS
-        merged = _next_turn(found, left, None if whole else sizes, turn)
-        if whole or total > before * 0.9:
-            break
-        found, before = staged(merged, "templates"), total
-    name = F.concat(F.col("leaf").cast("string").cast("binary"), F.col("template"))
+    left = found.select("leaf", F.col("template").alias("line")).distinct()
+    sizes = left.groupBy("leaf").agg(F.count("*").alias("n"))
+    large = staged(sizes.where(F.col("n") > LEAF_ROWS).select("leaf"), "large-leaves")
+    if large.isEmpty():
+        second = _merge_whole(left)
+    else:
+        second = _merge_whole(left.join(large, "leaf", "left_anti")).union(
+            _merge_large(left.join(large, "leaf"))
+        )
+    same = (F.col("f.leaf") == F.col("s.leaf")) & (F.col("f.template") == F.col("was"))
+    merged = found.alias("f").join(second.alias("s"), same).select("f.leaf", "seal", "final")
+    name = F.concat(F.col("leaf").cast("string").cast("binary"), F.col("final"))
     return merged.select("seal", F.unhex(F.md5(name)).alias("template"))
 
 
-def _next_turn(found: DataFrame, left: DataFrame, sizes: DataFrame | None, turn: int) -> DataFrame:
-    """``found`` with its templates, ``left``, merged with each other. Leaves are dealt by
-    ``sizes``; without it each is taken as a whole."""
-    again = left.withColumn("seal", F.unhex(F.md5("line")))
-    salt = F.lit(0).cast("long")
-    if sizes is not None:
-        large = staged(sizes.where(F.col("n") > LEAF_ROWS), "large-leaves")
-        again = again.join(large, "leaf", "left")
-        salts = F.ceil(F.coalesce("n", F.lit(1)) / LEAF_ROWS)
-        salt = F.pmod(F.xxhash64("seal", F.lit(turn)), salts)
-    second = _merge(again.withColumn("salt", salt)).select(
-        "leaf", F.col("line").alias("was"), F.col("template").alias("final")
-    )
-    same = (F.col("f.leaf") == F.col("s.leaf")) & (F.col("f.template") == F.col("was"))
-    return found.alias("f").join(second.alias("s"), same).select(
-        "f.leaf", "seal", F.col("final").alias("template")
-    )
+def _merge_whole(left: DataFrame) -> DataFrame:
+    """``leaf, was, final`` of templates ``leaf, line``, those of a leaf compared in one go."""
+    again = left.withColumn("seal", F.unhex(F.md5("line"))).withColumn("salt", F.lit(0).cast("long"))
+    return _merge(again).select("leaf", F.col("line").alias("was"), F.col("template").alias("final"))
+
+
+def _block_keys(left: DataFrame, block: int) -> DataFrame:
+    """``leaf, line, key`` of the templates that have a block of this number.
+
+    Lines of a leaf share their leading tokens and are alike if at most ``d`` others differ.
+    The others are dealt to ``d + 1`` blocks, so alike lines have the same tokens in one.
+    """
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for leaf, line in zip(*(c.to_pylist() for c in batch.columns)):
+            tokens = line.split(b" ")
+            blocks = len(tokens) - _need(len(tokens)) + 1
+            if block < blocks:
+                key = xxhash.xxh3_64_intdigest(b" ".join(tokens[DEPTH + block :: blocks])) - (1 << 63)
+                rows.append((leaf, line, key))
+        columns = list(zip(*rows)) or [()] * 3
+        kinds = (pa.int64(), pa.binary(), pa.int64())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["leaf", "line", "key"])
+
+    return map_batches(left.select("leaf", "line"), each, "leaf long, line binary, key long")
+
+
+def _merge_large(left: DataFrame) -> DataFrame:
+    """``leaf, was, final`` of the templates of large leaves, ``leaf, line``.
+
+    Templates with the same tokens in a block are compared, for one block after the other,
+    until no template of a leaf is like another.
+    """
+    state = left.select("leaf", F.col("line").alias("was"), F.col("line").alias("final"))
+    state = staged(state, "large-templates")
+    before, total = None, state.count()
+    while total != before:
+        before = total
+        for block in count():
+            now = state.select("leaf", F.col("final").alias("line")).distinct()
+            dealt = staged(_block_keys(now, block), "block-keys")
+            if dealt.isEmpty():
+                break
+            merged = _merge_block(dealt).withColumnRenamed("was", "final")
+            state = state.join(merged, ["leaf", "final"], "left").select(
+                "leaf", "was", F.coalesce("now", "final").alias("final")
+            )
+            state = staged(state, "large-templates")
+        total = state.select("leaf", "final").distinct().count()
+    return state
+
+
+def _merge_block(dealt: DataFrame) -> DataFrame:
+    """``leaf, was, now`` of templates ``leaf, line, key``, merged within leaf and key.
+
+    Those of a key with over ``LEAF_ROWS`` are dealt to an even number of tiles, half that
+    large, of which each meets each other once: two and two of them in every turn.
+    """
+    sizes = dealt.groupBy("leaf", "key").agg(F.count("*").alias("n"))
+    tiles = F.when(F.col("n") > LEAF_ROWS, 2 * F.ceil(F.col("n") / LEAF_ROWS)).otherwise(F.lit(2))
+    rows = dealt.join(sizes, ["leaf", "key"]).select(
+        "leaf", "key", F.col("line").alias("was"), F.col("line").alias("now"),
+        tiles.cast("long").alias("tiles"), F.pmod(F.xxhash64("line"), tiles).cast("long").alias("tile"),
+    )
+    rows = staged(rows, "tiles")
+    turns = rows.agg(F.max("tiles")).first()[0] - 1
+    others, tile = F.col("tiles") - 1, F.col("tile")  # others is odd, so tiles / 2 is half of one
+    for turn in range(turns):
+        lines = rows.where(others > turn).groupBy("leaf", "key", "tiles", F.col("now").alias("line"))
+        lines = lines.agg(F.min("tile").alias("tile"))
+        last = F.pmod(F.lit(turn) * F.floor(F.col("tiles") / 2), others)
+        pair = F.when(tile == others, last).otherwise(F.least(tile, F.pmod(F.lit(turn) - tile, others)))
+        lines = lines.withColumn("salt", F.xxhash64("key", pair.cast("long")))
+        merged = _merge(lines.withColumn("seal", F.unhex(F.md5("line"))))
+        merged = merged.select("leaf", F.col("line").alias("now"), F.col("template").alias("next"))
+        rows = rows.join(merged, ["leaf", "now"], "left").select(
+            "leaf", "key", "was", F.coalesce("next", "now").alias("now"), "tiles", "tile"
+        )
+        rows = staged(rows, "tiles")
+    return rows.select("leaf", "was", "now")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

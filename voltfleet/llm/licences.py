@@ -6,13 +6,16 @@ regression with one class per licence family, one for licence wording of no know
 parts, from paragraphs of the corpus that carry a notice, and from a bounded sample of those which
 don't. On a fold set aside, a temperature is fitted and a threshold chosen
 below which a prediction counts as unknown. A prediction stands if the paragraph also
-contains the notice of its family by word shingles; otherwise it is unknown.
+contains the notice of its family by word shingles; otherwise it is unknown. Notices that
+run over several lines, or share one, are found by their shingles in runs of lines without
+a blank one; such a stretch of words is classified on its own.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +121,41 @@ def template_match(words: list[str]) -> tuple[str | None, float]:
     return family, best
 
 
+_WIDTHS = sorted({len(next(iter(parts))) for _, parts in _TEMPLATES})
+_HOLDERS: dict[tuple[str, ...], list[int]] = {}
+for _k, (_, _parts) in enumerate(_TEMPLATES):
+    for _shingle in _parts:
+        _HOLDERS.setdefault(_shingle, []).append(_k)
+_OPENINGS = {shingle[:2] for shingle in _HOLDERS}
+
+
+def notices_in(words: list[str]) -> list[tuple[str, int, int]]:
+    """``family, start, end`` of each stretch of the words that has ``SIMILARITY`` of a
+    notice's shingles and is at most a quarter longer than the notice."""
+    hits: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+    for i, pair in enumerate(zip(words, words[1:])):
+        if pair in _OPENINGS:
+            for width in _WIDTHS:
+                shingle = tuple(words[i : i + width])
+                for k in _HOLDERS.get(shingle, ()) if len(shingle) == width else ():
+                    hits.setdefault(k, []).append((i, shingle))
+    found = []
+    for k, at in hits.items():
+        family, parts = _TEMPLATES[k]
+        width = len(next(iter(parts)))
+        longest = (len(parts) + width - 1) * 5 // 4
+        need = SIMILARITY * len(parts) - 1e-9
+        j = 0
+        while j < len(at):
+            near = [x for x in at[j : j + longest] if x[0] + width - at[j][0] <= longest]
+            if len({shingle for _, shingle in near}) >= need:
+                found.append((family, at[j][0], near[-1][0] + width))
+                j += len(near)
+            else:
+                j += 1
+    return found
+
+
 class Model:
     """Weights of the regression, its temperature and threshold.
 
@@ -279,44 +317,60 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, families, n_paragraphs, n_licence, n_unknown, confidence`` for every row.
 
     ``families`` are the confirmed licence families, in order; ``n_licence`` counts the
-    paragraphs of these, ``n_unknown`` those with licence wording of no known or no
+    paragraphs that have one of these or a part of it, ``n_unknown`` other ones with licence wording of no known or no
     confirmed family; ``confidence`` is the largest probability of a confirmed prediction
     (null without one). A null text has no paragraphs. Rows are judged alone, equal rows
     alike; an empty table gives no rows; other columns are ignored.
     """
-    # Paragraphs without any n-gram of licence wording have nothing to be told by: the
+    # Paragraphs without a word of licence wording have nothing to be told by: the
     # features of the notices are a few hundred, and text beyond them is class none.
-    telling = {w for n in (*sum(NOTICES.values(), ()), *OTHERS) for w in words_of(n)}
-    pairs = {
-        p
-        for n in (*sum(NOTICES.values(), ()), *OTHERS)
-        for ws in [words_of(n)]
-        for p in zip(ws, ws[1:])
-    }
-
-    def worth(words: list[str]) -> bool:
-        return any(
-            (a, b) in pairs for a, b in zip(words, words[1:]) if a in telling and b in telling
-        )
+    telling = {w for n in (*sum(NOTICES.values(), ()), *OTHERS) for w in words_of(n)} - {"0"}
+
+    def wrapped(lines: list[list[str]]) -> tuple[set[str], set[int], float | None]:
+        """Families of the notices in a run of lines, the numbers of the lines that have a
+        part of one, and the largest probability."""
+        words = [w for line in lines for w in line]
+        of = [k for k, line in enumerate(lines) for _ in line]
+        spans = notices_in(words)
+        families, touched, sure = set(), set(), None
+        if spans:
+            best, p = model.predict([model.features(words[a:b]) for _, a, b in spans])
+            for (family, a, b), k, share in zip(spans, best.tolist(), p.tolist()):
+                if CLASSES[k] == family:
+                    families.add(family)
+                    touched |= set(of[a:b])
+                    sure = max(sure or 0.0, share)
+        return families, touched, sure
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text in raw_texts(batch.column(1)):
-            paragraphs = [x for x in (text or b"").decode("utf-8", "replace").split("\n") if x.strip()]
-            tried = [w for w in map(words_of, paragraphs) if worth(w)]
-            families, sure, licence, unknown = set(), None, 0, 0
+            given = (text or b"").decode("utf-8", "replace").split("\n")
+            families, sure, touched = set(), None, set()
+            paragraphs = []
+            for filled, run in groupby(given, key=lambda x: bool(x.strip())):
+                if filled:
+                    run = [words_of(x) for x in run]
+                    more, at, share = wrapped(run)
+                    families |= more
+                    touched |= {len(paragraphs) + k for k in at}
+                    sure = max((x for x in (sure, share) if x is not None), default=None)
+                    paragraphs += run
+            tried = [k for k, w in enumerate(paragraphs) if not telling.isdisjoint(w)]
+            unknown = 0
             if tried:
-                best, p = model.predict([model.features(w) for w in tried])
-                for words, k, share in zip(tried, best.tolist(), p.tolist()):
+                best, p = model.predict([model.features(paragraphs[k]) for k in tried])
+                for at, k, share in zip(tried, best.tolist(), p.tolist()):
                     if CLASSES[k] == NONE:
                         continue
-                    family, like = template_match(words)
+                    family, like = template_match(paragraphs[at])
                     if CLASSES[k] != UNKNOWN and family == CLASSES[k] and like >= SIMILARITY:
                         families.add(family)
-                        licence += 1
+                        touched.add(at)
                         sure = max(sure or 0.0, share)
-                    else:
+                    elif at not in touched:
                         unknown += 1
+            licence = len(touched)
             out.append((sorted(families), len(paragraphs), licence, unknown, sure))
         columns = list(zip(*out)) or [()] * 5
         kinds = [pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.float64()]

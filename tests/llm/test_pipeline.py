@@ -48,7 +48,8 @@ def test_near_copies_leave_one(spark, docs):
 def test_sql(spark, name):
     if not os.path.isdir(DATA):
         pytest.skip("no tables")
-    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for table in ("documents", "conversations", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     result = duckdb.sql(SQL[name])
     found = QUERIES[name](spark, DATA)
     order = [result.columns.index(c) for c in found.columns]

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from voltfleet.session import working_dir
@@ -68,3 +69,8 @@ def small_batches(
         rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    """A schema text as Arrow's schema; to be made on the driver and handed to tasks."""
+    return to_arrow_schema(StructType.fromDDL(schema))

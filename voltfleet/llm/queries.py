@@ -8,7 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, languages, licences, lines, mixing, pii, simhash, templates, tokens, warc
+from . import (
+    conversations, exact, languages, licences, lines, mixing, passages, pii, ranking, simhash,
+    templates, tokens, warc,
+)
 from .common import table
 
 #: Folder of the public tokenizers' files.
@@ -123,10 +126,29 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations: faults, the cheapest repair, and what it leaves."""
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair_conversations(rows)
+
+
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 50 bytes which an earlier document has."""
+    found = passages.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    index = ranking.build_index(table(spark, sf_dir, "documents"))
+    return ranking.search(index, table(spark, sf_dir, "benchmark"), top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_exact_dedup, op3_simhash, op4_licences, op5_line_quality, op6_bpe,
-        op7_mixing, op8_pii, op9_language, op10_line_templates,
+        op7_mixing, op8_pii, op9_language, op10_line_templates, op11_conversations,
+        op12_passages, op13_ranking,
     )
 }

@@ -374,14 +374,29 @@ def _copies(rows: DataFrame) -> DataFrame:
 
 _PARTS = (
     "part int, strings binary, lengths binary, starts binary, rows binary, nameless binary, "
-    "tags binary, window binary, row long, is_nameless boolean, tag long, start long"
+    "tags binary"
 )
+_WINDOWS = "window binary, row long, is_nameless boolean, tag long, start long"
 
 
-def _windows(bits: int, parts: int):
+def _runs_of(doc: dict, bits: int) -> Iterator[tuple[_Runs, np.ndarray, np.ndarray]]:
+    """The runs of a text, piece by piece, with their keys and their places in the text."""
+    for _, offsets, texts in _pieces([zstandard.decompress(doc["packed"])]):
+        runs = _Runs(texts)
+        key = _key(bits, runs.key >> np.uint64(64 - bits), runs.key & _LOW)
+        yield runs, key, np.asarray(offsets, np.int64)[runs.text] + runs.offset
+
+
+def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+
+
+def _strings(bits: int, parts: int):
     """Texts with their candidates, to the strings which hold all windows of these.
 
-    A part gathers the strings of a key; the windows of a hot key are rows of their own.
+    A part gathers the strings of a key; the hot keys are left to :func:`_windows`.
     """
     schema = arrow_schema(_PARTS)
 
@@ -393,61 +408,74 @@ def _windows(bits: int, parts: int):
         for p, s, e in _slices(part[order]):
             some = order[s:e]
             mine = [strings[i] for i in some.tolist()]
-            out.append(
-                (p, zstandard.compress(b"".join(mine)))
-                + (zstandard.compress(np.array([len(m) for m in mine], np.int32).tobytes()),)
-                + tuple(zstandard.compress(c[some].tobytes()) for c in (start, row, nameless, tag))
-            )
-        arrays = [pa.array(c, t) for c, t in zip(zip(*out), schema.types)]
-        arrays += [pa.nulls(len(out), t) for t in schema.types[7:]]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-    def alone(windows: list[tuple]) -> pa.RecordBatch:
-        arrays = [pa.nulls(len(windows), t) for t in schema.types[:7]]
-        arrays += [pa.array(c, t) for c, t in zip(zip(*windows), schema.types[7:])]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+            columns = [np.array([len(m) for m in mine], np.int32)]
+            columns += [c[some] for c in (start, row, nameless, tag)]
+            packs = [zstandard.compress(c.tobytes()) for c in columns]
+            out.append((p, zstandard.compress(b"".join(mine)), *packs))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema
+        )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for doc in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
-                known = np.sort(np.asarray(doc["keys"], np.int64))
-                hot = np.sort(np.asarray(doc["hot"] or (), np.int64))
-                for _, offsets, texts in _pieces([zstandard.decompress(doc["packed"])]):
-                    runs = _Runs(texts)
-                    high = runs.key >> np.uint64(64 - bits)
-                    key = _key(bits, high, runs.key & _LOW)
-                    here = np.flatnonzero(np.isin(key, known))
-                    is_hot = np.isin(key[here], hot)
-                    offset = np.asarray(offsets)[runs.text] + runs.offset
-                    data = runs.data.tobytes()
-                    for run in here[is_hot].tolist():
-                        at = int(runs.start[run])
-                        yield alone([
-                            (data[at + k : at + k + LENGTH], doc["row"], doc["nameless"],
-                             doc["tag"], int(offset[run]) + k)
-                            for k in range(int(runs.windows[run]))
-                        ])
-                    run = here[~is_hot]
-                    starts, ends = runs.start[run], runs.start[run] + runs.windows[run] + LENGTH - 1
-                    held.append((
-                        [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())],
-                        (_mixed(key[run].view(np.uint64)) % np.uint64(parts)).astype(np.int64),
-                        offset[run].astype(np.int64),
-                        np.full(len(run), doc["row"], np.int64),
-                        np.full(len(run), doc["nameless"], np.int8),
-                        np.full(len(run), doc["tag"], np.int64),
-                    ))
-                    size += int((ends - starts).sum())
-                    if size >= _GATHER:
-                        yield packed(held)
-                        held, size = [], 0
-        if size:
+        for doc in _docs(batches):
+            wanted = np.setdiff1d(
+                np.asarray(doc["keys"], np.int64), np.asarray(doc["hot"], np.int64)
+            )
+            for runs, key, place in _runs_of(doc, bits):
+                run = np.flatnonzero(np.isin(key, wanted))
+                if not len(run):
+                    continue
+                data = runs.data.tobytes()
+                starts, ends = runs.start[run], runs.start[run] + runs.windows[run] + LENGTH - 1
+                held.append((
+                    [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())],
+                    (_mixed(key[run].view(np.uint64)) % np.uint64(parts)).astype(np.int64),
+                    place[run].astype(np.int64),
+                    np.full(len(run), doc["row"], np.int64),
+                    np.full(len(run), doc["nameless"], np.int8),
+                    np.full(len(run), doc["tag"], np.int64),
+                ))
+                size += int((ends - starts).sum())
+                if size >= _GATHER:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
             yield packed(held)
 
     return each
 
 
+def _windows(bits: int):
+    """Texts with hot candidates, to the windows of these, each a row."""
+    schema = arrow_schema(_WINDOWS)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc in _docs(batches):
+            hot = np.asarray(doc["hot"], np.int64)
+            for runs, key, place in _runs_of(doc, bits):
+                run = np.flatnonzero(np.isin(key, hot))
+                n = runs.windows[run]
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(runs.start[run], n) + step
+                found = np.lib.stride_tricks.sliding_window_view(runs.data, LENGTH)[at]
+                windows = pa.FixedSizeBinaryArray.from_buffers(
+                    pa.binary(LENGTH), len(at), [None, pa.py_buffer(found.tobytes())]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        windows.cast(pa.binary()),
+                        pa.array(np.full(len(at), doc["row"], np.int64)),
+                        pa.array(np.full(len(at), doc["nameless"], bool)),
+                        pa.array(np.full(len(at), doc["tag"], np.int64)),
+                        pa.array(np.repeat(place[run], n) + step),
+                    ],
+                    schema=schema,
+                )
+
+    return each
+
+
 _SPANS = "row long, nameless boolean, tag long, start long, end long"
 
 
@@ -600,15 +628,16 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
         found = family.add(batch, last=k == len(cuts))
         candidates = found if candidates is None else candidates.union(found)
     family.forget(docs.sparkSession)
-    candidates = candidates.distinct()
-    often = candidates.groupBy("key").count()
-    sums = often.agg(F.sum("count"), F.max("count")).first()
-    is_hot = F.lit(None).cast("long")
-    if (sums[1] or 0) > hot:
-        many = staged(often.where(F.col("count") > hot).select("key", F.col("key").alias("many")), "hot")
-        candidates, is_hot = candidates.join(many, "key", "left"), F.col("many")
+    # Levels may tell a holder again, so that counts are upper bounds; sets leave one of each.
+    often = candidates.groupBy("key").count().where(F.col("count") > hot)
+    many = staged(often.select("key", F.col("key").alias("many")), "hot")
+    has_hot = not many.isEmpty()
+    if has_hot:
+        candidates = candidates.join(many, "key", "left")
+    else:
+        candidates = candidates.withColumn("many", F.lit(None).cast("long"))
     known = candidates.groupBy("row", "nameless").agg(
-        F.collect_list("key").alias("keys"), F.collect_list(is_hot).alias("hot")
+        F.collect_set("key").alias("keys"), F.collect_set("many").alias("hot")
     )
     known = staged(known.join(_copies(rows), ["row", "nameless"], "full"), "known")
     # One exchange of the texts serves the search of windows and the removal.
@@ -617,21 +646,18 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     ).repartition("row", "nameless")
     copy = F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False))
     told = texts.join(known, ["row", "nameless"])
-    parts = max(1, min(1 << 20, (sums[0] or 0) // PART_STRINGS))
-    strings = (
-        told.where(F.col("keys").isNotNull() & ~copy)
-        .select("row", "nameless", "tag", "packed", "keys", "hot")
-        .mapInArrow(_windows(family.bits, parts), _PARTS)
+    parts = max(1, min(1 << 20, candidates.count() // PART_STRINGS))
+    searched = told.where(F.col("keys").isNotNull() & ~copy).select(
+        "row", "nameless", "tag", "packed", "keys", "hot"
     )
     spans = (
-        strings.where("part IS NOT NULL")
-        .select("part", "strings", "lengths", "starts", "rows", "nameless", "tags")
+        searched.mapInArrow(_strings(family.bits, parts), _PARTS)
         .repartition("part")
         .sortWithinPartitions("part")
         .mapInArrow(_repeated, _SPANS)
     )
-    if (sums[1] or 0) > hot:
-        alone = strings.where("part IS NULL").select("window", "row", "is_nameless", "tag", "start")
+    if has_hot:
+        alone = searched.where(F.size("hot") > 0).mapInArrow(_windows(family.bits), _WINDOWS)
         spans = spans.unionByName(_hot_spans(alone))
     found = spans.groupBy("row", "nameless").agg(
         F.collect_list(F.struct("tag", "start", "end")).alias("found")

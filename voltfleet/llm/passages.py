@@ -40,7 +40,7 @@ BATCHES, BUCKET_SUFFIXES, PART_STRINGS = 4, 500_000, 50_000
 #: Holders of a suffix from which its windows go by their text, so that they spread.
 HOT = 20_000
 #: Text handled at a time, and gathered before rows are made of it.
-_PIECE, _GATHER = 1 << 18, 1 << 24
+_PIECE, _GATHER, _PLACE_BITS = 1 << 17, 1 << 24, 20
 
 _LOW = np.uint64((1 << 48) - 1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -76,14 +76,17 @@ def prefix_hashes(data: np.ndarray, length: int = PREFIX) -> np.ndarray:
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the least of ``width`` values from each place on, the first of equals."""
-    at, size = np.arange(len(values), dtype=np.int32), 1
+    """The place of the least of ``width`` values from each place on, the first of near equals.
+
+    Values give way in their low bits to their place, so that minima carry it along.
+    """
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    least, size = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
     while size < width:
         step = min(size, width - size)
-        a, b = at[:-step], at[step:]
-        at = np.where(values[a] <= values[b], a, b)
+        least = np.minimum(least[:-step], least[step:])
         size += step
-    return at
+    return (least & low).astype(np.int32)
 
 
 class _Runs:
@@ -479,6 +482,15 @@ def _windows(bits: int):
 _SPANS = "row long, nameless boolean, tag long, start long, end long"
 
 
+def _groups(values: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
+    """Numbers of the runs of equal values, each within its group."""
+    new = np.zeros(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    if within is not None:
+        new[1:] |= within[1:] != within[:-1]
+    return np.cumsum(new)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts in order, to the spans whose windows an earlier document has."""
 
@@ -496,20 +508,29 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = (np.cumsum(lengths) - lengths)[string] + inside
         # The suffix array of the part: windows by their bytes, eight at a time.
         words = np.lib.stride_tricks.sliding_window_view(data, 8)
+
+        def word(at: int) -> np.ndarray:
+            """Eight bytes of each window, as a number in their order."""
+            found = np.ascontiguousarray(words[place[order] + at]).view(">u8").ravel()
+            return found.astype(np.uint64)
+
         order = np.arange(len(place))
-        group = np.zeros(len(place), np.int64)
-        for at in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        order = order[np.argsort(word(0))]
+        group = _groups(word(0))
+        for at in [*range(8, LENGTH - 7, 8), LENGTH - 8]:
+            alike = np.bincount(group, minlength=1)[group] > 1  # what is alone has no equal
+            order, group = order[alike], group[alike]
             if not len(order):
                 break
-            word = np.ascontiguousarray(words[place[order] + at]).view(">u8").ravel()
-            word = word.astype(np.uint64)
-            by = np.lexsort((word, group))
-            order, group, word = order[by], group[by], word[by]
-            new = np.zeros(len(order), bool)
-            new[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
-            group = np.cumsum(new)
-            alike = np.bincount(group) > 1  # what is alone has no equal
-            order, group = order[alike[group]], group[alike[group]]
+            now = word(at)
+            # Most groups stay whole; the others are sorted by these bytes.
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            sizes = np.diff(np.append(first, len(group)))
+            split = np.logical_or.reduceat(now != np.repeat(now[first], sizes), first)
+            mixed = np.flatnonzero(np.repeat(split, sizes))
+            by = mixed[np.lexsort((now[mixed], group[mixed]))]
+            order[mixed], now[mixed] = order[by], now[by]
+            group = _groups(now, group)
         # Documents by id, those without one behind all others and not before each other.
         ids = np.unique(row[~nameless])
         rank = np.where(nameless, len(ids), np.searchsorted(ids, row))

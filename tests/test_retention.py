@@ -4,7 +4,7 @@ import pytest
 
 from voltfleet.operators.retention import delete_period, delete_to_snapshot, survivors
 from voltfleet.plans import hourly
-from voltfleet.sources.tables import append_readings, read_logs
+from voltfleet.sources.tables import append_readings, read_logs, readings_table
 
 ROWS = [
     {"t": "2026-01-23T09:00:00"},
@@ -37,20 +37,28 @@ def test_delete(spark, readings, tmp_path, period, key, left):
     assert {r["seq"] for r in survivors(df, period, key).collect()} == left
 
 
-def test_an_emptied_date_is_gone(spark, readings, tmp_path):
+def dates_of(spark, path):
+    return {p.date for p in readings_table(spark, path).version().pieces}
+
+
+def test_an_emptied_date_is_gone_at_the_next_merge(spark, readings, tmp_path):
     path = str(tmp_path / "t")
     append_readings(readings(ROWS), path)
     delete_period(spark, path, "hour", "2026-01-24 09")
-    assert not os.path.exists(f"{path}/log_date=2026-01-24")
-    assert os.path.exists(f"{path}/log_date=2026-01-23")
+    assert "2026-01-24" in dates_of(spark, path)
+    readings_table(spark, path).compact()
+    assert dates_of(spark, path) == {None, "2026-01-23", "2026-02-01"}
+    assert {r["seq"] for r in read_logs(spark, path).collect()} == {0, 1, 2, 4, 5, 6}
 
 
 def test_other_dates_are_not_rewritten(spark, readings, tmp_path):
     path = str(tmp_path / "t")
     append_readings(readings(ROWS), path)
-    before = sorted(os.listdir(f"{path}/log_date=2026-02-01"))
+    before = set(readings_table(spark, path).version().pieces)
     delete_period(spark, path, "hour", "2026-01-23 09")
-    assert sorted(os.listdir(f"{path}/log_date=2026-02-01")) == before
+    readings_table(spark, path).compact()
+    gone = before - set(readings_table(spark, path).version().pieces)
+    assert {p.date for p in gone} == {"2026-01-23"}
 
 
 def test_snapshot(spark, readings, tmp_path):
@@ -61,12 +69,23 @@ def test_snapshot(spark, readings, tmp_path):
     assert {r["seq"] for r in read_logs(spark, snapshot).collect()} == {3, 4, 5, 6}
 
 
-def test_a_stream_table_is_refused(spark, readings, tmp_path):
+def test_a_folder_with_the_file_list_of_a_stream_is_refused(spark, readings, tmp_path):
     path = str(tmp_path / "t")
-    append_readings(readings(ROWS), path)
-    os.mkdir(f"{path}/_spark_metadata")
+    os.makedirs(f"{path}/_spark_metadata")
     with pytest.raises(ValueError, match="stream"):
         delete_period(spark, path, "day", "2026-01-23")
+    with pytest.raises(ValueError, match="stream"):
+        append_readings(readings(ROWS), path)
+
+
+def test_a_plain_folder_is_read_but_not_appended_to(spark, readings, tmp_path):
+    path = str(tmp_path / "t")
+    readings(ROWS).write.partitionBy("log_date").parquet(path)
+    assert read_logs(spark, path).count() == len(ROWS)
+    with pytest.raises(ValueError, match="plain"):
+        append_readings(readings(ROWS), path)
+    assert delete_period(spark, path, "day", "2026-01-23") == 3
+    assert read_logs(spark, path).count() == len(ROWS) - 3
 
 
 def test_unknown_period(spark, tmp_path):

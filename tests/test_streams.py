@@ -10,6 +10,7 @@ from voltfleet.plans import hourly
 from voltfleet.schema import MEASURES
 from voltfleet.sources.documents import read_state
 from voltfleet.sources.tables import read_logs
+from voltfleet.sources.manifest import Table
 from voltfleet.streaming import folders, ingest, latest, outage_log, windows
 
 FILES = 5
@@ -129,7 +130,7 @@ def test_latest(spark, events, tmp_path):
         return latest.write_latest(read_state(raw), path, checkpoint, ONCE)
 
     path = in_two_runs(events, tmp_path, start)
-    assert folders.batches(spark, path) == list(range(FILES))
+    assert latest.latest_table(spark, path).version().number == FILES
     want = batch_latest.latest_reading(read_state(events), ["device_id"])
     assert rows_of(latest.read_latest(spark, path)) == rows_of(want)
 
@@ -140,7 +141,8 @@ def test_latest_writes_changed_devices_only(spark, events, tmp_path):
         events.where(part).coalesce(1).write.mode("append").parquet(landing)
         rows = read_state(follow(events, landing))
         latest.write_latest(rows, path, checkpoint, ONCE).awaitTermination()
-    assert spark.read.parquet(folders.batch_folder(path, 1)).count() == 1
+    second = latest.latest_table(spark, path).version().pieces[1]
+    assert spark.read.parquet(f"{path}/data/{second.folder}").count() == 1
     assert latest.read_latest(spark, path).count() == 3
 
 
@@ -195,19 +197,77 @@ def test_a_late_success_splits_a_run(spark, polls, tmp_path):
         assert got.where("kind = 'alert'").count() == alerts
 
 
-def test_merged_parts_read_the_same(spark, events, tmp_path):
+def test_merged_pieces_read_the_same(spark, events, tmp_path):
     landing, path, checkpoint = (str(tmp_path / name) for name in ("in", "o", "c"))
     land(events, landing, range(FILES))
-    folders.write_parts(
-        follow(events, landing), path, checkpoint, "device_id bigint, n bigint",
-        lambda rows: rows.groupBy("device_id").agg(F.count("*").alias("n")),
-        lambda parts: parts.groupBy("device_id").agg(F.sum("n").alias("n")),
-        ONCE, merge_every=2,
+
+    def merge(rows):
+        return rows.groupBy("device_id").agg(F.sum("n").alias("n"))
+
+    def opened(session):
+        return Table(session, path, "device_id bigint, n bigint", merge, fan_out=2)
+
+    folders.write_table(
+        follow(events, landing), opened, checkpoint,
+        lambda rows: rows.groupBy("device_id").agg(F.count("*").alias("n")), ONCE,
     ).awaitTermination()
-    assert folders.batches(spark, path) == [FILES - 1]
-    parts = folders.read_parts(spark, path, "device_id bigint, n bigint")
-    got = parts.groupBy("device_id").agg(F.sum("n"))
-    assert rows_of(got) == rows_of(events.groupBy("device_id").agg(F.count("*")))
+    # Five batches, merged in pairs: one piece of four and one of the last.
+    assert sorted(p.tier for p in opened(spark).version().pieces) == [0, 2]
+    assert rows_of(merge(opened(spark).read())) == rows_of(
+        events.groupBy("device_id").agg(F.count("*"))
+    )
+
+
+def test_a_batch_reads_the_days_of_its_devices_only(spark, events, tmp_path, monkeypatch):
+    path, read = str(tmp_path / "o"), []
+    outage_log.keep_polls(events, path, "w", 0)
+    touched = outage_log.touched_polls
+
+    def watched(polls, new):
+        found = touched(polls, new)
+        read.extend(found.select("device_id", "log_date").distinct().collect())
+        return found
+
+    monkeypatch.setattr(outage_log, "touched_polls", watched)
+    late = events.where("device_id = 3 AND date(ts) = '2024-01-02'").limit(1).withColumn("ok", ~F.col("ok"))
+    late = late.withColumn("seq", F.lit(10_000).cast("long"))
+    outage_log.keep_polls(late, path, "w", 1)
+    outage_log.keep_polls(late, path, "w", 1)
+    assert [(r[0], str(r[1])) for r in read] == [(3, "2024-01-02")]
+    every = events.unionByName(late)
+    got = outage_log.read_outage_events(spark, path)
+    assert rows_of(got) == rows_of(outage_events(every))
+    runs = failure_runs(every).select("device_id", "start", "end", "n")
+    assert rows_of(outage_log.read_outages(spark, path).drop("is_open")) == rows_of(runs)
+    dated = late.withColumn("log_date", F.to_date("ts"))
+    plan = touched(outage_log.read_polls(spark, path), dated)._jdf.queryExecution().toString()
+    assert "log_date" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+
+
+def test_a_run_goes_on_over_since(spark, polls, tmp_path):
+    """Two failures before midnight, one after, then a success: nothing of it is lost."""
+    path, midnight = str(tmp_path / "o"), 1_700_006_400 - 1_700_000_000
+    rows = [(1, midnight - 600, False), (1, midnight - 300, False), (1, midnight, False), (1, midnight + 300, True)]
+    outage_log.keep_polls(polls(rows), path, "w", 0)
+    whole = outage_log.read_outage_events(spark, path)
+    late = outage_log.read_outage_events(spark, path, since="2023-11-15")
+    assert rows_of(late) == rows_of(whole) and late.count() == 2
+    assert outage_log.read_outages(spark, path, since="2023-11-15").first()["n"] == 3
+    assert outage_log.read_outages(spark, path, since="2023-11-16").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_days_in_any_order_and_merged_give_the_events_in_order(spark, polls, tmp_path, seed):
+    rng, path = random.Random(seed), str(tmp_path / "o")
+    marks = [(rng.choice([1, 2]), rng.randrange(6) * 40_000 + k, rng.random() < 0.3) for k in range(120)]
+    every = polls(marks)
+    for batch in range(4):
+        part = every.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == batch)
+        outage_log.keep_polls(part, path, "w", batch, fan_out=2)
+    rows = [tuple(r) for r in every.select("device_id", "ts", "seq", "ok").collect()]
+    assert rows_of(outage_log.read_outage_events(spark, path)) == events_by_hand(rows)
+    higher = outage_log.read_outage_events(spark, path, threshold=5)
+    assert rows_of(higher) == events_by_hand(rows, 5)
 
 
 def test_readers_before_the_first_batch(spark, tmp_path):

@@ -18,7 +18,7 @@ from voltfleet.schema import OUTAGE_THRESHOLD
 _BEFORE_ALL = -(2**31)  # the slice of runs which are carried in
 
 
-def _numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The polls by day (``slice``), with the number of successes so far in the day
     (``stretch``) and in the whole day (``last_stretch``).
 
@@ -37,11 +37,10 @@ def _numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn("last_stretch", F.sum(success).over(in_slice))
 
 
-def _stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The failures of each stretch: their number, and the first and last of them."""
     failed_at = F.when(~F.col("ok"), F.col("ts"))
-    numbered = _numbered(attempts, keys)
-    return numbered.groupBy(*keys, "slice", "stretch", "last_stretch").agg(
+    return numbered(attempts, keys).groupBy(*keys, "slice", "stretch", "last_stretch").agg(
         F.count(failed_at).alias("n"),
         F.min(failed_at).alias("start"),
         F.max(failed_at).alias("end"),
@@ -60,13 +59,25 @@ def runs_after(
     run which each key is in at the end, however short; its length is 0 when the last
     poll was a success. ``open_runs`` has keys, ``start``, ``end`` and ``n``.
     """
-    stretches = _stretches(attempts, keys)
+    return runs_of_stretches(stretches(attempts, keys), open_runs, threshold, keys)
+
+
+def runs_of_stretches(
+    parts: DataFrame,
+    open_runs: DataFrame | None = None,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """The runs of :func:`runs_after` from :func:`stretches`.
+
+    Of the inner stretches of a day, those shorter than ``threshold`` may be left out.
+    """
     # A stretch with a success on either side is complete and keeps a place of its
     # own. The first and last of each slice share the place NULL, where a stretch
     # which holds a success opens a new run and stretch 0 carries on the one before.
     inner = (F.col("stretch") > 0) & (F.col("stretch") < F.col("last_stretch"))
     placed = (
-        stretches.where(~inner | (F.col("n") >= threshold))
+        parts.where(~inner | (F.col("n") >= threshold))
         .withColumn("place", F.when(inner, F.struct("slice", "stretch")))
         .drop("last_stretch")
     )
@@ -111,12 +122,12 @@ def failure_runs(
     )
 
 
-def _carried(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per day the failures in a row just before it: ``carried`` and ``carried_start``.
+def carried(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per day the failures in a row just before it, from the stretches of all days.
 
     A day's last stretch goes on into the next days up to one with a success.
     """
-    ends = _stretches(attempts, keys).where(F.col("stretch") == F.col("last_stretch"))
+    ends = parts.where(F.col("stretch") == F.col("last_stretch"))
     days = Window.partitionBy(*keys).orderBy("slice")
     broken = F.sum((F.col("last_stretch") > 0).cast("long")).over(days)
     in_row = Window.partitionBy(*keys, "broken").orderBy("slice")
@@ -152,7 +163,9 @@ def polls_that_tell(
     Every failure from the threshold on is an alert, and the first success after one a
     recovery; both tell the start, end and length of the run up to then.
     """
-    polls = _numbered(attempts, keys).join(_carried(attempts, keys), [*keys, "slice"])
+    polls = numbered(attempts, keys).join(
+        carried(stretches(attempts, keys), keys), [*keys, "slice"]
+    )
     in_stretch = Window.partitionBy(*keys, "slice", "stretch").orderBy("ts", "seq")
     failed_at = F.when(~F.col("ok"), F.col("ts"))
     goes_on = (F.col("stretch") == 0) & (F.col("carried") > 0)
@@ -188,3 +201,94 @@ def polls_that_tell(
         F.when(alert, F.col("ts")).otherwise(F.col("was_end")).alias("end"),
         F.when(alert, F.col("run_n")).otherwise(F.col("was_n")).alias("n"),
     )
+
+
+#: What :func:`day_states` keeps of a day besides its key.
+STATE = (
+    "kind string, stretch bigint, last_stretch bigint, ts timestamp_ntz, seq bigint, "
+    "start timestamp_ntz, end timestamp_ntz, n bigint"
+)
+
+
+def day_states(
+    attempts: DataFrame,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """What has to be kept of each day to tell its outages without its polls.
+
+    Rows of kind ``stretch`` are those that :func:`runs_of_stretches` needs. ``alert`` and
+    ``recovery`` are events which the day settles alone. ``head`` are the failures before the
+    first success and ``first`` is that success: whether they tell depends on the
+    failures carried into the day. One sort by day makes all of them.
+    """
+    in_day = Window.partitionBy(*keys, "slice").orderBy("ts", "seq")
+    in_stretch = Window.partitionBy(*keys, "slice", "stretch").orderBy("ts", "seq")
+    failed_at = F.when(~F.col("ok"), F.col("ts"))
+    polls = numbered(attempts, keys).withColumns(
+        {"run_n": F.count(failed_at).over(in_stretch), "run_start": F.min(failed_at).over(in_stretch)}
+    )
+    polls = polls.withColumns(
+        {
+            "was_n": F.coalesce(F.lag("run_n").over(in_day), F.lit(0)),
+            "was_start": F.lag("run_start").over(in_day),
+            "was_end": F.lag(failed_at).over(in_day),
+            "run_end": F.max(failed_at).over(in_stretch),
+            "is_last": ~F.col("stretch").eqNullSafe(F.lead("stretch").over(in_day)),
+        }
+    )
+    ok, stretch, is_long = F.col("ok"), F.col("stretch"), F.col("run_n") >= threshold
+    ends = (stretch == 0) | (stretch == F.col("last_stretch"))
+    event = (
+        F.when(~ok & (stretch == 0), "head")
+        .when(~ok & is_long, "alert")
+        .when(ok & (stretch == 1), "first")
+        .when(ok & (F.col("was_n") >= threshold), "recovery")
+    )
+
+    def told(kind, prefix: str):
+        columns = [F.col(f"{prefix}_{name}").alias(name) for name in ("start", "end", "n")]
+        return F.struct(kind.alias("kind"), *columns)
+
+    found = F.array(
+        F.when(F.col("is_last") & (ends | is_long), told(F.lit("stretch"), "run")),
+        F.when(event.isin("head", "alert"), told(event, "run")),
+        F.when(event.isin("first", "recovery"), told(event, "was")),
+    )
+    each = polls.select(
+        *keys, "slice", "stretch", "last_stretch", "ts", "seq",
+        F.explode(F.array_compact(found)).alias("e"),
+    )
+    return each.select(
+        *keys, "slice", "e.kind", "stretch", "last_stretch", "ts", "seq",
+        "e.start", "e.end", "e.n",
+    )
+
+
+def events_of_states(
+    states: DataFrame,
+    parts: DataFrame,
+    threshold: int = OUTAGE_THRESHOLD,
+    keys: Sequence[str] = ("device_id",),
+) -> DataFrame:
+    """The events in ``states``, some days of :func:`day_states`.
+
+    ``parts`` are the stretches of all days, which carry runs over to the next ones;
+    ``threshold`` is not less than the one of the states.
+    """
+    open_ = states.where(F.col("kind").isin("head", "first")).join(
+        carried(parts, keys), [*keys, "slice"], "left"
+    )
+    before = F.coalesce(F.col("carried"), F.lit(0))
+    whole = open_.withColumns(
+        {
+            "n": F.col("n") + before,
+            "start": F.when(before > 0, F.col("carried_start")).otherwise(F.col("start")),
+            "end": F.coalesce("end", "carried_end"),
+            "kind": F.when(F.col("kind") == "head", "alert").otherwise("recovery"),
+        }
+    )
+    shown = [*keys, "kind", "ts", "start", "end", "n"]
+    settled = states.where(F.col("kind").isin("alert", "recovery"))
+    both = settled.select(*shown).unionByName(whole.select(*shown))
+    return both.where(F.col("n") >= threshold)

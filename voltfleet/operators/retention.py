@@ -17,6 +17,8 @@ from voltfleet.operators.periods import (
     on_dates,
 )
 from voltfleet.schema import READINGS
+from voltfleet.sources import files
+from voltfleet.sources.manifest import Table, is_table
 from voltfleet.sources.tables import by_date, refuse_stream_table
 
 
@@ -48,7 +50,10 @@ def delete_to_snapshot(
     The old table is left alone, so a lost driver costs nothing. Use it for a table
     written by a stream, whose file list must not change behind its back.
     """
-    table = spark.read.schema(schema).parquet(path)
+    if is_table(spark, path):
+        table = Table(spark, path, schema).read()
+    else:
+        table = spark.read.schema(schema).parquet(path)
     removed = table.where(between(*_span(period, key))).count()
     (
         by_date(survivors(table, period, key))
@@ -62,14 +67,21 @@ def delete_to_snapshot(
 def delete_period(
     spark: SparkSession, path: str, period: str, key: str, schema: StructType = READINGS
 ) -> int:
-    """Remove the readings of a period from the table in place; the number removed.
+    """Remove the readings of a period from the table; the number removed.
+
+    Only the dates of the period are read: one, or those of a month. On a table with a
+    manifest, which a stream may be writing, this counts the rows and puts a marker that
+    readers apply and the next merge folds in; a lost driver leaves either all or nothing of
+    it, and readings appended meanwhile stay.
 
-    Only the dates of the period are read: one, or those of a month. A date which
+    A plain folder, such as the hourly table, is changed in place: a date which
     keeps some rows is rewritten, a date which keeps none is dropped, since a dynamic
-    overwrite without rows would leave it as it was. A table written by a stream is
-    refused; use :func:`delete_to_snapshot`. With its own ``schema`` the
+    overwrite without rows would leave it as it was. A folder with the file list of a
+    stream is refused; use :func:`delete_to_snapshot`. With its own ``schema`` the
     hourly table takes the same call.
     """
+    if is_table(spark, path):
+        return Table(spark, path, schema, layout=by_date).remove(*_span(period, key))
     refuse_stream_table(spark, path)
     if period == "hour":
         dates, doomed = day_span(key[:10]), _doomed(period, key)
@@ -93,10 +105,8 @@ def delete_period(
             .partitionBy("log_date")
             .parquet(path)
         )
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
     for row in hit:
         if not row["kept"]:
-            fs.delete(hadoop_path(f"{path}/log_date={row['log_date']}"), True)
+            files.delete(spark, f"{path}/log_date={row['log_date']}")
     spark.catalog.refreshByPath(path)
     return sum(row["removed"] for row in hit)

@@ -1,12 +1,9 @@
-"""Tables which a stream writes as one folder per micro-batch.
+"""Tables which a stream writes batch by batch.
 
-A micro-batch writes its part to a folder of its own, ``part=batch-N``, and one which is run again
-after a failure overwrites it, so a restart neither loses nor doubles a row. Parts are
-such that they can be put together in any order: whatever comes late, in whichever batch,
-counts like any other row once the table is read.
-
-Now and then all parts up to a batch are merged into one folder, ``part=upto-N``; readers take
-the newest of these and the batches after it.
+Each micro-batch is appended to a table with a manifest under its own number, so one which is
+run again after a failure neither loses nor doubles a row. Rows are such that pieces can be put
+together in any order: whatever comes late, in whichever batch, counts like any other row.
+Pieces are merged in tiers as they add up.
 """
 
 from __future__ import annotations
@@ -16,82 +13,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-_BATCH, _MERGED = "part=batch-", "part=upto-"
-MERGE_EVERY = 50  # batches
-Step = Callable[[DataFrame], DataFrame]
-
-
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path
-    return hadoop_path, hadoop_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def batch_folder(path: str, batch: int) -> str:
-    return f"{path}/{_BATCH}{batch}"
-
-
-def _complete(spark: SparkSession, path: str, name: str) -> list[int]:
-    """Numbers of the folders which are completely written, by one listing."""
-    hadoop_path, fs = _file_system(spark, path)
-    found = fs.globStatus(hadoop_path(f"{path}/{name}*/_SUCCESS")) or []
-    return sorted(int(s.getPath().getParent().getName().removeprefix(name)) for s in found)
-
-
-def batches(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches which are written and not yet merged, in order."""
-    merged = _complete(spark, path, _MERGED)
-    return [n for n in _complete(spark, path, _BATCH) if not merged or n > merged[-1]]
-
-
-def read_parts(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All parts; no rows before the first batch."""
-    merged = _complete(spark, path, _MERGED)[-1:]
-    folders = [f"{path}/{_MERGED}{n}" for n in merged]
-    folders += [batch_folder(path, n) for n in batches(spark, path)]
-    if not folders:
-        return spark.createDataFrame([], schema)
-    parts = spark.read.option("basePath", path).schema(schema).parquet(*folders)
-    return parts.drop("part")
-
-
-def merge_parts(
-    spark: SparkSession, path: str, schema: str, merge: Step, *partitions: str
-) -> None:
-    """Put all parts so far into one, and drop them and what was merged before.
+from voltfleet.sources.manifest import Step, Table
 
-    The merged folder counts from its ``_SUCCESS`` on, so a merge which fails halfway
-    changes nothing. A reader which began earlier may lose its files; it can read again.
-    """
-    done = batches(spark, path)
-    if not done:
-        return
-    whole = merge(read_parts(spark, path, schema)).write.mode("overwrite")
-    whole.partitionBy(*partitions).parquet(f"{path}/{_MERGED}{done[-1]}")
-    hadoop_path, fs = _file_system(spark, path)
-    for name, last in ((_BATCH, done[-1]), (_MERGED, done[-1] - 1)):
-        for old in _complete(spark, path, name):
-            if old <= last:
-                fs.delete(hadoop_path(f"{path}/{name}{old}"), True)
+Opened = Callable[[SparkSession], Table]
 
 
-def write_parts(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    schema: str,
-    part: Step,
-    merge: Step,
-    trigger: dict,
-    *partitions: str,
-    merge_every: int = MERGE_EVERY,
+def write_table(
+    stream: DataFrame, opened: Opened, checkpoint: str, part: Step, trigger: dict
 ) -> StreamingQuery:
-    """Write ``part`` of each micro-batch; ``merge`` the parts every so many batches."""
+    """Append ``part`` of each micro-batch to the table; the checkpoint names the writer."""
 
     def save(rows: DataFrame, batch: int) -> None:
-        made = part(rows).write.mode("overwrite").partitionBy(*partitions)
-        made.parquet(batch_folder(path, batch))
-        if (batch + 1) % merge_every == 0:
-            merge_parts(rows.sparkSession, path, schema, merge, *partitions)
+        opened(rows.sparkSession).append(part(rows), checkpoint, batch)
 
     return (
         stream.writeStream.option("checkpointLocation", checkpoint)

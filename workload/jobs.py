@@ -573,13 +573,13 @@ def hourly_stats(spark, d):
 _ONCE = {"availableNow": True}
 
 
-_FILES = 4
+_PARTS = 4
 
 
 def _followed(spark, d, label, start):
-    """Run a stream over ``events`` in four files, each with events of the whole month.
+    """Run a stream over ``events`` in four parts, each with events of the whole month.
 
-    Files are read one per micro-batch, so polls and readings come out of order. The
+    A part is one micro-batch, so polls and readings come out of order. The
     stream is stopped after two of them and started again from its checkpoint. ``start``
     takes the stream, the folder to write and the checkpoint; gives the folder.
     """
@@ -587,27 +587,59 @@ def _followed(spark, d, label, start):
     landing, path, checkpoint = (
         working_dir(spark, f"{label}{part}") for part in ("-landing", "", "-checkpoint")
     )
-    for files in ((0, 1), (2, 3)):
-        for k in files:
-            part = events.where(F.col("event_id") % _FILES == k)
-            part.coalesce(1).write.mode("append").parquet(landing)
-        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
-        start(source.parquet(landing), path, checkpoint).awaitTermination()
+    in_part = F.pmod(F.coalesce("event_id", F.lit(0)), F.lit(_PARTS))
+    for parts in ((0, 1), (2, 3)):
+        for k in parts:
+            events.where(in_part == k).write.parquet(f"{landing}/part={k}")
+        files = len(spark.read.parquet(f"{landing}/part={parts[0]}").inputFiles())
+        source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files)
+        source = source.option("recursiveFileLookup", "true").parquet(landing)
+        start(source, path, checkpoint).awaitTermination()
     return path
 
 
-@job
-def stream_ingest(spark, d):
+def _ingested(spark, d, label):
     def start(events, path, checkpoint):
         return ingest.stream_ingest(v.state_raw_of(events), path, checkpoint, _ONCE)
 
-    path = _followed(spark, d, "ingest", start)
+    return _followed(spark, d, label, start)
+
+
+def _kept(spark, path):
     return _shown(tables.read_logs(spark, path).select("device_id", "seq", *MEASURES, "log_date"))
 
 
+@job
+def stream_ingest(spark, d):
+    return _kept(spark, _ingested(spark, d, "ingest"))
+
+
+@job
+def stream_compact(spark, d):
+    # The stream's table, read after its dates are one piece each.
+    path = _ingested(spark, d, "compact")
+    tables.readings_table(spark, path).compact()
+    return _kept(spark, path)
+
+
+@job
+def stream_delete_day(spark, d):
+    # A day and an hour removed from the stream's table, and a part of it appended again.
+    path = _ingested(spark, d, "removal")
+    retention.delete_period(spark, path, "day", v.DAY)
+    retention.delete_period(spark, path, "hour", v.NEXT_HOUR)
+    again = documents.read_state(v.state_raw(spark, d)).where(F.col("log_date") == v.DAY)
+    again = again.where(F.col("seq") % 2 == 0)
+    for _ in range(2):
+        tables.append_readings(again, path, "again", 0)
+    return _kept(spark, path)
+
+
 def _hours_followed(spark, d, label):
     def start(events, path, checkpoint):
-        return windows.write_hours(v.readings_of(events), path, checkpoint, _ONCE)
+        readings = v.readings_of(events)
+        # Pieces are merged in pairs, so that four batches reach the second tier.
+        return windows.write_hours(readings, path, checkpoint, _ONCE, fan_out=2)
 
     return windows.read_hours(spark, _followed(spark, d, label, start))
 

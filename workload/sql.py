@@ -526,6 +526,16 @@ SQL: dict[str, str] = {
     "stream_ingest": _on(
         STATES, f"SELECT device_id, seq, {SHOWN_MEASURES}, log_date FROM states"
     ),
+    "stream_compact": _on(
+        STATES, f"SELECT device_id, seq, {SHOWN_MEASURES}, log_date FROM states"
+    ),
+    "stream_delete_day": _on(
+        STATES,
+        f"""SELECT device_id, seq, {SHOWN_MEASURES}, log_date FROM states
+        WHERE CASE WHEN log_date = DATE '2024-01-15' THEN seq % 2 = 0
+                   ELSE NOT (ts >= TIMESTAMP '2024-01-16 09:00:00' AND ts < TIMESTAMP '2024-01-16 10:00:00')
+              END""",
+    ),
     "stream_rollup_hour": _on(
         READINGS,
         f"""SELECT {HOURLY_SHOWN} FROM (

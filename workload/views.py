@@ -15,6 +15,7 @@ AS_OF = "2024-01-30 12:00:00"
 AS_OF_MONTHS = "2001-08-31 10:00:00"
 DAY = "2024-01-15"
 HOUR = "2024-01-15 09"
+NEXT_HOUR = "2024-01-16 09"
 WEEK = "2024-W03"
 MONTH = "2024-01"
 MONTHS = "2000-12,2001-01,2001-02"

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from voltfleet.session import working_dir
 
-from .common import arrow_schema, raw_texts, staged
+from .common import arrow_schema, raw_texts, small_batches, staged
 
 #: Bytes of a repeated string (contract), and of what suffixes are chosen and sorted by.
 LENGTH, PREFIX = 50, 20
@@ -40,7 +40,7 @@ BATCHES, BUCKET_SUFFIXES, PART_STRINGS = 4, 500_000, 50_000
 #: Holders of a suffix from which its windows go by their text, so that they spread.
 HOT = 20_000
 #: Text handled at a time, and gathered before rows are made of it.
-_PIECE, _GATHER, _PLACE_BITS = 1 << 17, 1 << 24, 20
+_PIECE, _GATHER, _PLACE_BITS = 1 << 17, 1 << 22, 20
 
 _LOW = np.uint64((1 << 48) - 1)
 _FACTOR = 0x9E3779B97F4A7C15
@@ -170,7 +170,7 @@ def _suffixes(bits: int):
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = batch.column("row").to_numpy()
             flags = batch.column("nameless").to_numpy(zero_copy_only=False).astype(np.int8)
             for numbers, _, texts in _pieces(t or b"" for t in raw_texts(batch.column("text"))):
@@ -614,7 +614,7 @@ def _without(schema: pa.Schema):
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         packed = pa.array([zstandard.compress(t) for t in batch.column("text").to_pylist()], pa.binary())
         names = ["row", "nameless", "tag", "doc_id"]
         yield pa.RecordBatch.from_arrays(

@@ -160,8 +160,9 @@ def _suffixes(bits: int):
         bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         key, row, nameless, bucket = key[order], row[order], nameless[order], bucket[order]
+        # Rows come in the order of the input: what lies between them packs well.
         out = [
-            (b, _pack(key[s:e] & _LOW), row[s:e].tobytes(), nameless[s:e].tobytes())
+            (b, _pack(key[s:e] & _LOW), *_squeezed_rows(row[s:e], nameless[s:e]))
             for b, s, e in _slices(bucket)
         ]
         return pa.RecordBatch.from_arrays(
@@ -193,6 +194,17 @@ def _suffixes(bits: int):
     return each
 
 
+def _squeezed_rows(row: np.ndarray, nameless: np.ndarray) -> tuple[bytes, bytes]:
+    steps = np.diff(row, prepend=np.int64(0))
+    return zstandard.compress(steps.tobytes()), zstandard.compress(nameless.tobytes())
+
+
+def _plain_entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps = np.frombuffer(zstandard.decompress(row["rows"]), np.int64)
+    nameless = np.frombuffer(zstandard.decompress(row["nameless"]), np.int8)
+    return _unpack(row["keys"]), np.cumsum(steps), nameless
+
+
 def _entries(row: dict, side: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if row[f"{side}keys"] is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int8)
@@ -211,11 +223,14 @@ def _entry(keys: np.ndarray, rows: np.ndarray, nameless: np.ndarray, side: str =
     }
 
 
-def _sorted_arrays(schema: pa.Schema):
-    """Rows of buckets in order, to a sorted array of each and the candidates within it."""
+def _sorted_arrays(schema: pa.Schema, hot: int):
+    """Rows of buckets in order, to a sorted array of each and the candidates within it.
+
+    ``hot_keys`` are those of more than ``hot`` holders.
+    """
 
     def folded(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-        key, row, nameless = (np.concatenate(c) for c in zip(*map(_entries, rows)))
+        key, row, nameless = (np.concatenate(c) for c in zip(*map(_plain_entries, rows)))
         order = np.lexsort((nameless, row, key))
         key, row, nameless = key[order], row[order], nameless[order]
         first = np.ones(len(key), bool)
@@ -225,7 +240,8 @@ def _sorted_arrays(schema: pa.Schema):
         group = np.cumsum(first) - 1
         several = np.bincount(group, other & ~first) > 0
         shared = several[group] & (first | other)
-        found = {"bucket": bucket} | _entry(key[first], row[first], nameless[first])
+        often = np.flatnonzero(np.bincount(group, first | other) > hot)
+        found = {"bucket": bucket, "hot_keys": _pack(key[first][often])} | _entry(key[first], row[first], nameless[first])
         found |= _entry(key[shared], row[shared], nameless[shared], "shared_")
         return pa.RecordBatch.from_pylist([found], schema)
 
@@ -310,6 +326,17 @@ class Family:
         packed = candidates.select("bucket", *names)
         return packed.mapInArrow(_one_by_one(rows, arrow_schema(_CANDIDATES)), _CANDIDATES)
 
+    def _hot(self, new: DataFrame) -> DataFrame:
+        bits = self.bits
+
+        def rows(row: dict) -> list:
+            key = _unpack(row["hot_keys"])
+            number = _key(bits, np.full(len(key), row["bucket"]), key)
+            return [number, [None] * len(key), [None] * len(key)]
+
+        each = _one_by_one(rows, arrow_schema(_CANDIDATES))
+        return new.select("bucket", "hot_keys").mapInArrow(each, _CANDIDATES)
+
     def _joined(self, new: DataFrame, old: DataFrame, how: str) -> DataFrame:
         renamed = old.select("bucket", *[F.col(c).alias(f"old_{c}") for c in ("keys", "rows", "nameless")])
         return new.select("bucket", "keys", "rows", "nameless").join(renamed, "bucket", how)
@@ -330,16 +357,18 @@ class Family:
         both = self._joined(new, old, "inner")
         return both.mapInArrow(_one_by_one(common, arrow_schema(_CANDIDATES)), _CANDIDATES)
 
-    def add(self, batch: DataFrame, last: bool = False) -> DataFrame:
+    def add(self, batch: DataFrame, last: bool = False, hot: int = HOT) -> DataFrame:
         """Take a batch in; its suffixes that other documents have too, with all holders.
 
-        After the ``last`` batch the levels stay as they are.
+        A row without a holder names a suffix that more than ``hot`` texts of the batch
+        share. After the ``last`` batch the levels stay as they are.
         """
-        pair = f"{_ARRAY}, shared_keys binary, shared_rows binary, shared_nameless binary"
+        pair = f"{_ARRAY}, shared_keys binary, shared_rows binary, shared_nameless binary, hot_keys binary"
         found = batch.mapInArrow(_suffixes(self.bits), _ARRAY)
         dealt = found.repartition(1 << self.bits, "bucket").sortWithinPartitions("bucket")
-        new = self._table(dealt.mapInArrow(_sorted_arrays(arrow_schema(pair)), pair), "array")
+        new = self._table(dealt.mapInArrow(_sorted_arrays(arrow_schema(pair), hot), pair), "array")
         out = self._told(new.where(F.octet_length("shared_keys") > 0), "shared_")
+        out = out.union(self._hot(new.where(F.octet_length("hot_keys") > 0)))
         for old in self.levels.values():
             out = out.union(self.scan(new, old))
         out = staged(out, "candidates")
@@ -375,6 +404,12 @@ def _copies(rows: DataFrame) -> DataFrame:
     return found.groupBy("row", "nameless").agg(F.collect_set("tag").alias("copies"))
 
 
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of one number but several texts, which their tags tell apart."""
+    spread = rows.groupBy("row", "nameless").agg(F.min("tag").alias("a"), F.max("tag").alias("b"))
+    return spread.where("a <> b").select("row", "nameless", F.lit(True).alias("several"))
+
+
 _PARTS = (
     "part int, strings binary, lengths binary, starts binary, rows binary, nameless binary, "
     "tags binary"
@@ -646,13 +681,13 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     candidates = None
     for k, (low, high) in enumerate(zip([None, *cuts], [*cuts, None])):
         batch = _between(rows, low, high).select("row", "nameless", "text")
-        found = family.add(batch, last=k == len(cuts))
+        found = family.add(batch, k == len(cuts), max(1, hot // batches))
         candidates = found if candidates is None else candidates.union(found)
     family.forget(docs.sparkSession)
-    # Levels may tell a holder again, so that counts are upper bounds; sets leave one of each.
-    often = candidates.groupBy("key").count().where(F.col("count") > hot)
-    many = staged(often.select("key", F.col("key").alias("many")), "hot")
+    hot_keys = candidates.where("row IS NULL").select("key").distinct()
+    many = staged(hot_keys.select("key", F.col("key").alias("many")), "hot")
     has_hot = not many.isEmpty()
+    candidates = candidates.where("row IS NOT NULL")
     if has_hot:
         candidates = candidates.join(many, "key", "left")
     else:
@@ -660,7 +695,8 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     known = candidates.groupBy("row", "nameless").agg(
         F.collect_set("key").alias("keys"), F.collect_set("many").alias("hot")
     )
-    known = staged(known.join(_copies(rows), ["row", "nameless"], "full"), "known")
+    known = known.join(_copies(rows), ["row", "nameless"], "full")
+    known = staged(known.join(_several(rows), ["row", "nameless"], "left"), "known")
     # One exchange of the texts serves the search of windows and the removal.
     texts = rows.mapInArrow(
         _squeezed, "row long, nameless boolean, tag long, doc_id long, packed binary"
@@ -668,8 +704,9 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     copy = F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False))
     told = texts.join(known, ["row", "nameless"])
     parts = max(1, min(1 << 20, candidates.count() // PART_STRINGS))
+    one_of = F.when(F.col("several"), F.col("tag")).otherwise(0)
     searched = told.where(F.col("keys").isNotNull() & ~copy).select(
-        "row", "nameless", "tag", "packed", "keys", "hot"
+        "row", "nameless", one_of.alias("tag"), "packed", "keys", "hot"
     )
     spans = (
         searched.mapInArrow(_strings(family.bits, parts), _PARTS)
@@ -683,10 +720,11 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     found = spans.groupBy("row", "nameless").agg(
         F.collect_list(F.struct("tag", "start", "end")).alias("found")
     )
-    flagged = found.join(known.select("row", "nameless", "copies"), ["row", "nameless"], "full")
+    noted = known.select("row", "nameless", "copies", "several")
+    flagged = found.join(noted, ["row", "nameless"], "full")
     return (
         texts.join(flagged, ["row", "nameless"], "left")
-        .select("doc_id", "packed", "tag", "found", copy.alias("copy"))
+        .select("doc_id", "packed", one_of.alias("tag"), "found", copy.alias("copy"))
         .mapInArrow(_without(arrow_schema(_CLEANED)), _CLEANED)
     )
 

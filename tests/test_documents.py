@@ -78,6 +78,21 @@ def test_the_last_of_a_field_given_twice_counts(spark):
     assert row["wattsOut"] == 2.0 and row["whOut"] == 5.0 and row["wattsIn"] == 0.0
 
 
+def test_brackets_that_close_the_list_do_not_hide_a_second_document(spark):
+    texts = [
+        '{"wattsOut":1}],[{"wattsOut":2}', '{"a":NaN}],[{"wattsOut":2}', '{"a":1,"a":2}],[{}',
+        '{"a":"end of the document"}', '{"a":"]"}', '{"a":[{"b":"}],[{"}]}',
+    ]
+    df = raw(spark, texts)
+    assert [r["seq"] for r in documents.read_state(df).orderBy("seq").collect()] == [4, 5]
+    assert [r["seq"] for r in documents.corrupt_states(df).orderBy("seq").collect()] == [0, 1, 2, 3]
+
+
+def test_a_payload_is_parsed_once(spark):
+    plan = documents.read_state(raw(spark, ["{}"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
 def test_poll_rules(spark):
     df = spark.createDataFrame(
         [(200, "bad"), (503, "{}"), (200, "{}"), (None, None)], "status_code int, payload string"

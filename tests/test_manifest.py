@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
+from voltfleet.operators import device_index
+from voltfleet.operators.latest import latest_reading
 from voltfleet.operators.retention import delete_period
 from voltfleet.sources import files
-from voltfleet.sources.manifest import Piece, Removal, Table, Version, due
+from voltfleet.sources.manifest import Piece, Removal, Table, Version, due, folders
 from voltfleet.sources.tables import append_readings, read_logs, readings_table
 
 
@@ -195,3 +197,45 @@ def test_times_in_a_removal(spark, readings, path):
     table = readings_table(spark, path)
     assert table.remove(datetime(2026, 1, 1, 10, 1), datetime(2026, 1, 1, 11, 1)) == 3
     assert table.read().count() == 3
+
+
+def test_a_whole_write_is_listed_as_one_folder():
+    pieces = [Piece(f"w/log_date={d}", d, 0, 1, 2) for d in ("2026-01-01", "2026-01-02")]
+    single = Piece("v/log_date=2026-01-01", "2026-01-01", 0, 2, 3)
+    assert folders([*pieces, single]) == ["w", "v/log_date=2026-01-01"]
+    assert folders([Piece("u", "", 0, 1)]) == ["u"]
+
+
+def test_newest_reading_of_each_device_reads_its_dates_only(spark, readings, path, monkeypatch):
+    def on(device, *days):
+        return [{"device_id": device, "t": f"2026-01-{d:02d}T10:00:00", "wattsOut": d} for d in days]
+
+    append_readings(readings(on(1, 1, 2, 9) + on(2, 1, 3) + on(3, 2) + on(None, 4) + [{"t": None}]), path)
+    append_readings(readings(on(1, 8) + on(2, 2)), path)
+    asked = []
+    read = Table.read
+
+    def watched(self, version=None, dates=None):
+        if dates is not None:
+            asked.append({p.date for p in version.pieces if p.date and dates(p.date)})
+        return read(self, version, dates)
+
+    monkeypatch.setattr(Table, "read", watched)
+
+    def check():
+        got = rows_of(device_index.latest_by_device(spark, path))
+        every = read_logs(spark, path).where("log_date IS NOT NULL")
+        assert got == rows_of(latest_reading(every, ["device_id"]))
+        return asked[-1]
+
+    assert check() == {"2026-01-09", "2026-01-03", "2026-01-02", "2026-01-04"}
+    # A removal sends a device back to an older date, a later reading forward.
+    delete_period(spark, path, "hour", "2026-01-09 10")
+    delete_period(spark, path, "day", "2026-01-03")
+    assert check() == {"2026-01-08", "2026-01-02", "2026-01-04"}
+    append_readings(readings(on(3, 12)), path)
+    assert check() == {"2026-01-08", "2026-01-02", "2026-01-04", "2026-01-12"}
+    readings_table(spark, path).compact()
+    assert check() == {"2026-01-08", "2026-01-02", "2026-01-04", "2026-01-12"}
+    before = device_index.index_table(spark, path).version().number
+    assert check() and device_index.index_table(spark, path).version().number == before

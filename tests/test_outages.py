@@ -1,10 +1,12 @@
 import random
 from datetime import datetime
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from tests.conftest import rows_of
+from voltfleet.operators import outages
 from voltfleet.operators.outages import failure_runs, runs_after
 
 
@@ -104,3 +106,21 @@ def test_polls_without_a_time_are_left_out(polls):
 
 def test_empty(polls):
     assert rows_of(failure_runs(polls([(1, 0, True)]).where("seq < 0"))) == []
+
+
+@pytest.mark.parametrize("seconds", [60, 3600, 43_200])
+def test_shorter_slices_give_the_same_runs(polls, seconds):
+    rng = random.Random(seconds)
+    marks = [(rng.choice([1, 2]), rng.randrange(200_000), rng.random() < 0.4) for _ in range(400)]
+    df = polls(marks)
+    assert rows_of(outages.failure_runs(df, seconds=seconds)) == rows_of(outages.failure_runs(df))
+
+
+def test_a_slice_must_divide_the_day(polls):
+    with pytest.raises(ValueError):
+        outages.failure_runs(polls([(1, 1, True)]), seconds=7000)
+
+
+def test_the_day_of_one_device_is_spread(spark, polls):
+    df = outages.numbered(polls([(1, s * 60, False) for s in range(1000)]), ["device_id"], 3600)
+    assert df.select("slice").distinct().count() == 17

@@ -6,7 +6,9 @@ from contextlib import redirect_stdout
 import pytest
 
 from voltfleet.operators import keylists, latest, outages, periods, rollups
+from voltfleet.plans import hourly
 from voltfleet.sources.tables import append_readings, read_logs
+from voltfleet.streaming import windows
 
 LIBRARY = pathlib.Path(__file__).parent.parent / "voltfleet"
 
@@ -103,3 +105,23 @@ def test_no_plan_crosses_tables(table):
         text = path.read_text()
         for banned in ("crossJoin", "toPandas", "localCheckpoint", ".rdd"):
             assert banned not in text, path
+
+
+def test_a_label_order_by_keys_can_be_cut_within_a_label(table):
+    rolled = rollups.rollup(table, "month", "2024-01", keys=["device_id"])
+    plan = plan_of(rollups.label_order(rolled, keys=["device_id"]))
+    assert re.search(r"rangepartitioning\(periode#\d+ ASC NULLS FIRST, device_id#\d+L? ASC", plan)
+
+
+def test_an_exact_view_of_hours_starts_on_the_hour(table):
+    hours = hourly.hourly_table(table)
+    exact = hourly.rollup_from_hourly(hours, "day", as_of="2024-01-28 11:00:00", mode="exact")
+    want = rollups.rollup(table, "day", as_of="2024-01-28 11:00:00", mode="exact")
+    assert sorted(map(tuple, exact.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    with pytest.raises(ValueError, match="full hour"):
+        hourly.summary_from_hourly(hours, "day", as_of="2024-01-28 11:30:00", mode="exact")
+
+
+def test_sliding_hours_are_not_copied(table):
+    plan = plan_of(windows.stats_of_hours(hourly.hourly_table(table)))
+    assert "RangeFrame, -24" in plan and "24 AS k" not in plan

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltfleet.schema import OUTAGE_THRESHOLD
@@ -18,8 +18,21 @@ from voltfleet.schema import OUTAGE_THRESHOLD
 _BEFORE_ALL = -(2**31)  # the slice of runs which are carried in
 
 
-def numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The polls by day (``slice``), with the number of successes so far in the day
+DAY = 86_400  # seconds
+
+
+def _slice(seconds: int) -> Column:
+    """The number of a time's slice, in order of time; slices lie within days."""
+    if seconds == DAY:
+        return F.unix_date(F.to_date("ts"))
+    if DAY % seconds:
+        raise ValueError("a day must hold a whole number of slices")
+    of_day = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
+    return (F.unix_date(F.to_date("ts")) * (DAY // seconds) + F.floor(of_day / seconds)).cast("int")
+
+
+def numbered(attempts: DataFrame, keys: Sequence[str], seconds: int = DAY) -> DataFrame:
+    """The polls by slices of so many seconds, days by default, with the number of successes so far in the day
     (``stretch``) and in the whole day (``last_stretch``).
 
     Stretch k holds the k-th success of the slice and the failures after it; stretch 0
@@ -28,7 +41,7 @@ def numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     sliced = (
         attempts.where(F.col("ts").isNotNull())
         .select(*keys, "ts", "seq", "ok")
-        .withColumn("slice", F.unix_date(F.to_date("ts")))
+        .withColumn("slice", _slice(seconds))
     )
     in_slice = Window.partitionBy(*keys, "slice")
     success = F.col("ok").cast("long")
@@ -37,10 +50,10 @@ def numbered(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).withColumn("last_stretch", F.sum(success).over(in_slice))
 
 
-def stretches(attempts: DataFrame, keys: Sequence[str]) -> DataFrame:
+def stretches(attempts: DataFrame, keys: Sequence[str], seconds: int = DAY) -> DataFrame:
     """The failures of each stretch: their number, and the first and last of them."""
     failed_at = F.when(~F.col("ok"), F.col("ts"))
-    return numbered(attempts, keys).groupBy(*keys, "slice", "stretch", "last_stretch").agg(
+    return numbered(attempts, keys, seconds).groupBy(*keys, "slice", "stretch", "last_stretch").agg(
         F.count(failed_at).alias("n"),
         F.min(failed_at).alias("start"),
         F.max(failed_at).alias("end"),
@@ -52,6 +65,7 @@ def runs_after(
     open_runs: DataFrame | None = None,
     threshold: int = OUTAGE_THRESHOLD,
     keys: Sequence[str] = ("device_id",),
+    seconds: int = DAY,
 ) -> DataFrame:
     """Runs in ``attempts`` which follow the runs in ``open_runs``.
 
@@ -59,7 +73,7 @@ def runs_after(
     run which each key is in at the end, however short; its length is 0 when the last
     poll was a success. ``open_runs`` has keys, ``start``, ``end`` and ``n``.
     """
-    return runs_of_stretches(stretches(attempts, keys), open_runs, threshold, keys)
+    return runs_of_stretches(stretches(attempts, keys, seconds), open_runs, threshold, keys)
 
 
 def runs_of_stretches(
@@ -104,6 +118,7 @@ def failure_runs(
     threshold: int = OUTAGE_THRESHOLD,
     keys: Sequence[str] = ("device_id",),
     resets: DataFrame | None = None,
+    seconds: int = DAY,
 ) -> DataFrame:
     """Runs of at least ``threshold`` failed polls in a row: keys, ``start``, ``end``, ``n``.
 
@@ -111,12 +126,16 @@ def failure_runs(
     Needs ``ts``, ``seq`` (breaks ties) and ``ok``. A poll without a time has no place
     in the order and is left out. ``resets`` (keys, ``ts``, ``seq``) are times at which
     the connection was set up anew, which ends a run as a success does.
+
+    The polls of a key and slice of ``seconds`` are summed up by one task to the run which
+    goes on from before, the one which goes on after, and those in between; slices are then
+    joined up in order. Shorter slices spread the day of a device with very many polls.
     """
     if resets is not None:
         anew = resets.select(*keys, "ts", "seq", F.lit(True).alias("ok"))
         attempts = attempts.select(*keys, "ts", "seq", "ok").unionByName(anew)
     return (
-        runs_after(attempts, None, threshold, keys)
+        runs_after(attempts, None, threshold, keys, seconds)
         .where(F.col("n") >= threshold)
         .select(*keys, "start", "end", "n", (F.col("n") - (threshold - 1)).alias("alerts"))
     )

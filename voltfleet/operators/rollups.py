@@ -89,16 +89,19 @@ def rollup(
     return bucket_averages(rows, grain_of(period, date), keys)
 
 
-def label_order(rolled: DataFrame, chronological: bool = False) -> DataFrame:
+def label_order(
+    rolled: DataFrame, chronological: bool = False, keys: Sequence[str] = ()
+) -> DataFrame:
     """Sort buckets by their text, so that months go ``01/2026`` before ``12/2025``.
 
     ``chronological`` sorts months by year first; the other labels sort by time as text.
+    Equal labels go by ``keys``, so that the sort can also be cut within a label.
     """
     label = F.col("periode")
     if chronological:
         year_first = F.concat(F.substring(label, 4, 4), F.substring(label, 1, 2))
         label = F.when(label.rlike(r"^\d{2}/\d{4}$"), year_first).otherwise(label)
-    return rolled.orderBy(label)
+    return rolled.orderBy(label, *keys)
 
 
 def _extremes() -> list[Column]:

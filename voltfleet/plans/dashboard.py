@@ -41,25 +41,27 @@ def dashboard(
     keys: Sequence[str] = (),
     hourly: DataFrame | None = None,
     current: DataFrame | None = None,
+    mode: str = "calendar",
 ) -> dict[str, str | DataFrame]:
     """The title of a view and its parts, each a lazy DataFrame.
 
     Given the hourly table, the table, the summary and the key lists are read from it;
     given ``current``, a table of newest readings such as a stream keeps, the latest
     reading is. Only the series then touches the readings. The parts share no cached
-    frame: each scans only the partitions and columns it needs.
+    frame: each scans only the partitions and columns it needs. ``mode`` tells where a
+    trailing view starts; an exact start must be a full hour to be read from hours.
     """
     dated = df if hourly is None else hourly
     if hourly is None:
-        table = rollup(df, period, date, as_of, keys)
-        totals = summary(df, period, date, as_of, keys)
+        table = rollup(df, period, date, as_of, keys, mode)
+        totals = summary(df, period, date, as_of, keys, mode)
     else:
-        table = rollup_from_hourly(hourly, period, date, as_of, keys)
-        totals = summary_from_hourly(hourly, period, date, as_of, keys)
-    series = chart_series(ordered_series(df, period, date, as_of), period)
+        table = rollup_from_hourly(hourly, period, date, as_of, keys, mode)
+        totals = summary_from_hourly(hourly, period, date, as_of, keys, mode)
+    series = chart_series(ordered_series(df, period, date, as_of, mode), period)
     return {
         "title": view_title(period, date),
-        "table": label_order(table),
+        "table": label_order(table, keys=keys),
         "summary": totals,
         "series": series.select(*keys, "label", "chart_watts_out", "chart_temp", "chart_watts_in"),
         "latest": latest_reading(df if current is None else current, keys),

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltfleet.operators.periods import Moment, lookback, select_period
+from voltfleet.operators.periods import Moment, as_moment, lookback, select_period
 from voltfleet.operators.rollups import (
     EXTREMES,
     bucket_columns,
@@ -107,16 +107,28 @@ def _buckets(hourly: DataFrame, grain: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _hours_of(
+    hourly: DataFrame, period: str, date: str | None, as_of: Moment | None, mode: str
+) -> DataFrame:
+    """The hours of a view. An exact start within an hour would need its readings."""
+    if mode == "exact" and not date and as_of is not None:
+        moment = as_moment(as_of)
+        if (moment.minute, moment.second, moment.microsecond) != (0, 0, 0):
+            raise ValueError("an exact view of the hourly table starts on a full hour")
+    return select_period(hourly, period, date, as_of, mode)
+
+
 def rollup_from_hourly(
     hourly: DataFrame,
     period: str,
     date: str | None = None,
     as_of: Moment | None = None,
     keys: Sequence[str] = (),
+    mode: str = "calendar",
 ) -> DataFrame:
     """The table of a view, from the hourly table."""
     grain = grain_of(period, date)
-    rows = _buckets(select_period(hourly, period, date, as_of), grain, keys)
+    rows = _buckets(_hours_of(hourly, period, date, as_of, mode), grain, keys)
     return rows.select(
         *keys, bucket_label(grain).alias("periode"), "avg_watts_out", "avg_temp", "avg_watts_in"
     )
@@ -134,9 +146,10 @@ def summary_from_hourly(
     date: str | None = None,
     as_of: Moment | None = None,
     keys: Sequence[str] = (),
+    mode: str = "calendar",
 ) -> DataFrame:
     """The summary of a view, from the hourly table."""
-    rows = select_period(hourly, period, date, as_of)
+    rows = _hours_of(hourly, period, date, as_of, mode)
     return summary_of_buckets(_buckets(rows, grain_of(period, date), keys), keys)
 
 

@@ -1,8 +1,10 @@
 """Device-state documents: JSON text in, typed columns out.
 
-A payload is read twice in one projection: as a struct with the known fields as texts,
-where the last of a field given twice counts, and as a list of maps, which tells whether
-it is exactly one document and which fields it has, absent ones from explicit nulls.
+A payload is parsed once, as a variant, which keeps absent fields apart from explicit nulls.
+It is parsed as the first element of a list with a mark behind it: a payload that holds
+more than one document pushes the mark away from its place. The few which the variant
+parser refuses but which count as documents, such as ones with NaN or with a field given
+twice, are read in a second, slower way.
 """
 
 from __future__ import annotations
@@ -15,31 +17,61 @@ from pyspark.sql import functions as F
 from voltfleet.schema import CHARGE_PROFILE, MEASURES, PORTS
 
 _FIELDS = "_fields"
+_MARK = "end of the document"
 
+_NAMES = (*MEASURES, *PORTS, "chargeProfile")
+_KNOWN = ", ".join(f"{name} string" for name in _NAMES)
 
-_KNOWN = ", ".join(f"{name} string" for name in (*MEASURES, *PORTS, "chargeProfile"))
 
+def _variant(payload: Column) -> Column:
+    """The payload and the mark as a variant; NULL where that is no JSON."""
+    marked = F.concat(F.lit("["), payload, F.lit(f',"{_MARK}"]'))
+    return F.try_parse_json(F.when(~F.contains(payload, F.lit(_MARK)), marked))
 
-def state_keys(payload: Column) -> Column:
-    """The names of a document's fields; NULL where the payload is not one JSON object."""
+
+def _is_one(variant: Column, payload: Column) -> Column:
+    """Whether the mark stands right behind one value, which begins as an object."""
+    mark = F.try_variant_get(variant, "$[1]", "string")
+    is_object = F.ltrim(payload, F.lit(" \t\n\r")).startswith("{")
+    return F.coalesce((mark == _MARK) & is_object, F.lit(False))
+
+
+def _read_slowly(payload: Column) -> Column:
+    """Texts and names of the known fields by the lenient parser; NULL for no document."""
     is_object = payload.rlike(r"(?s)^\s*\{.*\}\s*$")
-    whole = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<map<string,string>>")
-    one = F.filter(F.array(whole), lambda found: F.size(found) == 1)
-    return F.when(is_object, F.map_keys(F.get(F.get(one, F.lit(0)), F.lit(0))))
+    marked = F.concat(F.lit("["), payload, F.lit(f',{{"{_MARK}":1}}]'))
+    both = F.from_json(marked, "array<map<string,string>>")
+    first, last = (F.map_keys(F.get(both, F.lit(k))) for k in (0, 1))
+    one = is_object & (F.size(both) == 2) & F.array_contains(last, _MARK)
+    found = F.struct(F.from_json(payload, _KNOWN).alias("texts"), first.alias("names"))
+    return F.when(one & ~F.contains(payload, F.lit(_MARK)), found)
+
+
+def state_keys(payload: Column) -> Column:
+    """True where the payload is one JSON object, else NULL."""
+    variant = _variant(payload)
+    slow = F.when(variant.isNull(), _read_slowly(payload).isNotNull())
+    return F.when(F.coalesce(slow, _is_one(variant, payload)), True)
 
 
 def parsed_states(raw: DataFrame, json_col: str = "payload") -> DataFrame:
     """The rows with a readable payload, and its fields: their texts and names.
 
-    Exploding a list without what is no document drops the corrupt rows and keeps the
-    parsed fields in one step; a filter would be pushed down and parse each payload again.
+    Exploding one variant keeps it as a column: a plain projection would be folded into
+    what reads it, and each field would parse the payload again.
     """
-    payload = F.col(json_col)
+    payload, variant = F.col(json_col), F.col("_v")
+    once = raw.select("*", F.explode(F.array(_variant(payload))).alias("_v"))
+    slow = F.explode(F.array(F.when(variant.isNull(), _read_slowly(payload))))
+    kept = once.where(variant.isNull() | _is_one(variant, payload)).select("*", slow.alias("_slow"))
+    quick = F.try_variant_get(variant, "$[0]", f"struct<{_KNOWN}>")
     fields = F.struct(
-        F.from_json(payload, _KNOWN).alias("texts"), state_keys(payload).alias("names")
+        F.coalesce(quick, "_slow.texts").alias("texts"),
+        variant.alias("document"),
+        F.col("_slow.names").alias("names"),
     )
-    parsed = F.filter(F.array(fields), lambda found: found["names"].isNotNull())
-    return raw.select("*", F.explode(parsed).alias(_FIELDS))
+    readable = variant.isNotNull() | F.col("_slow").isNotNull()
+    return kept.where(readable).select(*raw.columns, fields.alias(_FIELDS))
 
 
 def _number(text: Column) -> Column:
@@ -54,11 +86,14 @@ def fields_or_zero(df: DataFrame, names: Iterable[str], fields: str = _FIELDS) -
     The texts are taken in a projection of their own.
     """
     texts = df.withColumns({n: F.col(f"{fields}.texts.{n}") for n in names})
+
+    def absent(name: str) -> Column:
+        given = F.try_variant_get(f"{fields}.document", f"$[0].{name}", "variant").isNotNull()
+        return ~F.coalesce(F.array_contains(F.col(f"{fields}.names"), name), given)
+
     return texts.withColumns(
         {
-            n: F.when(F.col(n).isNotNull(), _number(F.col(n))).when(
-                ~F.array_contains(F.col(f"{fields}.names"), n), 0.0
-            )
+            n: F.when(F.col(n).isNotNull(), _number(F.col(n))).when(absent(n), 0.0)
             for n in names
         }
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltfleet.functions import display, timekeys
-from voltfleet.operators import config_log, keylists, latest, outages, periods, retention, rollups
+from voltfleet.operators import config_log, device_index, keylists, latest, outages, periods, retention, rollups
 from voltfleet.plans import hourly as hours
 from voltfleet.plans.dashboard import dashboard as plan_dashboard
 from voltfleet.schema import MEASURES
@@ -411,6 +411,13 @@ def label_order(spark, d):
     return _shown(rollups.label_order(rolled))
 
 
+@job
+def failure_runs_by_hour(spark, d):
+    # The same runs from slices of an hour.
+    runs = outages.failure_runs(_polls(spark, d), seconds=3600)
+    return _shown(runs)
+
+
 @job
 def active_config(spark, d):
     return config_log.active_config(v.config_changes(spark, d), v.readings(spark, d))
@@ -622,6 +629,13 @@ def stream_compact(spark, d):
     return _kept(spark, path)
 
 
+@job
+def stream_latest_device(spark, d):
+    # The newest reading of each device by the index of the stream's table.
+    path = _ingested(spark, d, "devices")
+    return _shown(device_index.latest_by_device(spark, path))
+
+
 @job
 def stream_delete_day(spark, d):
     # A day and an hour removed from the stream's table, and a part of it appended again.

@@ -129,13 +129,13 @@ def _summary(source: str, name: str, label: str, where: str, key: str = "") -> s
     return _on(source, f"SELECT {key}{parts} FROM ({inner}) {group}")
 
 
-def _latest(per_device: bool) -> str:
+def _latest(per_device: bool, source: str | None = None, name: str = "readings") -> str:
     part, key = ("PARTITION BY device_id", "device_id, ") if per_device else ("", "")
     shown = LATEST.format(ts=TS.format("ts"), left=_time_left('"timeToEmptyFull"'))
     return _on(
-        READINGS,
+        source or READINGS,
         f"SELECT {key}{shown} FROM (SELECT *, row_number() OVER ({part} ORDER BY ts DESC, "
-        f"seq DESC) AS rn FROM readings) WHERE rn = 1",
+        f"seq DESC) AS rn FROM {name}) WHERE rn = 1",
     )
 
 
@@ -447,6 +447,7 @@ SQL: dict[str, str] = {
         READINGS, f"SELECT device_id, {STATS} FROM readings WHERE {LAST_DAY} GROUP BY device_id"
     ),
     "failure_runs": FAILURE_RUNS,
+    "failure_runs_by_hour": FAILURE_RUNS,
     "available_dates": f"SELECT DISTINCT {DAY_LABEL} AS date FROM events",
     "available_weeks": _on(
         MONTHLY,
@@ -529,6 +530,7 @@ SQL: dict[str, str] = {
     "stream_compact": _on(
         STATES, f"SELECT device_id, seq, {SHOWN_MEASURES}, log_date FROM states"
     ),
+    "stream_latest_device": _latest(True, STATES, "states"),
     "stream_delete_day": _on(
         STATES,
         f"""SELECT device_id, seq, {SHOWN_MEASURES}, log_date FROM states

@@ -42,7 +42,7 @@ HOT = 20_000
 #: Text handled at a time, and gathered before rows are made of it.
 _PIECE, _GATHER, _PLACE_BITS = 1 << 17, 1 << 22, 20
 
-_LOW = np.uint64((1 << 48) - 1)
+_LOW = np.uint64((1 << 32) - 1)
 _FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -128,18 +128,20 @@ def _pieces(texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[int], list
 
 
 def _key(bits: int, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The number of a suffix: its bucket and the low bits of its hash."""
+    """The number of a suffix: its bucket and the low bits of its hash.
+
+    With the buckets that a table gets, two suffixes in some ten thousand share a number by
+    chance at 100 TB, fewer below; they are looked at in vain, as bytes decide.
+    """
     return ((high.astype(np.uint64) << np.uint64(64 - bits)) | low).view(np.int64)
 
 
 def _pack(low: np.ndarray) -> bytes:
-    return np.ascontiguousarray(low.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return low.astype("<u4").tobytes()
 
 
 def _unpack(packed: bytes) -> np.ndarray:
-    wide = np.zeros((len(packed) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+    return np.frombuffer(packed, "<u4").astype(np.uint64)
 
 
 def _slices(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -371,7 +373,6 @@ class Family:
         out = out.union(self._hot(new.where(F.octet_length("hot_keys") > 0)))
         for old in self.levels.values():
             out = out.union(self.scan(new, old))
-        out = staged(out, "candidates")
         size = 1
         while not last and size in self.levels:
             both = self._joined(new, self.levels.pop(size), "full")
@@ -683,7 +684,6 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
         batch = _between(rows, low, high).select("row", "nameless", "text")
         found = family.add(batch, k == len(cuts), max(1, hot // batches))
         candidates = found if candidates is None else candidates.union(found)
-    family.forget(docs.sparkSession)
     hot_keys = candidates.where("row IS NULL").select("key").distinct()
     many = staged(hot_keys.select("key", F.col("key").alias("many")), "hot")
     has_hot = not many.isEmpty()
@@ -697,13 +697,15 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     )
     known = known.join(_copies(rows), ["row", "nameless"], "full")
     known = staged(known.join(_several(rows), ["row", "nameless"], "left"), "known")
+    family.forget(docs.sparkSession)
     # One exchange of the texts serves the search of windows and the removal.
     texts = rows.mapInArrow(
         _squeezed, "row long, nameless boolean, tag long, doc_id long, packed binary"
     ).repartition("row", "nameless")
     copy = F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False))
     told = texts.join(known, ["row", "nameless"])
-    parts = max(1, min(1 << 20, candidates.count() // PART_STRINGS))
+    # A part has at most four times the strings aimed at, if all suffixes are candidates.
+    parts = max(1, min(1 << 24, suffixes // (4 * PART_STRINGS)))
     one_of = F.when(F.col("several"), F.col("tag")).otherwise(0)
     searched = told.where(F.col("keys").isNotNull() & ~copy).select(
         "row", "nameless", one_of.alias("tag"), "packed", "keys", "hot"

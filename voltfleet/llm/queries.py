@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +14,12 @@ from . import (
 )
 from .common import table
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 WORD_BPE = "word_bpe_49k.json"
 
 
-def word_bpe() -> str:
-    with open(os.path.join(TOKENIZERS, WORD_BPE), encoding="utf-8") as file:
+def word_bpe(path: str | None = None) -> str:
+    """The text of a tokenizer's file; the public word BPE by default."""
+    with open(path or public_tokenizers.path(WORD_BPE), encoding="utf-8") as file:
         return file.read()
 
 

@@ -20,7 +20,7 @@ from voltfleet.sources.manifest import FAN_OUT, Table
 from voltfleet.sources.tables import by_date
 
 _POLLS = "device_id bigint, ts timestamp_ntz, seq bigint, ok boolean, log_date date"
-_DAYS = f"device_id bigint, made bigint, {STATE}, log_date date"
+_DAYS = f"device_id bigint, day date, made bigint, {STATE}"
 
 
 def polls_table(spark: SparkSession, path: str, fan_out: int = FAN_OUT) -> Table:
@@ -29,13 +29,13 @@ def polls_table(spark: SparkSession, path: str, fan_out: int = FAN_OUT) -> Table
 
 
 def days_table(spark: SparkSession, path: str, fan_out: int = FAN_OUT) -> Table:
-    """The states of days; merged pieces keep the newest one of each."""
-    return Table(spark, f"{path}/days", _DAYS, _newest, by_date, fan_out)
+    """The states of days, a few rows each, not cut by date; merges keep the newest of each."""
+    return Table(spark, f"{path}/days", _DAYS, _newest, fan_out=fan_out)
 
 
 def _newest(states: DataFrame) -> DataFrame:
     """Of each device and day the rows which were made last."""
-    of_day = Window.partitionBy("device_id", "log_date")
+    of_day = Window.partitionBy("device_id", "day")
     latest = states.withColumn("latest", F.max("made").over(of_day))
     return latest.where("made = latest").drop("latest")
 
@@ -88,7 +88,7 @@ def keep_polls(
         states = day_states(touched_polls(polls.read(version), new), threshold)
         made = states.select(
             "*", F.lit(version.number).cast("long").alias("made"),
-            F.date_from_unix_date("slice").alias("log_date"),
+            F.date_from_unix_date("slice").alias("day"),
         )
         days.append(made, writer, batch)
     finally:
@@ -116,7 +116,7 @@ def read_polls(spark: SparkSession, path: str, since: str | None = None) -> Data
 
 def _states(spark: SparkSession, path: str) -> DataFrame:
     states = _newest(days_table(spark, path).read())
-    return states.withColumn("slice", F.unix_date("log_date"))
+    return states.withColumn("slice", F.unix_date("day"))
 
 
 def _parts(states: DataFrame) -> DataFrame:
@@ -148,5 +148,5 @@ def read_outage_events(
     states = _states(spark, path)
     shown = states.where("kind <> 'stretch'")
     if since is not None:
-        shown = shown.where(F.col("log_date") >= F.lit(since).cast("date"))
+        shown = shown.where(F.col("day") >= F.lit(since).cast("date"))
     return events_of_states(shown, _parts(states), threshold)

@@ -695,20 +695,22 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     known = candidates.groupBy("row", "nameless").agg(
         F.collect_set("key").alias("keys"), F.collect_set("many").alias("hot")
     )
-    known = known.join(_copies(rows), ["row", "nameless"], "full")
-    known = staged(known.join(_several(rows), ["row", "nameless"], "left"), "known")
+    # Written, being small; the candidates are dealt out by row once, as the texts are.
+    noted = _copies(rows).join(_several(rows), ["row", "nameless"], "full")
+    noted = staged(noted, "copies")
     family.forget(docs.sparkSession)
     # One exchange of the texts serves the search of windows and the removal.
     texts = rows.mapInArrow(
         _squeezed, "row long, nameless boolean, tag long, doc_id long, packed binary"
     ).repartition("row", "nameless")
     copy = F.coalesce(F.array_contains("copies", F.col("tag")), F.lit(False))
-    told = texts.join(known, ["row", "nameless"])
+    told = texts.join(known, ["row", "nameless"]).join(noted, ["row", "nameless"], "left")
     # A part has at most four times the strings aimed at, if all suffixes are candidates.
     parts = max(1, min(1 << 24, suffixes // (4 * PART_STRINGS)))
     one_of = F.when(F.col("several"), F.col("tag")).otherwise(0)
-    searched = told.where(F.col("keys").isNotNull() & ~copy).select(
-        "row", "nameless", one_of.alias("tag"), "packed", "keys", "hot"
+    # With all columns of the texts, or their exchange could not be used again.
+    searched = told.where(~copy).select(
+        "row", "nameless", "doc_id", one_of.alias("tag"), "packed", "keys", "hot"
     )
     spans = (
         searched.mapInArrow(_strings(family.bits, parts), _PARTS)
@@ -722,10 +724,9 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
     found = spans.groupBy("row", "nameless").agg(
         F.collect_list(F.struct("tag", "start", "end")).alias("found")
     )
-    noted = known.select("row", "nameless", "copies", "several")
-    flagged = found.join(noted, ["row", "nameless"], "full")
     return (
-        texts.join(flagged, ["row", "nameless"], "left")
+        texts.join(found, ["row", "nameless"], "left")
+        .join(noted, ["row", "nameless"], "left")
         .select("doc_id", "packed", one_of.alias("tag"), "found", copy.alias("copy"))
         .mapInArrow(_without(arrow_schema(_CLEANED)), _CLEANED)
     )

@@ -14,6 +14,7 @@ Only DataFrame and SQL functions are used; texts are read once.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -84,28 +85,47 @@ _EDGES = ("left_edge", "right_edge")
 ROUNDS = 12  # of expectation-maximisation
 STEPS = 25  # of the regression
 _WIDTH = 40  # characters of context
+_PAGE = 1024  # characters; a span's context is read from its page, not from the whole text
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running sum, maximum or the like of an array, by steps that double: each round folds
+    every value with the one 1, 2, 4, ... places before it. An accumulator that grows by a
+    value at a time would be copied each time."""
+
+    def folded(now: Column, step: Column) -> Column:
+        # Nothing stands before the first ones.
+        none = F.array_repeat(F.lit(None).cast("long"), step)
+        before = F.concat(none, F.slice(now, F.lit(1), F.size(now) - step))
+        return F.zip_with(now, before, lambda x, y: F.when(y.isNull(), x).otherwise(op(x, y)))
+
+    def fold(given: Column) -> Column:
+        n = F.size(given)
+        rounds = F.when(n > 1, F.ceil(F.log2(n))).otherwise(F.lit(0)).cast("int")
+        return F.aggregate(F.slice(F.array(*(F.lit(2**k) for k in range(31))), 1, rounds), given, folded)
+
+    return _let(values, fold)
 
 
 def find_spans(text: Column, pattern: str, needs: str) -> Column:
     """``start, end, value`` of each match; code points from 0, the end exclusive."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
-    none = F.array().cast("array<struct<start:long,end:long,value:string>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
 
-    def put(done: Column, x: Column) -> Column:
-        begin = done["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
-        span = F.struct(
-            begin.cast("long").alias("start"), end.cast("long").alias("end"), x["hit"].alias("value")
-        )
-        return F.struct(end.cast("long").alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def spans(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
+        lengths = F.zip_with(gaps, hits, lambda g, h: (F.length(g) + F.length(h)).cast("long"))
+        return F.zip_with(
+            running(lengths, add), hits,
+            lambda end, hit: F.struct((end - F.length(hit)).alias("start"), end.alias("end"), hit.alias("value")),
+        )
 
-    both = F.zip_with(
-        F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))
-    )
-    found = F.aggregate(both, start, put, lambda done: done["spans"])
-    return F.when(text.rlike(needs), found).otherwise(none)
+    none = F.array().cast("array<struct<start:long,end:long,value:string>>")
+    hits = F.regexp_extract_all(text, F.lit(pattern), 0)
+    return F.when(text.rlike(needs), _let(hits, spans)).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -153,14 +173,33 @@ def _vote(yes: Column | None, no: Column | None = None) -> Column:
     return chosen.cast("int")
 
 
-def labelled(text: Column, kind: str, span: Column, strict: bool) -> Column:
-    """A span with the votes of the labelers and whether its edges are clean."""
+def pages(text: Column) -> Column:
+    """A text cut into pages of ``_PAGE`` code points."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_PAGE}}}"), 0)
+
+
+def _around(paged: Column, span: Column) -> tuple[Column, Column]:
+    """The ``_WIDTH`` characters before a span and the one after it."""
+
+    def page(k: Column) -> Column:
+        return F.coalesce(F.get(paged, k.cast("int")), F.lit(""))
+
+    first = F.greatest(span["start"] - _WIDTH, F.lit(0))
+    at = F.floor(first / _PAGE)
+    two = F.concat(page(at), page(at + 1))
+    before = F.substr(two, (first - at * _PAGE + 1).cast("int"), (span["start"] - first).cast("int"))
+    last = F.floor(span["end"] / _PAGE)
+    return before, F.substr(page(last), (span["end"] - last * _PAGE + 1).cast("int"), F.lit(1))
+
+
+def labelled(paged: Column, kind: str, span: Column, strict: bool) -> Column:
+    """A span with the votes of the labelers and whether its edges are clean; ``paged`` is
+    the text in pages."""
     value = F.lower(span["value"])
     digits = _digits(value)
     n = F.length(digits)
-    start = F.greatest(span["start"] - _WIDTH, F.lit(0))
-    before = F.lower(F.substr(text, (start + 1).cast("int"), (span["start"] - start).cast("int")))
-    after = F.substr(text, (span["end"] + 1).cast("int"), F.lit(1))
+    before, after = _around(paged, span)
+    before = F.lower(before)
     date = value.rlike(
         r"^(?:(?:19|20)[0-9]{2}[-. ][0-9]{2}[-. ][0-9]{2}|[0-9]{2}[-. ][0-9]{2}[-. ](?:19|20)[0-9]{2}"
         r"|(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])(?:[0-9]{6})?$)"
@@ -205,19 +244,39 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
     text = F.col("text")
     found = given.select("*", *(strict_spans(text, k).alias(f"strict_{k}") for k in KINDS))
-    taken = F.concat(*(F.col(f"strict_{k}") for k in KINDS))
+    taken = F.array_sort(
+        F.flatten(
+            F.array(*(F.transform(f"strict_{k}", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))) for k in KINDS))
+        )
+    )
     found = found.withColumn("taken", taken)
+    halvings = F.ceil(F.log2(F.size("taken") + 1)).cast("int")
+    steps = F.slice(F.array(*(F.lit(2**k) for k in range(30, -1, -1))), F.lit(32) - halvings, halvings)
+    # Of the strict spans in order, the starts and how far any span up to there reaches.
+    order = F.struct(
+        F.transform("taken", lambda t: t["start"]).alias("starts"),
+        running(F.transform("taken", lambda t: t["end"]), F.greatest).alias("reach"),
+        steps.alias("steps"),
+    )
+    found = found.select("*", order.alias("order"), pages(text).alias("pages"))
 
-    def free(s: Column) -> Column:
-        return ~F.exists("taken", lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    def free(order: Column, s: Column) -> Column:
+        # The strict spans that start before the end of this one, counted by halving.
+        before = F.aggregate(
+            order["steps"], F.lit(0),
+            lambda n, step: F.when(F.get(order["starts"], n + step - 1) < s["end"], n + step).otherwise(n),
+        )
+        return F.coalesce(F.get(order["reach"], before - 1) <= s["start"], F.lit(True))
 
     def loose(kind: str) -> Column:
-        return F.filter(find_spans(text, LOOSE[kind], _NEEDS_LOOSE[kind]), free)
+        every = find_spans(text, LOOSE[kind], _NEEDS_LOOSE[kind])
+        kept = _let(F.col("order"), lambda o: F.filter(every, lambda s: free(o, s)))
+        return F.when(F.size("taken") == 0, every).otherwise(kept)
 
     found = found.select("*", *(loose(k).alias(f"maybe_{k}") for k in KINDS))
 
     def votes(kind: str, name: str, strict: bool) -> Column:
-        return F.transform(F.col(name), lambda s: labelled(text, kind, s, strict))
+        return _let(F.col("pages"), lambda p: F.transform(name, lambda s: labelled(p, kind, s, strict)))
 
     return found.select(
         "doc_id",

@@ -207,12 +207,26 @@ def test_tokens_equal_the_library(docs, rows):
     for r in rows:
         ids = library.encode(r[1] or "", add_special_tokens=False).ids
         want.append((r[0], len(ids), struct.pack(f"<{len(ids)}I", *ids), library.decode(ids, skip_special_tokens=False)))
-    found = tokens.encode_documents(docs, word_bpe())
+    found = tokens.decode_documents(tokens.encode_documents(docs, word_bpe()), word_bpe())
     assert got(found.select("doc_id", "n_tokens", F.sha2("ids", 256), F.sha2(F.col("decoded").cast("binary"), 256))) == sorted(
         [(i, n, sha(ids), sha(text.encode())) for i, n, ids, text in want], key=str
     )
 
 
+def test_decoding_reads_the_ids_alone(spark):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_str(word_bpe())
+    rng = np.random.default_rng(4)
+    many = [rng.integers(0, library.get_vocab_size(), n).tolist() for n in (0, 1, 5, 400)]
+    rows = [(k, struct.pack(f"<{len(ids)}I", *ids), "old") for k, ids in enumerate(many)]
+    rows += [(9, struct.pack("<3I", many[1][0], 2**32 - 1, many[1][0]), "old"), (10, None, None)]
+    df = spark.createDataFrame(rows, "k long, ids binary, decoded string")
+    found = tokens.decode_documents(df, word_bpe())
+    assert found.columns == ["k", "ids", "decoded"]
+    want = {k: library.decode(ids, skip_special_tokens=False) for k, ids in enumerate(many)}
+    want |= {9: library.decode(many[1] * 2, skip_special_tokens=False), 10: None}
+    assert {r["k"]: r["decoded"] for r in found.collect()} == want
+
+
 def merge_by_hand(symbols, merges):
     word = list(symbols)
     for u, v in merges:

@@ -54,11 +54,13 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(tokens.encode_documents(table(spark, sf_dir, "documents"), word_bpe()))
+    return digested(table(spark, sf_dir, "documents"), word_bpe())
 
 
-def digested(encoded: DataFrame) -> DataFrame:
-    return encoded.select(
+def digested(docs: DataFrame, description: str) -> DataFrame:
+    """Digests of the ids of each document, and of what these ids decode to."""
+    encoded = tokens.encode_documents(docs, description)
+    return tokens.decode_documents(encoded, description).select(
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -24,10 +24,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import raw_texts, small_batches
 
@@ -169,7 +171,6 @@ class Tokenizer:
         number = {s: i for i, s in enumerate(names)}
         self.automaton = Automaton(len(base), [(number[a], number[b]) for a, b in merges])
         self._ids = [vocab[s].to_bytes(4, "little") for s in names]
-        self._labels = [s.encode() for s in names]
         end = spec["model"]["end_of_word_suffix"]
         symbols = byte_symbols()
         self._inner = {b: 0x100 + number[s] for b, s in enumerate(symbols)}
@@ -177,25 +178,26 @@ class Tokenizer:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self._split = regex.compile(pattern)
         self._special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # The label of the arc that each id stands for; a special token stands for itself.
+        labels = {vocab[s]: s.encode() for s in names}
+        labels |= {i: s.encode() for s, i in self._special.items()}
+        self._emitted = [labels.get(i) for i in range(max(labels, default=-1) + 1)]
+        self._whole = None not in self._emitted
         names = sorted(map(regex.escape, self._special), key=len, reverse=True)
         self._told = regex.compile("(" + "|".join(names) + ")") if names else None
-        # Ids (little-endian) and labels (with blanks between) of pieces. What is used
-        # moves on to the young generation; the old one is forgotten as a whole.
-        self._pieces: dict[str, tuple[bytes, bytes]] = {}
-        self._old: dict[str, tuple[bytes, bytes]] = {}
+        # Ids (little-endian) of pieces. What is used moves on to the young generation;
+        # the old one is forgotten as a whole.
+        self._pieces: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         words = {}
         for piece in pieces:
             raw = piece.encode().decode("latin-1")  # a character per byte
             words[raw[:-1].translate(self._inner) + raw[-1].translate(self._last)] = piece
-        ids, labels, encode = self._ids, self._labels, self.automaton.encode
+        ids, encode = self._ids, self.automaton.encode
         for word in sorted(words):
-            path = encode(word)
-            self._pieces[words[word]] = (
-                b"".join([ids[x] for x in path]),
-                b" ".join([labels[x] for x in path]),
-            )
+            self._pieces[words[word]] = b"".join([ids[x] for x in encode(word)])
 
     def _split_plain(self, text: str) -> list[str]:
         # Lower case of each character by itself: a final sigma is no exception.
@@ -213,9 +215,8 @@ class Tokenizer:
         pieces = [self._split_plain(p) for p in parts[::2]]
         return list(zip(pieces, [*parts[1::2], None]))
 
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Of each whole text the ids (little-endian, four bytes each), and what they
-        decode to."""
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each whole text (little-endian, four bytes each)."""
         split = [self.split(text) for text in texts]
         pieces = {p for text in split for found, _ in text for p in found}
         missing = pieces - self._pieces.keys()
@@ -228,17 +229,25 @@ class Tokenizer:
         self._learn(missing - known.keys())
         out = []
         for text in split:
-            ids, labels = [], []
+            ids = []
             for found, special in text:
-                both = [known[p] for p in found]
-                ids += [x[0] for x in both]
-                labels += [x[1] for x in both]
+                ids += [known[p] for p in found]
                 if special is not None:
                     ids.append(self._special[special].to_bytes(4, "little"))
-                    labels.append(special.encode())
-            out.append((b"".join(ids), b" ".join(labels)))
+            out.append(b"".join(ids))
         return out
 
+    def decode(self, ids: bytes) -> bytes:
+        """The labels of the arcs that the ids stand for, with blanks between, as a
+        tokenizer without a decoder gives them. Numbers that are no id give nothing."""
+        if len(ids) % 4:
+            raise ValueError("ids take four bytes each")
+        emitted, numbers = self._emitted, np.frombuffer(ids, "<u4")
+        if not self._whole or len(numbers) and numbers.max() >= len(emitted):
+            numbers = [i for i in numbers.tolist() if i < len(emitted) and emitted[i] is not None]
+            return b" ".join([emitted[i] for i in numbers])
+        return b" ".join([emitted[i] for i in numbers.tolist()])
+
 
 def _newer(text: str) -> bool:
     """Whether a text has characters that no older Unicode version knows."""
@@ -256,12 +265,11 @@ def tokenizer(description: str) -> Tokenizer:
 
 
 def encode_documents(docs: DataFrame, description: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded`` for each row.
+    """``doc_id, n_tokens, ids`` for each row.
 
-    ``ids`` are little-endian unsigned 32-bit numbers; ``decoded`` has the tokens of the
-    path with blanks between, as a tokenizer without a decoder gives them. A null or empty
-    text has no tokens. Equal rows are returned each; an empty table gives none; other
-    columns are ignored.
+    ``ids`` are little-endian unsigned 32-bit numbers. A null or empty text has no tokens.
+    Whole texts of any length are encoded, each in one task. Equal rows are returned each; an
+    empty table gives none; other columns are ignored.
 
     ``description`` is the text of the tokenizer's file (below 2 MB); tasks get it with
     their code and compile it once per worker.
@@ -270,17 +278,32 @@ def encode_documents(docs: DataFrame, description: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(description).encode
         for batch in small_batches(batches, 1 << 20):
-            found = encode([text or b"" for text in raw_texts(batch.column(1))])
-            ids = [x[0] for x in found]
+            ids = encode([text or b"" for text in raw_texts(batch.column(1))])
+            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.record_batch(
-                [
-                    batch.column(0),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array(ids, pa.binary()),
-                    pa.array([x[1] for x in found], pa.binary()).cast(pa.string()),
-                ],
-                names=["doc_id", "n_tokens", "ids", "decoded"],
+                [batch.column(0), counts, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"]
             )
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return given.mapInArrow(each, "doc_id long, n_tokens long, ids binary, decoded string")
+    return given.mapInArrow(each, "doc_id long, n_tokens long, ids binary")
+
+
+def decode_documents(encoded: DataFrame, description: str) -> DataFrame:
+    """The rows of ``encoded`` with ``decoded``, the text which ``ids`` stand for.
+
+    Reads nothing but ``ids`` (little-endian unsigned 32-bit numbers), so it decodes what was
+    stored as well; null ids give null, none an empty text, and a column named ``decoded`` is
+    replaced. All other columns stay, equal rows are returned each, an empty table gives none.
+    """
+    kept = [c for c in encoded.columns if c != "decoded"]
+    schema = StructType([*(encoded.schema[c] for c in kept), StructField("decoded", StringType())])
+    at = kept.index("ids")
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = tokenizer(description).decode
+        for batch in small_batches(batches, 1 << 20):
+            texts = [None if x is None else decode(x) for x in batch.column(at).to_pylist()]
+            column = pa.array(texts, pa.binary()).cast(pa.string())
+            yield pa.record_batch([*batch.columns, column], names=[*kept, "decoded"])
+
+    return encoded.select(*kept).mapInArrow(each, schema)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltfleet.llm import lines, mixing, queries, simhash, templates, tokens
+from voltfleet.llm import lines, mixing, queries, simhash, templates
 from voltfleet.llm.common import staged, table
 
 #: Contract of the near-duplicate stage.
@@ -38,7 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every row, and what they decode to, as digests."""
-    return queries.digested(tokens.encode_documents(docs, queries.word_bpe()))
+    return queries.digested(docs, queries.word_bpe())
 
 
 STAGES = [

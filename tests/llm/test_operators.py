@@ -463,14 +463,7 @@ def test_line_templates(docs, rows):
     assert len(orders) == 1 and "ann" in orders[0]
 
 
-def test_templates_merge_lines_that_differ_in_a_field():
-    lines_in = [s.split(b" ") for s in (b"a b c d e", b"a b c d f", b"a b c d g", b"a b x y z")]
-    assert templates.merge_lines(lines_in)[:3] != [lines_in[0]] * 3
-    assert templates.merge_lines(lines_in)[0] == [b"a", b"b", b"c", b"d", b"<*>"]
-    assert templates.merge_lines(lines_in)[3] == lines_in[3]
-
-
-def test_a_large_leaf_is_dealt_to_salts(spark, monkeypatch):
+def test_a_large_leaf_is_dealt_to_blocks_and_tiles(spark, monkeypatch):
     monkeypatch.setattr(templates, "LEAF_ROWS", 5)
     rows = [(i, f"please write to user {'abcdefghij'[i % 10]}{'klmnop'[i // 10]} now or never again") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -478,22 +471,6 @@ def test_a_large_leaf_is_dealt_to_salts(spark, monkeypatch):
     assert [r["doc_id"] for r in left] == [0]
 
 
-def test_a_leaf_of_many_templates_stays_dealt(spark, monkeypatch):
-    monkeypatch.setattr(templates, "LEAF_ROWS", 5)
-    merge, sizes = templates._merge, []
-
-    def counted(rows):
-        sizes.extend(r["count"] for r in rows.groupBy("leaf", "salt").count().collect())
-        return merge(rows)
-
-    monkeypatch.setattr(templates, "_merge", counted)
-    rows = [(i, f"one two three four {i:b} {i:o} {i:x}".translate(DIGITS)) for i in range(200)]
-    df = spark.createDataFrame(rows + [(k + 1000, t) for k, t in rows], "doc_id long, text string")
-    left = templates.drop_recurring_lines(df).where("text <> ''").collect()
-    assert {r["doc_id"] for r in left} <= set(range(200)) and len(left) > 100
-    assert len(sizes) > 40 and max(sizes) < 20
-
-
 # WARC
 
 

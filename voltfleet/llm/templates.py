@@ -1,10 +1,12 @@
 """Line deduplication by a tree of log templates.
 
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading
-tokens. Tokens with digits count as variable fields from the start. In a leaf, lines that
-agree in most tokens become one template, in which the tokens that differ are variable
-fields as well. A template that occurs in more than one document is recurring: the
-document with the smallest id keeps its lines, all others lose them.
+tokens. Tokens with digits count as variable fields from the start. In a leaf, two lines are
+alike if they have at least 80% of their tokens in common, place by place; lines that are
+connected by alike ones share a template, in which the tokens that differ are variable
+fields as well. So templates depend neither on an order nor on how lines were dealt to tasks. A
+template that occurs in more than one document is recurring: the document with the smallest
+id keeps its lines, all others lose them.
 """
 
 from __future__ import annotations
@@ -12,24 +14,25 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import count, groupby
-from operator import eq
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import map_batches, raw_texts, small_batches, staged
+from .common import raw_texts, small_batches, staged
+from .components import connected_components
 from .lines import with_text
 
 DEPTH = 4  # leading tokens
 MIN_TOKENS = 3
 SIMILARITY = 0.8  # share of tokens which lines of a template have in common
-LEAF_ROWS = 4096  # lines of a leaf that are compared in one go
+LEAF_ROWS = 4096  # lines that are compared with each other in one go, at most
+CELLS = 1 << 22  # tokens of such lines, at most
 FIELD = b"<*>"
-_LAST = 2**63 - 1  # stands for a null id
 _DIGIT = re.compile(rb"[0-9]")
 
 
@@ -58,26 +61,38 @@ def _lines(text: bytes | None) -> Iterator[tuple[bytes, list[bytes]]]:
 
 
 def line_seals(docs: DataFrame) -> DataFrame:
-    """``doc, leaf, seal`` of each different line of each row."""
+    """``doc, anon, leaf, seal`` of each different line of each row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            doc, leaf, seal = [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), raw_texts(batch.column(1))):
+            at, leaf, seal = [], [], []
+            for row, text in enumerate(raw_texts(batch.column(2))):
                 found = {_seal(t): t for _, t in _lines(text)}
-                doc += [name] * len(found)
+                at += [row] * len(found)
                 leaf += map(_leaf, found.values())
                 seal += found
             yield pa.record_batch(
-                [pa.array(doc, pa.int64()), pa.array(leaf, pa.int64()), pa.array(seal, pa.binary())],
-                names=["doc", "leaf", "seal"],
-            )
+                [
+                    *(batch.column(k).take(pa.array(at, pa.int64())) for k in range(2)),
+                    pa.array(leaf, pa.int64()), pa.array(seal, pa.binary()),
+                ],
+                names=["doc", "anon", "leaf", "seal"],
+            )
+
+    return docs.select(*_document(), "text").mapInArrow(each, "doc long, anon boolean, leaf long, seal binary")
 
-    return _keyed(docs).mapInArrow(each, "doc long, leaf long, seal binary")
 
+def _document() -> tuple[Column, Column]:
+    """``doc, anon``: which document a row belongs to. One without an id stands for itself."""
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    return F.coalesce(F.col("doc_id").cast("long"), own).alias("doc"), F.col("doc_id").isNull().alias("anon")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), "text")
+
+def _documents() -> list[Column]:
+    """Aggregates: ``several`` documents or one, and the ``first``, one with an id if any."""
+    several = (F.min("doc") != F.max("doc")) | (F.min("anon") != F.max("anon"))
+    first = F.coalesce(F.min(F.when(~F.col("anon"), F.col("doc"))), F.min("doc"))
+    return [several.alias("several"), first.alias("first"), F.min("anon").alias("first_anon")]
 
 
 def _line_texts(docs: DataFrame) -> DataFrame:
@@ -106,205 +121,161 @@ def _need(n: int) -> int:
     return math.ceil(SIMILARITY * n - 1e-9)
 
 
-def merge_lines(lines: list[list[bytes]]) -> list[list[bytes]]:
-    """The template of each line of a leaf, taken in the order given; a template
-    keeps the tokens that all its lines share."""
-    templates: list[list[bytes]] = []
-    chosen = []
-    for tokens in lines:
-        need = _need(len(tokens))
-        for k, template in enumerate(templates):
-            if sum(map(eq, tokens, template)) >= need:
-                templates[k] = [a if a == b else FIELD for a, b in zip(template, tokens)]
-                chosen.append(k)
-                break
-        else:
-            chosen.append(len(templates))
-            templates.append(tokens)
-    return [templates[k] for k in chosen]
-
-
-def _merge(rows: DataFrame) -> DataFrame:
-    """``leaf, seal, line, template`` of rows ``leaf, salt, seal, line``; lines of one leaf
-    and salt are compared with each other."""
+def spanning_links(tokens: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows with at most ``differ`` unequal tokens that connect all rows which such
+    pairs connect: a tree for each connected part."""
+    rows = np.arange(len(tokens))
+    a, b = [], []
+    while len(rows):
+        front, rows, tokens = [(rows[0], tokens[0])], rows[1:], tokens[1:]
+        while front and len(rows):
+            x, line = front.pop()
+            hit = (tokens != line).sum(axis=1) <= differ
+            if hit.any():
+                front += zip(rows[hit], tokens[hit])
+                a += [x] * int(hit.sum())
+                b += rows[hit].tolist()
+                rows, tokens = rows[~hit], tokens[~hit]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _meetings(lines: DataFrame) -> DataFrame:
+    """``leaf, key, seal, line`` of lines ``leaf, seal, line, whole``.
+
+    Lines with one leaf and key are to be compared. A leaf that is compared as a ``whole`` has
+    one key. In others lines share their leading tokens and are alike if at most ``d`` others
+    differ: these are dealt to ``d + 1`` blocks, so that alike lines have equal tokens in one
+    of them, and each block is a key.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of():
-            for batch in batches:
-                yield from zip(*(c.to_pylist() for c in batch.columns))
-
-        out: list[tuple] = []
-        for _, group in groupby(rows_of(), key=lambda r: r[:2]):
-            group = list(group)
-            merged = merge_lines([r[3].split(b" ") for r in group])
-            out += [(r[0], r[2], r[3], b" ".join(t)) for r, t in zip(group, merged)]
-            if len(out) > 10_000:
-                yield _rows(out)
-                out = []
-        yield _rows(out)
-
-    def _rows(out: list[tuple]) -> pa.RecordBatch:
-        kinds = {"leaf": pa.int64(), "seal": pa.binary(), "line": pa.binary(), "template": pa.binary()}
-        columns = list(zip(*out)) or [()] * 4
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
-
-    dealt = rows.select("leaf", "salt", "seal", "line").repartition("leaf", "salt")
-    return dealt.sortWithinPartitions("leaf", "salt", "seal").mapInArrow(
-        each, "leaf long, seal binary, line binary, template binary"
-    )
+        for batch in small_batches(batches, 1 << 20):
+            at, keys = [], []
+            for row, (line, whole) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if whole:
+                    at.append(row)
+                    keys.append(0)
+                    continue
+                tokens = line.split(b" ")
+                blocks = len(tokens) - _need(len(tokens)) + 1
+                for block in range(blocks):
+                    key = b"%d " % block + b" ".join(tokens[DEPTH + block :: blocks])
+                    at.append(row)
+                    keys.append(xxhash.xxh3_64_intdigest(key) - (1 << 63))
+            leaf, seal, line = (batch.column(k).take(pa.array(at, pa.int64())) for k in range(3))
+            yield pa.record_batch([leaf, pa.array(keys, pa.int64()), seal, line], names=["leaf", "key", "seal", "line"])
 
+    given = lines.select("leaf", "seal", "line", "whole")
+    return given.mapInArrow(each, "leaf long, key long, seal binary, line binary")
 
-def line_templates(docs: DataFrame, seals: DataFrame) -> DataFrame:
-    """``seal, template`` (both binary keys) of lines that may share a template with
-    another line: those in leaves with several lines and several documents.
 
-    A leaf is dealt to as many salts as it has ``LEAF_ROWS`` lines. The templates found
-    are merged with each other in the same way, those of a leaf as a whole if they fit in
-    one salt, otherwise by ``_merge_large``.
-    """
-    leaves = (
-        seals.groupBy("leaf")
-        .agg(
-            F.min("seal").alias("s0"), F.max("seal").alias("s1"),
-            F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.count("*").alias("n"),
-        )
-        .where("s0 <> s1 and d0 <> d1")
-        .select("leaf", F.ceil(F.col("n") / LEAF_ROWS).alias("salts"))
-    )
-    lines = _line_texts(docs).join(leaves, "leaf").dropDuplicates(["leaf", "seal"])
-    salted = lines.withColumn("salt", F.pmod(F.xxhash64("seal"), F.col("salts")))
-    found = staged(_merge(salted).select("leaf", "seal", "template"), "templates")
-    left = found.select("leaf", F.col("template").alias("line")).distinct()
-    sizes = left.groupBy("leaf").agg(F.count("*").alias("n"))
-    large = staged(sizes.where(F.col("n") > LEAF_ROWS).select("leaf"), "large-leaves")
-    if large.isEmpty():
-        second = _merge_whole(left)
-    else:
-        second = _merge_whole(left.join(large, "leaf", "left_anti")).union(
-            _merge_large(left.join(large, "leaf"))
-        )
-    same = (F.col("f.leaf") == F.col("s.leaf")) & (F.col("f.template") == F.col("was"))
-    merged = found.alias("f").join(second.alias("s"), same).select("f.leaf", "seal", "final")
-    name = F.concat(F.col("leaf").cast("string").cast("binary"), F.col("final"))
-    return merged.select("seal", F.unhex(F.md5(name)).alias("template"))
-
-
-def _merge_whole(left: DataFrame) -> DataFrame:
-    """``leaf, was, final`` of templates ``leaf, line``, those of a leaf compared in one go."""
-    again = left.withColumn("seal", F.unhex(F.md5("line"))).withColumn("salt", F.lit(0).cast("long"))
-    return _merge(again).select("leaf", F.col("line").alias("was"), F.col("template").alias("final"))
-
-
-def _block_keys(left: DataFrame, block: int) -> DataFrame:
-    """``leaf, line, key`` of the templates that have a block of this number.
-
-    Lines of a leaf share their leading tokens and are alike if at most ``d`` others differ.
-    The others are dealt to ``d + 1`` blocks, so alike lines have the same tokens in one.
-    """
+def _links(dealt: DataFrame) -> DataFrame:
+    """``a, b``: seals that connect what alike lines connect, among the rows
+    ``leaf, key, i, j, seal, line`` of the same first four columns."""
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for leaf, line in zip(*(c.to_pylist() for c in batch.columns)):
-            tokens = line.split(b" ")
-            blocks = len(tokens) - _need(len(tokens)) + 1
-            if block < blocks:
-                key = xxhash.xxh3_64_intdigest(b" ".join(tokens[DEPTH + block :: blocks])) - (1 << 63)
-                rows.append((leaf, line, key))
-        columns = list(zip(*rows)) or [()] * 3
-        kinds = (pa.int64(), pa.binary(), pa.int64())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["leaf", "line", "key"])
+    def rows_of(batches):
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
 
-    return map_batches(left.select("leaf", "line"), each, "leaf long, line binary, key long")
+    def made(a, b):
+        return pa.record_batch([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for _, group in groupby(rows_of(batches), key=lambda r: r[:4]):
+            number, seals, lines = {}, [], []
+            for *_, seal, line in group:
+                seals.append(seal)
+                lines.append(np.array([number.setdefault(t, len(number)) for t in line.split(b" ")], np.int32))
+            if len(lines) > 1:
+                n = len(lines[0])
+                i, j = spanning_links(np.stack(lines)[:, DEPTH:], n - _need(n))
+                a += [seals[k] for k in i]
+                b += [seals[k] for k in j]
+            if len(a) > 10_000:
+                yield made(a, b)
+                a, b = [], []
+        yield made(a, b)
+
+    order = ["leaf", "key", "i", "j"]
+    sorted_rows = dealt.select(*order, "seal", "line").repartition(*order).sortWithinPartitions(*order)
+    return sorted_rows.mapInArrow(each, "a binary, b binary")
 
-def _merge_large(left: DataFrame) -> DataFrame:
-    """``leaf, was, final`` of the templates of large leaves, ``leaf, line``.
 
-    Templates with the same tokens in a block are compared, for one block after the other,
-    until no template of a leaf is like another.
-    """
-    state = left.select("leaf", F.col("line").alias("was"), F.col("line").alias("final"))
-    state = staged(state, "large-templates")
-    before, total = None, state.count()
-    while total != before:
-        before = total
-        for block in count():
-            now = state.select("leaf", F.col("final").alias("line")).distinct()
-            dealt = staged(_block_keys(now, block), "block-keys")
-            if dealt.isEmpty():
-                break
-            merged = _merge_block(dealt).withColumnRenamed("was", "final")
-            state = state.join(merged, ["leaf", "final"], "left").select(
-                "leaf", "was", F.coalesce("now", "final").alias("final")
-            )
-            state = staged(state, "large-templates")
-        total = state.select("leaf", "final").distinct().count()
-    return state
+def line_templates(docs: DataFrame, seals: DataFrame) -> DataFrame:
+    """``seal, template`` of lines that share a template with another line, out of leaves with
+    several lines and several documents; a template goes by the least seal of its lines.
 
+    Lines that meet (see ``_meetings``) are compared in one go up to ``LEAF_ROWS`` lines and
+    ``CELLS`` tokens. Larger meetings are dealt to tiles, and each tile meets each other. How
+    lines are dealt does not change the links' connected parts.
+    """
+    leaves = (
+        seals.groupBy("leaf")
+        .agg(F.min("seal").alias("s0"), F.max("seal").alias("s1"), *_documents(), F.count("*").alias("n"))
+        .where("s0 <> s1 and several")
+        .select("leaf", "n")
+    )
+    lines = _line_texts(docs).join(leaves, "leaf").dropDuplicates(["leaf", "seal"])
+    # Lines of a leaf have the same number of tokens.
+    fits = _fits(F.regexp_count(F.col("line").cast("string"), F.lit(" ")) + 1)
+    lines = lines.withColumn("whole", F.col("n") <= fits)
+    meetings = staged(_meetings(lines), "meetings")
+    sizes = meetings.groupBy("leaf", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = meetings.join(sizes, ["leaf", "key"])
+    # Two tiles fit together.
+    tiles = F.when(F.col("n") <= fits, 1).otherwise(F.ceil(2 * F.col("n") / fits)).cast("int")
+    tile = F.pmod(F.xxhash64("seal"), F.col("tiles")).cast("int")
+    dealt = (
+        met.withColumn("tiles", tiles)
+        .withColumn("tile", tile)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        # With its own tile alone a line would meet nobody new, unless there is one tile.
+        .where("tiles = 1 or tile <> other")
+        .withColumn("i", F.least("tile", "other"))
+        .withColumn("j", F.greatest("tile", "other"))
+    )
+    links = staged(_links(dealt), "alike-lines")
+    return connected_components(links).select(F.col("node").alias("seal"), F.col("root").alias("template"))
 
-def _merge_block(dealt: DataFrame) -> DataFrame:
-    """``leaf, was, now`` of templates ``leaf, line, key``, merged within leaf and key.
 
-    Those of a key with over ``LEAF_ROWS`` are dealt to an even number of tiles, half that
-    large, of which each meets each other once: two and two of them in every turn.
-    """
-    sizes = dealt.groupBy("leaf", "key").agg(F.count("*").alias("n"))
-    tiles = F.when(F.col("n") > LEAF_ROWS, 2 * F.ceil(F.col("n") / LEAF_ROWS)).otherwise(F.lit(2))
-    rows = dealt.join(sizes, ["leaf", "key"]).select(
-        "leaf", "key", F.col("line").alias("was"), F.col("line").alias("now"),
-        tiles.cast("long").alias("tiles"), F.pmod(F.xxhash64("line"), tiles).cast("long").alias("tile"),
-    )
-    rows = staged(rows, "tiles")
-    turns = rows.agg(F.max("tiles")).first()[0] - 1
-    others, tile = F.col("tiles") - 1, F.col("tile")  # others is odd, so tiles / 2 is half of one
-    for turn in range(turns):
-        lines = rows.where(others > turn).groupBy("leaf", "key", "tiles", F.col("now").alias("line"))
-        lines = lines.agg(F.min("tile").alias("tile"))
-        last = F.pmod(F.lit(turn) * F.floor(F.col("tiles") / 2), others)
-        pair = F.when(tile == others, last).otherwise(F.least(tile, F.pmod(F.lit(turn) - tile, others)))
-        lines = lines.withColumn("salt", F.xxhash64("key", pair.cast("long")))
-        merged = _merge(lines.withColumn("seal", F.unhex(F.md5("line"))))
-        merged = merged.select("leaf", F.col("line").alias("now"), F.col("template").alias("next"))
-        rows = rows.join(merged, ["leaf", "now"], "left").select(
-            "leaf", "key", "was", F.coalesce("next", "now").alias("now"), "tiles", "tile"
-        )
-        rows = staged(rows, "tiles")
-    return rows.select("leaf", "was", "now")
+def _fits(tokens: Column) -> Column:
+    """How many lines of so many tokens are compared in one go."""
+    return F.greatest(F.lit(4), F.least(F.lit(LEAF_ROWS), F.floor(F.lit(CELLS) / tokens)))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """``doc, seal`` of the lines that go: of recurring templates, in all documents but
-    the one with the smallest id."""
+    """``doc, anon, seal`` of the lines that go: of recurring templates, in all documents but
+    the first."""
     seals = staged(line_seals(docs).distinct(), "line-seals")
     members = line_templates(docs, seals)
     known = seals.join(members, "seal", "left").select(
-        "doc", "seal", F.coalesce("template", "seal").alias("template")
+        "doc", "anon", "seal", F.coalesce("template", "seal").alias("template")
     )
     known = staged(known, "line-templates")
-    recurring = (
-        known.groupBy("template")
-        .agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-        .where("first <> last")
-    )
+    recurring = known.groupBy("template").agg(*_documents()).where("several").drop("several")
     # Written, so that both sides of the join are plain shuffles: a template with a large
     # share of all lines can then be split.
     recurring = staged(recurring, "recurring")
-    return known.join(recurring, "template").where("doc <> first").select("doc", "seal")
+    others = "doc <> first or anon <> first_anon"
+    return known.join(recurring, "template").where(others).select("doc", "anon", "seal")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without the lines of recurring templates, and ``n_dropped``.
+def drop_recurring_lines(docs: DataFrame, count: str | None = "n_dropped") -> DataFrame:
+    """The rows of ``docs`` without the lines of recurring templates, and how many each row
+    has lost, as the column ``count`` if it has a name (one of that name is replaced).
 
-    All columns stay but ``text``, which loses lines, and ``n_chars``, which follows it. Lines
-    under 3 tokens are left alone. Rows with one ``doc_id`` count as one document, rows
-    without one as the last document. A null text stays null; a document whose lines all
-    go keeps an empty text. An empty table gives no rows.
+    All other columns stay but ``text``, which loses lines, and ``n_chars``, which follows it.
+    Lines under 3 tokens are left alone. Rows with one ``doc_id`` count as one document. A row
+    without an id is a document of its own, after all with an id and in the order of a hash of
+    its text; repeated ones with equal texts count as one. Which lines share a template depends
+    on the lines alone, not on order, ties or repeats. Whole texts of any length are read. A
+    null text stays null; a document whose lines all go keeps an empty text. An empty table
+    gives no rows.
     """
-    drops = dropped_lines(docs).groupBy("doc").agg(F.collect_list("seal").alias("seals"))
-    packed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("of"), "text", F.struct("*").alias("row")
-    )
-    packed = packed.join(drops, F.col("of") == F.col("doc"), "left").select("text", "seals", "row")
+    drops = dropped_lines(docs).groupBy("doc", "anon").agg(F.collect_list("seal").alias("seals"))
+    packed = docs.select(*_document(), "text", F.struct("*").alias("row"))
+    packed = packed.join(drops, ["doc", "anon"], "left").select("text", "seals", "row")
     schema = StructType([StructField("text", StringType()), StructField("n_dropped", LongType()), packed.schema["row"]])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,5 +297,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
             )
 
     cleaned = packed.mapInArrow(each, schema)
-    return cleaned.select(*with_text(docs, F.col("text")), "n_dropped")
+    if count is None:
+        return cleaned.select(*with_text(docs, F.col("text")))
+    others = [c for c in docs.columns if c.lower() != count.lower()]
+    return cleaned.select(*with_text(docs.select(*others), F.col("text")), F.col("n_dropped").alias(count))
 

@@ -305,11 +305,41 @@ def test_mixed_documents(docs, rows):
 
 
 def test_split_tree_deals_out_all_blocks():
-    rng = np.random.default_rng(2)
     quotas = np.array([1000, 0, 7, 333])
-    dealt = mixing.split_tree(quotas, 13, rng)
+    nodes = mixing.split_tree(quotas, 13, seed=2)
+    assert [(first, shards) for first, shards, *_ in nodes] == [(k, 1) for k in range(13)]
+    dealt = np.array([blocks for _, _, blocks, _ in nodes])
     assert dealt.shape == (13, 4) and (dealt.sum(axis=0) == quotas).all()
     assert dealt.sum(axis=1).max() - dealt.sum(axis=1).min() <= math.ceil(math.log2(13))
+    before = np.array([before for *_, before in nodes])
+    assert (before == dealt.cumsum(axis=0) - dealt).all()
+    # Grown two levels at a time, the tree is the same.
+    grown = []
+    for first, shards, blocks, start in mixing.split_tree(quotas, 13, 2, levels=2):
+        grown += [(f, n, *b, *(start + a)) for f, n, b, a in mixing.split_tree(blocks, shards, 2, first)]
+    assert grown == [(f, n, *b, *a) for f, n, b, a in nodes]
+
+
+@pytest.mark.parametrize("shards", [1, 5, 4_000_000])
+def test_each_block_is_drawn_once(spark, shards):
+    quotas = {0: 700, 1: 1, 2: 0, 3: 41}
+    df = spark.createDataFrame(list(quotas.items()), "rank int, blocks long")
+    found = mixing.deal_blocks(df, shards).collect()
+    assert sorted((r["rank"], r["block"]) for r in found) == [(s, b) for s, n in quotas.items() for b in range(n)]
+    assert all(0 <= r["shard"] < shards for r in found)
+    held = collections.Counter(r["shard"] for r in found)
+    assert max(held.values()) <= sum(quotas.values()) // shards + math.ceil(math.log2(shards)) + 1
+
+
+def test_words_follow_from_the_blocks_of_the_shards(docs, monkeypatch):
+    """Blocks that no shard draws are not in the mix."""
+    whole = mixing.mix(docs, shards=5, block_words=64).where("words > 0").collect()
+    deal = mixing.deal_blocks
+    monkeypatch.setattr(mixing, "deal_blocks", lambda *a: deal(*a).where("shard <> 2"))
+    rest = mixing.mix(docs, shards=5, block_words=64).where("words > 0").collect()
+    key = lambda r: (r["row_key"], r["start"], r["pass"], r["words"], r["shard"])
+    assert any(r["shard"] == 2 for r in whole)
+    assert sorted(map(key, rest)) == sorted(key(r) for r in whole if r["shard"] != 2)
 
 
 # Personal data

@@ -5,12 +5,17 @@ up to the cap, cut into blocks. Its target says how many blocks of the stream th
 takes. A tree deals these quotas to output shards: a node splits the blocks it has into
 the shares of its two halves by a multivariate-hypergeometric draw, as if all blocks were
 shuffled together, down to single shards. A shard then takes its own, disjoint range of
-each source's permuted blocks, and its documents are shuffled within the shard.
+each source's permuted blocks, and its documents are shuffled within the shard. What no
+shard has drawn is not in the mix.
+
+Each node draws by a seed of its own, so that its children are the same wherever they are
+worked out: the tree is grown some levels at a time, by a task for each node of the level.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,46 +29,111 @@ CAP = 3
 WEIGHTS = (1, 2, 3)
 BLOCK_WORDS = 65_536
 SHARD_BLOCKS = 64  # blocks of a shard, if the number of shards is not given
+LEVELS = 10  # of the tree that one task grows below a node
 _DIGITS = 3  # hexadecimal digits that tell the slice of a source: 4096 slices
 
 
-def split_tree(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """Blocks of each source (columns) for each shard (rows); the columns add up to
-    ``quotas``, and shards differ by about one block at most at each split."""
-    if shards == 1:
-        return quotas[None, :]
-    left = shards // 2
+def split_tree(
+    quotas: np.ndarray, shards: int, seed: int, first: int = 0, levels: int | None = None
+) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """The nodes ``levels`` below a node, or its single shards, in order:
+    ``first, shards, blocks, before``.
+
+    A node holds the ``shards`` from ``first`` on; ``quotas`` and ``blocks`` tell its blocks of
+    each source, ``before`` how many blocks of the given node lie in nodes to its left. Blocks of
+    all nodes add up to ``quotas``; shards differ by about one block at most at each split.
+    """
+    if shards == 1 or levels == 0:
+        return [(first, shards, quotas, np.zeros_like(quotas))]
+    left, below = shards // 2, None if levels is None else levels - 1
     total = int(quotas.sum())
     # marginals: one draw per source, whatever the number of blocks.
     taken = (
-        rng.multivariate_hypergeometric(quotas, total * left // shards, method="marginals")
+        np.random.default_rng([seed, first, shards]).multivariate_hypergeometric(
+            quotas, total * left // shards, method="marginals"
+        )
         if total
         else quotas
     )
-    return np.concatenate(
-        [split_tree(taken, left, rng), split_tree(quotas - taken, shards - left, rng)]
-    )
+    lower = split_tree(taken, left, seed, first, below)
+    upper = split_tree(quotas - taken, shards - left, seed, first + left, below)
+    return lower + [(f, n, blocks, before + taken) for f, n, blocks, before in upper]
 
 
-def _deal(shards: int, seed: int):
-    def deal(sources: pd.DataFrame) -> pd.DataFrame:
-        sources = sources.sort_values("rank", ignore_index=True)
-        quotas = sources["blocks"].to_numpy(np.int64)
-        if quotas.sum() >= 10**9:
+# A node, and of each of its sources: rank, blocks it has and where they start among the
+# permuted ones; the source's blocks in all, and its permutation.
+_NODE = "first long, shards long, rank array<int>, blocks array<long>, start array<long>, " + (
+    "total array<long>, inverse array<long>, shift array<long>"
+)
+_OF_SOURCE = ("rank", "blocks", "start", "total", "inverse", "shift")
+
+
+def _root(shards: int, seed: int):
+    def root(sources: pd.DataFrame) -> pd.DataFrame:
+        sources = sources[sources["blocks"] > 0].sort_values("rank", ignore_index=True)
+        if sources["blocks"].sum() >= 10**9:
             raise ValueError("over 10^9 blocks: raise block_words")
-        rng = np.random.default_rng(seed)
-        ends = np.cumsum(split_tree(quotas, shards, rng), axis=0)
-        # A bijection of the blocks: block b stands at (b * step + shift) mod blocks.
-        steps, shifts = [], []
-        for n in quotas.tolist():
+        inverses, shifts = [], []
+        for rank, n in zip(sources["rank"].tolist(), sources["blocks"].tolist()):
+            # A bijection of the blocks: block b stands at (b * step + shift) mod n.
+            rng = np.random.default_rng([seed, rank, n])
             step = int(rng.integers(1, max(n, 2)))
-            while math.gcd(step, max(n, 1)) > 1:
+            while math.gcd(step, n) > 1:
                 step += 1
-            steps.append(step)
-            shifts.append(int(rng.integers(0, max(n, 1))))
-        return sources.assign(step=steps, shift=shifts, ends=list(ends.T.tolist()))
+            inverses.append(pow(step, -1, n) if n > 1 else 0)
+            shifts.append(int(rng.integers(0, n)))
+        blocks = sources["blocks"].tolist()
+        columns = [sources["rank"].tolist(), blocks, [0] * len(blocks), blocks, inverses, shifts]
+        return pd.DataFrame([[0, shards, *columns]], columns=["first", "shards", *_OF_SOURCE])
+
+    return root
+
+
+def _grown(nodes: DataFrame, seed: int) -> DataFrame:
+    """The nodes ``LEVELS`` below; those without blocks are left out."""
 
-    return deal
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for node in frame.itertuples():
+                given = {c: np.asarray(getattr(node, c)) for c in _OF_SOURCE}
+                rows = []
+                below = split_tree(given["blocks"].astype(np.int64), node.shards, seed, node.first, LEVELS)
+                for first, shards, blocks, before in below:
+                    has = blocks > 0
+                    of = {**given, "blocks": blocks, "start": given["start"] + before}
+                    rows.append([first, shards, *(of[c][has] for c in _OF_SOURCE)])
+                found = pd.DataFrame(rows, columns=["first", "shards", *_OF_SOURCE])
+                yield found[found["blocks"].map(len) > 0]
+
+    return nodes.mapInPandas(each, _NODE)
+
+
+def _drawn(shards: DataFrame) -> DataFrame:
+    """``rank, block, shard`` of each block that a shard draws."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for node in frame.itertuples():
+                counts = np.asarray(node.blocks)
+                ends = np.cumsum(counts)
+                within = np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+                start, total, inverse, shift = (
+                    np.repeat(np.asarray(x), counts) for x in (node.start, node.total, node.inverse, node.shift)
+                )
+                block = (start + within - shift) % total * inverse % total
+                yield pd.DataFrame({"rank": np.repeat(np.asarray(node.rank), counts), "block": block, "shard": node.first})
+
+    return shards.mapInPandas(each, "rank int, block long, shard long")
+
+
+def deal_blocks(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
+    """``rank, block, shard``: the shard that draws each block of each source, for
+    ``rank, blocks``. Each block is drawn once. Sources are one row each; a node of the tree
+    holds the sources that it has blocks of."""
+    nodes = quotas.select("rank", "blocks").groupBy().applyInPandas(_root(shards, seed), _NODE)
+    for _ in range(max(1, math.ceil(math.log2(shards) / LEVELS))):
+        nodes = _grown(nodes, seed).repartition("first")
+    return _drawn(nodes)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -147,7 +217,8 @@ def mix(
     """One row for each time that the mix takes a document, or one if it never does:
     ``row_key, doc_id, source, size, source_size, target, start, pass, words, shard, place``.
 
-    ``words`` is how many words are taken: all, but for the one document per source at which
+    A document belongs to the block in which it begins, and is taken by the shard that draws
+    this block. ``words`` is how many words are taken: all, but for the one document per source at which
     its quota ends, of which the mix takes the first words; 0 if the document is not taken
     (``pass`` and ``shard`` are null then). Order by ``shard, place`` gives the shuffled
     shards.
@@ -155,7 +226,7 @@ def mix(
     The size of a document is the words of its text, null counting as empty; a document
     without words is taken in no pass. Null sources are one source, the last. Equal rows are
     documents of their own; the order of rows with one ``doc_id`` is that of their sizes. An
-    empty table gives no rows. The same rows and seed give the same mix. Without a number of
+    empty table gives no rows; texts of any length are counted whole. The same rows and seed give the same mix. Without a number of
     ``shards`` there is one for each ``SHARD_BLOCKS`` blocks.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -186,16 +257,19 @@ def mix(
         )
         .withColumn("block", F.floor(F.col("at") / block_words))
     )
+    # Rows that are in no block are spread; they meet none.
+    copies = copies.withColumn(
+        "block", F.coalesce("block", -1 - F.pmod(F.xxhash64("place"), F.lit(1 << 16)))
+    )
     blocks = F.ceil(quota / block_words).cast("long").alias("blocks")
     quotas = rows.select("rank", "target").groupBy("rank").agg(F.max("target").alias("target"))
-    dealt = quotas.select("rank", blocks).groupBy().applyInPandas(
-        _deal(shards, seed), "rank int, blocks long, step long, shift long, ends array<long>"
-    )
-    moved = (F.col("block") * F.col("step") + F.col("shift")) % F.col("blocks")
-    shard = F.size(F.filter("ends", lambda end: end <= moved))
-    return copies.join(dealt, "rank").select(
-        "row_key", "doc_id", "source", "size", "source_size", "target", "start", "pass", "words",
-        F.when(F.col("block").isNotNull(), shard).alias("shard"),
+    dealt = staged(deal_blocks(quotas.select("rank", blocks), shards, seed), "blocks")
+    mixed = copies.join(dealt, ["rank", "block"], "left")
+    in_mix = F.col("shard").isNotNull()
+    return mixed.where(in_mix | F.coalesce(F.col("pass") == 0, F.lit(True))).select(
+        "row_key", "doc_id", "source", "size", "source_size", "target", "start",
+        F.when(in_mix, F.col("pass")).alias("pass"),
+        F.when(in_mix, F.col("words")).otherwise(F.lit(0)).cast("long").alias("words"), "shard",
         F.md5(F.concat_ws(":", F.lit(seed), "pass", "place").cast("binary")).alias("place"),
     )
 

@@ -39,17 +39,21 @@ LENGTH, PREFIX = 50, 20
 BATCHES, BUCKET_SUFFIXES, PART_STRINGS = 4, 500_000, 50_000
 #: Holders of a suffix from which its windows go by their text, so that they spread.
 HOT = 20_000
-#: Text handled at a time, and gathered before rows are made of it.
-_PIECE, _GATHER, _PLACE_BITS = 1 << 17, 1 << 22, 20
+#: Text handled at a time, and text and strings gathered before rows are made of them.
+_PIECE, _GATHER, _GATHER_STRINGS, _PLACE_BITS = 1 << 15, 1 << 22, 1 << 23, 20
 
 _LOW = np.uint64((1 << 32) - 1)
 _FACTOR = 0x9E3779B97F4A7C15
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    high = x >> np.uint64(32)
+    x = x ^ high
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.right_shift(x, np.uint64(32), out=high)
+        x ^= high
+    return x
 
 
 _BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_FACTOR))
@@ -66,11 +70,13 @@ def prefix_hashes(data: np.ndarray, length: int = PREFIX) -> np.ndarray:
                 whole = block
             else:
                 n = len(data) - done - size + 1
-                whole = whole[:n] * np.uint64(power[0]) + block[done : done + n]
+                whole = whole[:n] * np.uint64(power[0])
+                whole += block[done : done + n]
             done += size
         rest >>= 1
         if rest:
-            block = block[:-size] * np.uint64(power[0]) + block[size:]
+            block, later = block[:-size] * np.uint64(power[0]), block[size:]
+            block += later
             power[0], size = power[0] * power[0] % (1 << 64), 2 * size
     return _mixed(whole)
 
@@ -81,7 +87,8 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     Values give way in their low bits to their place, so that minima carry it along.
     """
     low = np.uint64((1 << _PLACE_BITS) - 1)
-    least, size = (values & ~low) | np.arange(len(values), dtype=np.uint64), 1
+    least, size = values & ~low, 1
+    least |= np.arange(len(values), dtype=np.uint64)
     while size < width:
         step = min(size, width - size)
         least = np.minimum(least[:-step], least[step:])
@@ -98,15 +105,16 @@ class _Runs:
         ends = np.cumsum(sizes)
         hashes = prefix_hashes(self.data)
         taken = _least(hashes, LENGTH - PREFIX + 1)
-        text = np.repeat(np.arange(len(texts)), sizes)
-        places = np.flatnonzero(text[: len(taken)] == text[LENGTH - 1 :])
-        new = np.ones(len(places), bool)
-        new[1:] = (np.diff(places) > 1) | (taken[places[1:]] != taken[places[:-1]])
-        first = np.flatnonzero(new)
-        self.start = places[first]
-        self.windows = np.diff(np.append(first, len(places)))
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+        new = np.ones(len(taken), bool)
+        new[1:] = taken[1:] != taken[:-1]
+        new[(ends - sizes)[1:]] = True  # every text has a window, as pieces have
+        new &= text[: len(taken)] == text[LENGTH - 1 :]
+        self.start = np.flatnonzero(new)
         self.key = hashes[taken[self.start]]
         self.text = text[self.start]
+        stop = np.minimum(np.append(self.start[1:], len(taken)), ends[self.text] - LENGTH + 1)
+        self.windows = stop - self.start
         self.offset = self.start - (ends - sizes)[self.text]
 
 
@@ -157,14 +165,14 @@ _ARRAY = "bucket int, keys binary, rows binary, nameless binary"
 def _suffixes(bits: int):
     """Documents to their suffixes, a row per bucket of what is gathered."""
 
-    def rows(held: list[tuple]) -> pa.RecordBatch:
+    def rows(held: list[tuple], compress) -> pa.RecordBatch:
         key, row, nameless = (np.concatenate(c) for c in zip(*held))
         bucket = (key >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         key, row, nameless, bucket = key[order], row[order], nameless[order], bucket[order]
         # Rows come in the order of the input: what lies between them packs well.
         out = [
-            (b, _pack(key[s:e] & _LOW), *_squeezed_rows(row[s:e], nameless[s:e]))
+            (b, _pack(key[s:e] & _LOW), *_squeezed_rows(row[s:e], nameless[s:e], compress))
             for b, s, e in _slices(bucket)
         ]
         return pa.RecordBatch.from_arrays(
@@ -172,38 +180,40 @@ def _suffixes(bits: int):
         )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, compress = [], 0, zstandard.ZstdCompressor().compress
         for batch in small_batches(batches):
             ids = batch.column("row").to_numpy()
             flags = batch.column("nameless").to_numpy(zero_copy_only=False).astype(np.int8)
             for numbers, _, texts in _pieces(t or b"" for t in raw_texts(batch.column("text"))):
                 runs = _Runs(texts)
                 number = np.asarray(numbers)[runs.text]
-                # A suffix which a text has several times counts once.
-                order = np.lexsort((runs.key, number))
-                key, number = runs.key[order], number[order]
+                # A suffix which a text has several times counts once; numbers ascend.
+                order = np.argsort(runs.key, kind="stable")
+                key, of = runs.key[order], number[order]
+                again = np.zeros(len(key), bool)
+                again[1:] = (key[1:] == key[:-1]) & (of[1:] == of[:-1])
                 new = np.ones(len(key), bool)
-                new[1:] = (np.diff(number) != 0) | (key[1:] != key[:-1])
-                held.append((key[new], ids[number[new]], flags[number[new]]))
+                new[order[again]] = False
+                held.append((runs.key[new], ids[number[new]], flags[number[new]]))
                 size += sum(map(len, texts))
                 if size >= _GATHER:
-                    yield rows(held)
+                    yield rows(held, compress)
                     held, size = [], 0
         if held:
-            yield rows(held)
+            yield rows(held, compress)
 
     schema = arrow_schema(_ARRAY)
     return each
 
 
-def _squeezed_rows(row: np.ndarray, nameless: np.ndarray) -> tuple[bytes, bytes]:
+def _squeezed_rows(row: np.ndarray, nameless: np.ndarray, compress) -> tuple[bytes, bytes]:
     steps = np.diff(row, prepend=np.int64(0))
-    return zstandard.compress(steps.tobytes()), zstandard.compress(nameless.tobytes())
+    return compress(steps.tobytes()), compress(nameless.tobytes())
 
 
-def _plain_entries(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    steps = np.frombuffer(zstandard.decompress(row["rows"]), np.int64)
-    nameless = np.frombuffer(zstandard.decompress(row["nameless"]), np.int8)
+def _plain_entries(row: dict, plain) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps = np.frombuffer(plain(row["rows"]), np.int64)
+    nameless = np.frombuffer(plain(row["nameless"]), np.int8)
     return _unpack(row["keys"]), np.cumsum(steps), nameless
 
 
@@ -232,7 +242,8 @@ def _sorted_arrays(schema: pa.Schema, hot: int):
     """
 
     def folded(bucket: int, rows: list[dict]) -> pa.RecordBatch:
-        key, row, nameless = (np.concatenate(c) for c in zip(*map(_plain_entries, rows)))
+        plain = zstandard.ZstdDecompressor().decompress
+        key, row, nameless = (np.concatenate(c) for c in zip(*(_plain_entries(r, plain) for r in rows)))
         order = np.lexsort((nameless, row, key))
         key, row, nameless = key[order], row[order], nameless[order]
         first = np.ones(len(key), bool)
@@ -298,7 +309,7 @@ class Family:
     """
 
     def __init__(self, bits: int):
-        self.bits, self.levels, self.names = bits, {}, []
+        self.bits, self.levels, self.names, self.often = bits, {}, [], []
 
     def _table(self, df: DataFrame, label: str) -> DataFrame:
         """Written to the shared folder as a table whose files are the buckets."""
@@ -328,16 +339,19 @@ class Family:
         packed = candidates.select("bucket", *names)
         return packed.mapInArrow(_one_by_one(rows, arrow_schema(_CANDIDATES)), _CANDIDATES)
 
-    def _hot(self, new: DataFrame) -> DataFrame:
+    def hot_keys(self) -> DataFrame:
+        """``key`` of the suffixes that more than ``hot`` texts of a batch share."""
         bits = self.bits
 
         def rows(row: dict) -> list:
             key = _unpack(row["hot_keys"])
-            number = _key(bits, np.full(len(key), row["bucket"]), key)
-            return [number, [None] * len(key), [None] * len(key)]
+            return [_key(bits, np.full(len(key), row["bucket"]), key)]
 
-        each = _one_by_one(rows, arrow_schema(_CANDIDATES))
-        return new.select("bucket", "hot_keys").mapInArrow(each, _CANDIDATES)
+        each = _one_by_one(rows, arrow_schema("key long"))
+        packed = self.often[0]
+        for other in self.often[1:]:
+            packed = packed.union(other)
+        return packed.mapInArrow(each, "key long").distinct()
 
     def _joined(self, new: DataFrame, old: DataFrame, how: str) -> DataFrame:
         renamed = old.select("bucket", *[F.col(c).alias(f"old_{c}") for c in ("keys", "rows", "nameless")])
@@ -362,15 +376,15 @@ class Family:
     def add(self, batch: DataFrame, last: bool = False, hot: int = HOT) -> DataFrame:
         """Take a batch in; its suffixes that other documents have too, with all holders.
 
-        A row without a holder names a suffix that more than ``hot`` texts of the batch
-        share. After the ``last`` batch the levels stay as they are.
+        Suffixes that more than ``hot`` texts of the batch share are noted, for
+        :meth:`hot_keys`. After the ``last`` batch the levels stay as they are.
         """
         pair = f"{_ARRAY}, shared_keys binary, shared_rows binary, shared_nameless binary, hot_keys binary"
         found = batch.mapInArrow(_suffixes(self.bits), _ARRAY)
         dealt = found.repartition(1 << self.bits, "bucket").sortWithinPartitions("bucket")
         new = self._table(dealt.mapInArrow(_sorted_arrays(arrow_schema(pair), hot), pair), "array")
         out = self._told(new.where(F.octet_length("shared_keys") > 0), "shared_")
-        out = out.union(self._hot(new.where(F.octet_length("hot_keys") > 0)))
+        self.often.append(new.where(F.octet_length("hot_keys") > 0).select("bucket", "hot_keys"))
         for old in self.levels.values():
             out = out.union(self.scan(new, old))
         size = 1
@@ -411,25 +425,57 @@ def _several(rows: DataFrame) -> DataFrame:
     return spread.where("a <> b").select("row", "nameless", F.lit(True).alias("several"))
 
 
-_PARTS = (
-    "part int, strings binary, lengths binary, starts binary, rows binary, nameless binary, "
-    "tags binary"
-)
+_PARTS = "part int, n int, strings binary, notes binary"
+_NOTES = np.dtype([("row", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("length", "<u4"), ("nameless", "i1")])
 _WINDOWS = "window binary, row long, is_nameless boolean, tag long, start long"
 
 
-def _runs_of(doc: dict, bits: int) -> Iterator[tuple[_Runs, np.ndarray, np.ndarray]]:
-    """The runs of a text, piece by piece, with their keys and their places in the text."""
-    for _, offsets, texts in _pieces([zstandard.decompress(doc["packed"])]):
+def _member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value is in a sorted array."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    return of[np.minimum(np.searchsorted(of, values), len(of) - 1)] == values
+
+
+class _Lists:
+    """The numbers in a column of lists, by rows."""
+
+    def __init__(self, column: pa.Array):
+        sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        self.ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        self.values = column.flatten().to_numpy(zero_copy_only=False)
+        self.last, self.found = None, None
+
+    def of(self, first: int, last: int) -> np.ndarray:
+        """Those of some rows in order; the last answer is kept, as texts come in pieces."""
+        if self.last != (first, last):
+            self.last = first, last
+            self.found = np.sort(self.values[self.ends[first] : self.ends[last + 1]])
+        return self.found
+
+
+def _runs_of(batch: pa.RecordBatch, bits: int) -> Iterator[tuple]:
+    """The runs of texts, piece by piece, with their keys, rows and places in the text, and
+    which have a candidate or a hot one.
+
+    All holders of a suffix are its candidates, so what one text of a piece looks for is
+    looked for in all of them.
+    """
+    plain = zstandard.ZstdDecompressor().decompress
+    keys, hot = _Lists(batch.column("keys")), _Lists(batch.column("hot"))
+    for numbers, offsets, texts in _pieces(plain(t.as_py()) for t in batch.column("packed")):
         runs = _Runs(texts)
         key = _key(bits, runs.key >> np.uint64(64 - bits), runs.key & _LOW)
-        yield runs, key, np.asarray(offsets, np.int64)[runs.text] + runs.offset
+        between = numbers[0], numbers[-1]
+        often = _member(key, hot.of(*between))
+        some = _member(key, keys.of(*between)) & ~often
+        place = np.asarray(offsets, np.int64)[runs.text] + runs.offset
+        yield runs, key, np.asarray(numbers)[runs.text], place, some, often
 
 
-def _docs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for at in range(batch.num_rows):
-            yield batch.slice(at, 1).to_pylist()[0]
+def _holders(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    names = ("row", "nameless", "tag")
+    return tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in names)
 
 
 def _strings(bits: int, parts: int):
@@ -439,48 +485,41 @@ def _strings(bits: int, parts: int):
     """
     schema = arrow_schema(_PARTS)
 
-    def packed(held: list[tuple]) -> pa.RecordBatch:
+    def packed(held: list[tuple], compress) -> pa.RecordBatch:
         strings = [s for h in held for s in h[0]]
-        part, start, row, nameless, tag = (np.concatenate(c) for c in list(zip(*held))[1:])
-        out = []
+        part, notes = (np.concatenate(c) for c in list(zip(*held))[1:])
         order = np.argsort(part, kind="stable")
+        notes, out = notes[order], []
+        names = _NOTES.names
         for p, s, e in _slices(part[order]):
-            some = order[s:e]
-            mine = [strings[i] for i in some.tolist()]
-            columns = [np.array([len(m) for m in mine], np.int32)]
-            columns += [c[some] for c in (start, row, nameless, tag)]
-            packs = [zstandard.compress(c.tobytes()) for c in columns]
-            out.append((p, zstandard.compress(b"".join(mine)), *packs))
+            joined = b"".join([strings[i] for i in order[s:e].tolist()])
+            columns = b"".join([notes[c][s:e].tobytes() for c in names])
+            out.append((p, e - s, compress(joined), compress(columns)))
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema
         )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for doc in _docs(batches):
-            wanted = np.setdiff1d(
-                np.asarray(doc["keys"], np.int64), np.asarray(doc["hot"], np.int64)
-            )
-            for runs, key, place in _runs_of(doc, bits):
-                run = np.flatnonzero(np.isin(key, wanted))
+        held, size, compress = [], 0, zstandard.ZstdCompressor().compress
+        for batch in small_batches(batches):
+            ids, nameless, tags = _holders(batch)
+            for runs, key, number, place, some, _ in _runs_of(batch, bits):
+                run = np.flatnonzero(some)
                 if not len(run):
                     continue
                 data = runs.data.tobytes()
                 starts, ends = runs.start[run], runs.start[run] + runs.windows[run] + LENGTH - 1
-                held.append((
-                    [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())],
-                    (_mixed(key[run].view(np.uint64)) % np.uint64(parts)).astype(np.int64),
-                    place[run].astype(np.int64),
-                    np.full(len(run), doc["row"], np.int64),
-                    np.full(len(run), doc["nameless"], np.int8),
-                    np.full(len(run), doc["tag"], np.int64),
-                ))
+                notes, of = np.empty(len(run), _NOTES), number[run]
+                notes["row"], notes["tag"], notes["nameless"] = ids[of], tags[of], nameless[of]
+                notes["start"], notes["length"] = place[run], ends - starts
+                part = (_mixed(key[run].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+                held.append(([data[a:b] for a, b in zip(starts.tolist(), ends.tolist())], part, notes))
                 size += int((ends - starts).sum())
-                if size >= _GATHER:
-                    yield packed(held)
+                if size >= _GATHER_STRINGS:
+                    yield packed(held, compress)
                     held, size = [], 0
         if held:
-            yield packed(held)
+            yield packed(held, compress)
 
     return each
 
@@ -490,10 +529,10 @@ def _windows(bits: int):
     schema = arrow_schema(_WINDOWS)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc in _docs(batches):
-            hot = np.asarray(doc["hot"], np.int64)
-            for runs, key, place in _runs_of(doc, bits):
-                run = np.flatnonzero(np.isin(key, hot))
+        for batch in small_batches(batches):
+            ids, nameless, tags = _holders(batch)
+            for runs, _, number, place, _, often in _runs_of(batch, bits):
+                run = np.flatnonzero(often)
                 n = runs.windows[run]
                 step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(runs.start[run], n) + step
@@ -501,16 +540,15 @@ def _windows(bits: int):
                 windows = pa.FixedSizeBinaryArray.from_buffers(
                     pa.binary(LENGTH), len(at), [None, pa.py_buffer(found.tobytes())]
                 )
+                of = np.repeat(number[run], n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         windows.cast(pa.binary()),
-                        pa.array(np.full(len(at), doc["row"], np.int64)),
-                        pa.array(np.full(len(at), doc["nameless"], bool)),
-                        pa.array(np.full(len(at), doc["tag"], np.int64)),
+                        pa.array(ids[of]), pa.array(nameless[of]), pa.array(tags[of]),
                         pa.array(np.repeat(place[run], n) + step),
                     ],
                     schema=schema,
-                )
+                )
 
     return each
 
@@ -527,52 +565,104 @@ def _groups(values: np.ndarray, within: np.ndarray | None = None) -> np.ndarray:
     return np.cumsum(new)
 
 
+def _sorted_by_bytes(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that have equals in the order of their bytes, eight at a time, and their groups."""
+    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+
+    def word(at: int) -> np.ndarray:
+        """Eight bytes of each window, as a number in their order."""
+        found = np.ascontiguousarray(words[place[order] + at]).view(">u8").ravel()
+        return found.astype(np.uint64)
+
+    order = np.arange(len(place))
+    order = order[np.argsort(word(0))]
+    group = _groups(word(0))
+    for at in [*range(8, LENGTH - 7, 8), LENGTH - 8]:
+        alike = np.bincount(group, minlength=1)[group] > 1  # what is alone has no equal
+        order, group = order[alike], group[alike]
+        if not len(order):
+            break
+        now = word(at)
+        # Most groups stay whole; the others are sorted by these bytes.
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        sizes = np.diff(np.append(first, len(group)))
+        split = np.logical_or.reduceat(now != np.repeat(now[first], sizes), first)
+        mixed = np.flatnonzero(np.repeat(split, sizes))
+        by = mixed[np.lexsort((now[mixed], group[mixed]))]
+        order[mixed], now[mixed] = order[by], now[by]
+        group = _groups(now, group)
+    return order, group
+
+
+def _window_hashes(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Hashes of windows at ascending places."""
+    out = np.empty(len(place), np.uint64)
+    for start in range(0, len(data) - LENGTH + 1, _PIECE):
+        low, high = np.searchsorted(place, [start, start + _PIECE]).tolist()
+        if low < high:
+            out[low:high] = prefix_hashes(data[start : start + _PIECE + LENGTH - 1], LENGTH)[place[low:high] - start]
+    return out
+
+
+def _alike(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that have equals, and the numbers of their groups, which ascend.
+
+    ``place`` ascends. Windows are sorted by a hash and each is compared with the first of its
+    group: by its last byte if the window before it has the same neighbour before it, else by
+    all bytes. Where bytes differ all windows are sorted by them.
+    """
+    hashes = _window_hashes(data, place)
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    same = hashes[1:] == hashes[:-1]
+    alone = np.append(True, ~same) & np.append(~same, True)
+    order = order[~alone]
+    if not len(order):
+        return order, order
+    group = _groups(hashes[~alone])
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    least = np.minimum.reduceat(order, first)
+    like = np.full(len(place), -1, order.dtype)
+    like[order] = place[least][group]
+    mine = np.flatnonzero(like >= 0)
+    a, b = place[mine].astype(np.int64), like[mine].astype(np.int64)
+    on = np.zeros(len(mine), bool)
+    on[1:] = (np.diff(a) == 1) & (np.diff(b) == 1)
+    equal = (data[a + LENGTH - 1] == data[b + LENGTH - 1]).all()
+    a, b = a[~on], b[~on]
+    a, b = a[a != b], b[a != b]
+    for at in range(0, LENGTH - 1):
+        equal = equal and (data[a + at] == data[b + at]).all()
+    return (order, group) if equal else _sorted_by_bytes(data, place)
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts in order, to the spans whose windows an earlier document has."""
 
     def spans(rows: list[dict]) -> pa.RecordBatch:
-        def all_of(name: str, kind: str) -> np.ndarray:
-            return np.concatenate([np.frombuffer(zstandard.decompress(r[name]), kind) for r in rows])
-
-        lengths, starts = all_of("lengths", "<i4").astype(np.int64), all_of("starts", "<i8")
-        row, tag = all_of("rows", "<i8"), all_of("tags", "<i8")
-        nameless = all_of("nameless", "i1") != 0
-        data = np.concatenate([all_of("strings", "u1"), np.zeros(8, np.uint8)])
+        plain = zstandard.ZstdDecompressor().decompress
+        noted = {c: [] for c in _NOTES.names}
+        for r in rows:
+            notes, at = plain(r["notes"]), 0
+            for c in _NOTES.names:
+                noted[c].append(np.frombuffer(notes, _NOTES[c], r["n"], at))
+                at += r["n"] * _NOTES[c].itemsize
+        noted = {c: np.concatenate(v) for c, v in noted.items()}
+        lengths, starts = noted["length"].astype(np.int64), noted["start"].astype(np.int64)
+        row, tag, nameless = noted["row"], noted["tag"], noted["nameless"] != 0
+        data = np.frombuffer(b"".join([*(plain(r["strings"]) for r in rows), bytes(8)]), np.uint8)
         n = lengths - LENGTH + 1
-        string = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
-        place = (np.cumsum(lengths) - lengths)[string] + inside
-        # The suffix array of the part: windows by their bytes, eight at a time.
-        words = np.lib.stride_tricks.sliding_window_view(data, 8)
-
-        def word(at: int) -> np.ndarray:
-            """Eight bytes of each window, as a number in their order."""
-            found = np.ascontiguousarray(words[place[order] + at]).view(">u8").ravel()
-            return found.astype(np.uint64)
-
-        order = np.arange(len(place))
-        order = order[np.argsort(word(0))]
-        group = _groups(word(0))
-        for at in [*range(8, LENGTH - 7, 8), LENGTH - 8]:
-            alike = np.bincount(group, minlength=1)[group] > 1  # what is alone has no equal
-            order, group = order[alike], group[alike]
-            if not len(order):
-                break
-            now = word(at)
-            # Most groups stay whole; the others are sorted by these bytes.
-            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            sizes = np.diff(np.append(first, len(group)))
-            split = np.logical_or.reduceat(now != np.repeat(now[first], sizes), first)
-            mixed = np.flatnonzero(np.repeat(split, sizes))
-            by = mixed[np.lexsort((now[mixed], group[mixed]))]
-            order[mixed], now[mixed] = order[by], now[by]
-            group = _groups(now, group)
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        string = np.repeat(np.arange(len(n), dtype=kind), n)
+        # Windows lie one after the other in a string, and LENGTH - 1 bytes further in the next.
+        place = np.arange(len(string), dtype=kind) + string * kind(LENGTH - 1)
+        order, group = _alike(data, place)
         # Documents by id, those without one behind all others and not before each other.
         ids = np.unique(row[~nameless])
         rank = np.where(nameless, len(ids), np.searchsorted(ids, row))
-        mine = rank[string[order]]
         hit = np.zeros(len(place), bool)
         if len(order):
+            mine = rank[string[order]]
             first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
             least = np.minimum.reduceat(mine, first)
             hit[order] = mine > np.repeat(least, np.diff(np.append(first, len(order))))
@@ -582,11 +672,12 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(at)) - 1 if len(at) else first
         of = string[at[first]]
+        before = starts - (np.cumsum(lengths) - lengths)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(row[of]), pa.array(nameless[of]), pa.array(tag[of]),
-                pa.array(starts[of] + inside[at[first]]),
-                pa.array(starts[of] + inside[at[last]] + LENGTH),
+                pa.array(before[of] + place[at[first]]),
+                pa.array(before[of] + place[at[last]] + LENGTH),
             ],
             ["row", "nameless", "tag", "start", "end"],
         )
@@ -621,37 +712,58 @@ _CLEANED = (
 def _without(schema: pa.Schema):
     """Texts without their spans."""
 
+    def cleaned(batch: pa.RecordBatch, plain) -> pa.RecordBatch:
+        texts = [plain(t.as_py()) for t in batch.column("packed")]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        lists = batch.column("found")
+        of = np.repeat(np.arange(len(texts)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        told = lists.flatten()
+        start, end, tag = (told.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "tag"))
+        # A copy of an earlier text goes as a whole.
+        whole = batch.column("copy").to_numpy(zero_copy_only=False) & (sizes >= LENGTH)
+        mine = (tag == batch.column("tag").to_numpy(zero_copy_only=False)[of]) & ~whole[of]
+        of = np.concatenate([of[mine], np.flatnonzero(whole)])
+        start = np.concatenate([start[mine], np.zeros(whole.sum(), np.int64)])
+        end = np.concatenate([end[mine], sizes[whole]])
+        # Texts one after the other with a byte between them, so that their spans do not touch.
+        base = np.cumsum(sizes + 1) - (sizes + 1)
+        order = np.argsort(base[of] + start, kind="stable")
+        of, start, end = of[order], start[order], end[order]
+        reach = np.maximum.accumulate(base[of] + end)
+        new = np.ones(len(of), bool)
+        new[1:] = (base[of] + start)[1:] > reach[:-1]
+        first = np.flatnonzero(new)
+        of, start = of[first], start[first]
+        end = reach[np.append(first[1:], len(reach)) - 1 if len(first) else first] - base[of]
+        n_spans = np.bincount(of, minlength=len(texts))
+        removed = np.bincount(of, end - start, minlength=len(texts)).astype(np.int64)
+        ends = np.cumsum(n_spans)
+        a, b, kept = start.tolist(), end.tolist(), []
+        for text, s, e in zip(texts, (ends - n_spans).tolist(), ends.tolist()):
+            if s == e:
+                kept.append(text)
+            else:
+                kept.append(b"".join([text[x:y] for x, y in zip([0, *b[s:e]], [*a[s:e], len(text)])]))
+        spans = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
+        offsets = pa.array(np.append(0, ends), pa.int32())
+        columns = [
+            batch.column("doc_id"), pa.array(sizes), pa.array(removed), pa.array(n_spans, pa.int64()),
+            pa.array(kept, pa.binary()), pa.ListArray.from_arrays(offsets, spans),
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, schema.types)], schema=schema)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                text = zstandard.decompress(row["packed"])
-                found = sorted(
-                    (s["start"], s["end"]) for s in row["found"] or () if s["tag"] == row["tag"]
-                )
-                if row["copy"] and len(text) >= LENGTH:
-                    found = [(0, len(text))]
-                spans: list[list[int]] = []
-                for start, end in found:
-                    if spans and start <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], end)
-                    else:
-                        spans.append([start, end])
-                cuts = [0, *(x for s in spans for x in s), len(text)]
-                kept = b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
-                out = {
-                    "doc_id": row["doc_id"], "n_bytes": len(text),
-                    "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept": kept,
-                    "spans": [{"start": a, "end": b} for a, b in spans],
-                }
-                yield pa.RecordBatch.from_pylist([out], schema)
+        plain = zstandard.ZstdDecompressor().decompress
+        for batch in small_batches(batches, 1 << 20):
+            yield cleaned(batch, plain)
 
     return each
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    compress = zstandard.ZstdCompressor().compress
     for batch in small_batches(batches):
-        packed = pa.array([zstandard.compress(t) for t in batch.column("text").to_pylist()], pa.binary())
+        packed = pa.array([compress(t.as_py()) for t in batch.column("text")], pa.binary())
         names = ["row", "nameless", "tag", "doc_id"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), packed], [*names, "packed"]
@@ -684,10 +796,8 @@ def drop_repeated_passages(docs: DataFrame, batches: int = BATCHES, hot: int = H
         batch = _between(rows, low, high).select("row", "nameless", "text")
         found = family.add(batch, k == len(cuts), max(1, hot // batches))
         candidates = found if candidates is None else candidates.union(found)
-    hot_keys = candidates.where("row IS NULL").select("key").distinct()
-    many = staged(hot_keys.select("key", F.col("key").alias("many")), "hot")
+    many = staged(family.hot_keys().select("key", F.col("key").alias("many")), "hot")
     has_hot = not many.isEmpty()
-    candidates = candidates.where("row IS NOT NULL")
     if has_hot:
         candidates = candidates.join(many, "key", "left")
     else:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import map_batches, raw_texts
+from .common import map_batches, raw_texts, small_batches
 
 WINDOW = 8  # words; a power of two, as windows are numbered by doubling
 MIN_WORDS = 20
@@ -143,22 +144,31 @@ def line_quality(docs: DataFrame) -> DataFrame:
     return map_batches(given, each, f"doc_id long, {MEASURES}")
 
 
+def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``text, row`` that pass, with their cleaned texts; a few texts at a time."""
+    for batch in small_batches(batches):
+        *_, kept, cleaned = _columns(batch.column(0))
+        found = pa.record_batch([cleaned, batch.column(1)], names=["text", "row"])
+        yield found.filter(kept)
+
+
 def clean_lines(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, without the lines that fail.
 
     All columns stay; ``text`` is the cleaned text and ``n_chars``, where there is one, its
     length. The verdict is the one of :func:`line_quality`.
     """
-    packed = docs.select("text", F.struct("*").alias("row"))
+    packed = docs.select("text", other_columns(docs).alias("row"))
     schema = StructType([StructField("text", StringType()), packed.schema["row"]])
+    cleaned = packed.mapInArrow(_cleaned, schema)
+    return cleaned.select(*with_text(docs, F.col("text")))
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        *_, kept, cleaned = _columns(batch.column(0))
-        found = pa.record_batch([cleaned, batch.column(1)], names=["text", "row"])
-        return found.filter(kept)
 
-    cleaned = map_batches(packed, each, schema)
-    return cleaned.select(*with_text(docs, F.col("text")))
+def other_columns(docs: DataFrame) -> Column:
+    """The columns of ``docs`` which do not follow its text, as a struct."""
+    names = [c for c in docs.columns if c not in ("text", "n_chars")]
+    quoted = [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in names]
+    return F.struct(*quoted or [F.lit(True).alias("none")])
 
 
 def with_text(docs: DataFrame, text) -> list:

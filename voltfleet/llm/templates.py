@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import raw_texts, small_batches, staged
 from .components import connected_components
-from .lines import with_text
+from .lines import other_columns, with_text
 
 DEPTH = 4  # leading tokens
 MIN_TOKENS = 3
@@ -274,7 +274,8 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = "n_dropped") -> Da
     gives no rows.
     """
     drops = dropped_lines(docs).groupBy("doc", "anon").agg(F.collect_list("seal").alias("seals"))
-    packed = docs.select(*_document(), "text", F.struct("*").alias("row"))
+    others = docs.select(*[c for c in docs.columns if count is None or c.lower() != count.lower()])
+    packed = docs.select(*_document(), "text", other_columns(others).alias("row"))
     packed = packed.join(drops, ["doc", "anon"], "left").select("text", "seals", "row")
     schema = StructType([StructField("text", StringType()), StructField("n_dropped", LongType()), packed.schema["row"]])
 
@@ -299,6 +300,5 @@ def drop_recurring_lines(docs: DataFrame, count: str | None = "n_dropped") -> Da
     cleaned = packed.mapInArrow(each, schema)
     if count is None:
         return cleaned.select(*with_text(docs, F.col("text")))
-    others = [c for c in docs.columns if c.lower() != count.lower()]
-    return cleaned.select(*with_text(docs.select(*others), F.col("text")), F.col("n_dropped").alias(count))
+    return cleaned.select(*with_text(others, F.col("text")), F.col("n_dropped").alias(count))
 

@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from voltfleet.llm import lines, templates
+from voltfleet.llm import lines, queries, templates
 
 
 def _python_input(df):
@@ -30,3 +30,8 @@ def test_a_table_of_texts_alone(spark):
     text = " ".join(f"word{k}" for k in range(60)) + "."
     docs = spark.createDataFrame([(text,), ("x",)], "text string")
     assert [r[0] for r in lines.clean_lines(docs).collect()] == [text]
+
+
+def test_a_task_holds_one_tokenizer(docs):
+    plan = queries.digested(docs, queries.word_bpe())._jdf.queryExecution().optimizedPlan()
+    assert plan.toString().count("MapInArrow") == 1

@@ -12,7 +12,7 @@ from . import (
     conversations, exact, languages, licences, lines, mixing, passages, pii, ranking, simhash,
     templates, tokens, warc,
 )
-from .common import table
+from .common import staged, table
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -59,7 +59,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digested(docs: DataFrame, description: str) -> DataFrame:
     """Digests of the ids of each document, and of what these ids decode to."""
-    encoded = tokens.encode_documents(docs, description)
+    # Written: in one stage each task would hold two Python workers, each with a tokenizer.
+    encoded = staged(tokens.encode_documents(docs, description), "token-ids")
     return tokens.decode_documents(encoded, description).select(
         "doc_id", "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -1,5 +1,8 @@
 """What the stages hold of the texts at a time."""
 
+import subprocess
+import sys
+
 import pyarrow as pa
 
 from voltfleet.llm import lines, queries, templates
@@ -35,3 +38,31 @@ def test_a_table_of_texts_alone(spark):
 def test_a_task_holds_one_tokenizer(docs):
     plan = queries.digested(docs, queries.word_bpe())._jdf.queryExecution().optimizedPlan()
     assert plan.toString().count("MapInArrow") == 1
+
+
+_WORKER = """
+import re
+import pyarrow as pa
+from voltfleet.llm.common import raw_texts, small_batches
+
+def held():
+    with open("/proc/self/smaps_rollup") as file:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", file.read())[1]) / 1024
+
+def batches():
+    for k in range(2):
+        texts = pa.array([b"%d" % k * 2000] * 40_000, pa.binary())
+        yield pa.record_batch([texts], names=["text"])
+
+start, remembered = held(), []
+for batch in small_batches(batches(), 256 << 20):
+    texts = raw_texts(batch.column(0))
+    remembered += [bytes(bytearray(x)) for x in texts[::200]]
+    del batch, texts
+print(held() - start)
+"""
+
+
+def test_memory_of_a_batch_is_handed_back():
+    run = subprocess.run([sys.executable, "-c", _WORKER], capture_output=True, text=True, check=True)
+    assert float(run.stdout) < 60  # MB; a batch has 80, and as much in Python's objects

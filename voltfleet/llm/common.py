@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 from collections.abc import Callable, Iterator
 
@@ -63,12 +64,28 @@ def small_batches(
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, or one row where that is longer.
 
-    Keeps the output of a batch small where it is several times its input.
+    Keeps the output of a batch small where it is several times its input. After each batch
+    its memory goes back to the system.
     """
     for batch in batches:
         rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+            give_back()
+    batch = None
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free again back to the system.
+
+    Else Arrow and the C library keep what the largest batch so far took, in each Python
+    worker for as long as it lives.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def arrow_schema(schema: str) -> pa.Schema:

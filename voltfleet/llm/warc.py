@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from voltfleet.session import working_dir
 
-from .common import small_batches
+from .common import small_batches, staged
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -43,6 +43,10 @@ _RECORD_DDL = (
     "record_id string, record_type string, target_uri string, payload_digest string, "
     "refers_to string, copies long, origin_id string, segment long, total long, block binary"
 )
+_FOUND = pa.struct([("state", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+_OPENED = _RECORD.append(pa.field("found", _FOUND))
+_FOUND_DDL = "struct<state: string, payload_bytes: long, payload_digest: string>"
+_OPENED_DDL = f"{_RECORD_DDL}, found {_FOUND_DDL}"
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -128,6 +132,7 @@ def captures(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     light = given.groupBy("digest", "page_id").agg(
         F.count("*").alias("copies"), F.min("url").alias("url"), F.first(F.length("payload")).alias("bytes")
     )
+    light = staged(light, "warc-pages")  # read twice below, without hashing the payloads again
     first = light.groupBy("digest").agg(F.min("page_id").alias("first_id"))
     told = light.join(first, "digest").select(
         "page_id", "url", "digest", "copies", name_of("page_id").alias("record_id"),
@@ -183,41 +188,59 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[dict]:
         }
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives in a folder, one row per segment."""
+def read_archives(spark: SparkSession, path: str, opened: bool = False) -> DataFrame:
+    """The records of all archives in a folder, one row per segment.
+
+    If ``opened``, responses that are whole are looked into where they are read: their
+    ``found`` is the state, length and digest of the payload, and the block is null.
+    """
+    schema = _OPENED if opened else _RECORD
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for record in parse_records(gzip.open(io.BytesIO(content.as_buffer()))):
-                    rows.append(record)
+                for record in parse_records(gzip.open(pa.BufferReader(content.as_buffer()))):
                     size += len(record["block"])
+                    if opened:
+                        _open(record)
+                    rows.append(record)
                     if size > 4 << 20:
-                        yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                        yield pa.RecordBatch.from_pylist(rows, schema)
                         rows, size = [], 0
-                yield pa.RecordBatch.from_pylist(rows, _RECORD)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(each, _RECORD_DDL)
+    return files.select("content").mapInArrow(each, _OPENED_DDL if opened else _RECORD_DDL)
+
+
+def _open(record: dict) -> None:
+    if record["segment"] is None:
+        whole = record["record_type"] == "response"
+        record["found"] = _told(*_decoded([record], record["payload_digest"])) if whole else None
+        record["block"] = None
 
 
-def _decoded(parts: list[dict], digest: str | None) -> tuple[str, bytes | None]:
-    """What became of a record's segments, given in order, and its payload."""
+def _decoded(parts: list[dict], digest: str | None) -> tuple[str, bytes | None, str | None]:
+    """What became of a record's segments, given in order, its payload and that one's digest."""
     if any(p["segment"] not in (None, i) for i, p in enumerate(parts, 1)):
-        return "missing segment", None
+        return "missing segment", None, None
     if parts[0]["segment"] is not None and parts[-1]["total"] is None:
-        return "missing segment", None
+        return "missing segment", None, None
     block = b"".join([p["block"] for p in parts])
     if parts[-1]["total"] not in (None, len(block)):
-        return "wrong length", None
+        return "wrong length", None, None
     head, _, body = block.partition(b"\r\n\r\n")
     try:
         payload = dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
     except ValueError:
-        return "broken framing", None
+        return "broken framing", None, None
     found = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    return ("complete" if digest in (None, f"sha1:{found}") else "wrong digest"), payload
+    return ("complete" if digest in (None, f"sha1:{found}") else "wrong digest"), payload, found
+
+
+def _told(state: str, payload: bytes | None, digest: str | None) -> dict:
+    return {"state": state, "payload_bytes": None if payload is None else len(payload), "payload_digest": digest}
 
 
 def reassemble(records: DataFrame, carry: bool = True) -> DataFrame:
@@ -228,51 +251,64 @@ def reassemble(records: DataFrame, carry: bool = True) -> DataFrame:
     record has. ``state`` is ``complete``, ``missing segment``, ``wrong length``,
     ``broken framing`` or ``wrong digest``; a segment given twice counts once. Without
     ``carry`` the payload is null.
+
+    Records that were read ``opened`` give their revisits as well, with ``record_type`` and
+    ``refers_to`` as further columns, and no payload of whole ones. All of them go through
+    the shuffle, without blocks unless they are segments, so that the archives are read
+    once; those of one id become one.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             out = []
             for row in batch.to_pylist():
-                state, payload = _decoded(row["parts"], row["payload_digest"])
-                sha = None if payload is None else base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                told, payload = row["found"], None
+                if told is None and row["record_type"] != "revisit":
+                    state, payload, digest = _decoded(row["parts"], row["payload_digest"])
+                    told = _told(state, payload, digest)
                 out.append(
                     {
                         "record_id": row["record_id"], "target_uri": row["target_uri"],
-                        "copies": row["copies"], "state": state,
-                        "payload_bytes": None if payload is None else len(payload),
-                        "payload_digest": sha, "payload": payload if carry else None,
+                        "copies": row["copies"], **(told or {}),
+                        "payload": payload if carry else None,
+                        "record_type": row["record_type"], "refers_to": row["refers_to"],
                     }
                 )
             yield pa.RecordBatch.from_pylist(out, _PAYLOAD)
 
     part = F.struct("segment", "total", "block")
-    head = ("record_id", "target_uri", "copies", "payload_digest")
+    opened = "found" in records.columns
+    head = ("record_type", "refers_to", "target_uri", "copies", "payload_digest", "found")
+    first = F.coalesce(F.col("segment"), F.lit(1)) == 1
+
+    def together(some: DataFrame) -> DataFrame:
+        return some.groupBy(F.col("origin_id").alias("record_id")).agg(
+            *(F.max(F.when(first, F.col(name))).alias(name) for name in head),
+            F.sort_array(F.collect_set(F.when(F.col("segment").isNotNull(), part))).alias("parts"),
+        )
+
+    if opened:
+        known = records.where("segment is not null or record_type in ('response', 'revisit')")
+        return together(known).mapInArrow(each, _PAYLOAD_DDL)
+    records = records.withColumn("found", F.lit(None).cast(_FOUND_DDL))
+    # A segment holds part of a payload, whatever its record is called.
+    cut = together(records.where("segment is not null").withColumn("record_type", F.lit("response")))
     whole = records.where("record_type = 'response' and segment is null").select(
-        *head, F.array(part).alias("parts")
+        "record_id", *head, F.array(part).alias("parts")
     )
-    segments = records.where("segment is not null")
-    first = F.col("segment") == 1
-
-    def of_first(name: str) -> Column:
-        return F.max(F.when(first, F.col(name))).alias(name)
-
-    put = segments.groupBy("origin_id").agg(
-        of_first("target_uri"), of_first("copies"), of_first("payload_digest"),
-        F.sort_array(F.collect_set(part)).alias("parts"),
-    ).withColumnRenamed("origin_id", "record_id")
-    return whole.union(put.select(whole.columns)).mapInArrow(each, _PAYLOAD_DDL)
+    return whole.union(cut).mapInArrow(each, _PAYLOAD_DDL).drop("record_type", "refers_to")
 
 
 _PAYLOAD = pa.schema(
     [
         ("record_id", pa.string()), ("target_uri", pa.string()), ("copies", pa.int64()), ("state", pa.string()),
         ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()),
+        ("record_type", pa.string()), ("refers_to", pa.string()),
     ]
 )
 _PAYLOAD_DDL = (
     "record_id string, target_uri string, copies long, state string, payload_bytes long, "
-    "payload_digest string, payload binary"
+    "payload_digest string, payload binary, record_type string, refers_to string"
 )
 
 
@@ -291,9 +327,11 @@ def archive_round_trip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, min
     spark = pages.sparkSession
     path = working_dir(spark, "warc")
     write_archives(captures(pages, min_payload), path, segment_bytes)
-    records = read_archives(spark, path)
-    payloads = reassemble(records, carry=False).drop("payload", "target_uri")
-    revisits = records.where("record_type = 'revisit'").select(
+    # Written, as it is needed twice: else each use would read the archives anew.
+    read = reassemble(read_archives(spark, path, opened=True), carry=False).drop("payload", "target_uri")
+    read = staged(read, "warc-payloads")
+    payloads = read.where("record_type is distinct from 'revisit'").drop("record_type", "refers_to")
+    revisits = read.where("record_type = 'revisit'").select(
         F.col("record_id").alias("own"), F.col("refers_to").alias("other"), F.col("copies").alias("times")
     )
     again = revisits.join(payloads, F.col("other") == F.col("record_id")).select(
